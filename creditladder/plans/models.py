@@ -71,8 +71,11 @@ def score_all(df: DataFrame, models: Mapping[str, FittedLogit]) -> DataFrame:
     return df.withColumns({out: m.probability() for out, m in models.items()})
 
 
-def fit_logits(df: DataFrame, segments: Mapping[str, Segment], durable: bool = False) -> dict[str, FittedLogit]:
-    """Fit every segment of a family from one shared training frame."""
+def fit_logits(
+    df: DataFrame, segments: Mapping[str, Segment], durable: bool = False, persist: bool = True
+) -> dict[str, FittedLogit]:
+    """Fit every segment of a family from one shared training frame. ``persist=False`` when ``df`` is
+    kept already."""
     names = list(segments)
     features = list(dict.fromkeys(f for s in segments.values() for f in s.features))
     cols = [F.col(f).cast("double").alias(f) for f in features]
@@ -90,12 +93,14 @@ def fit_logits(df: DataFrame, segments: Mapping[str, Segment], durable: bool = F
             anywhere = anywhere | F.col(f"__in{i}")
         train = train.filter(anywhere)
     train = cut_lineage(train, "train") if durable else train
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    if persist:
+        train = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         counts = _segment_counts(train, [segments[n] for n in names])
         return {n: _fit_one(train, n, i, segments[n], counts) for i, n in enumerate(names)}
     finally:
-        train.unpersist()
+        if persist:
+            train.unpersist()
 
 
 def fit_logit(

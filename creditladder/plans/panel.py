@@ -19,17 +19,17 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import features as feat
 from ..functions.dates import month_end
+from ..functions.nulls import flag_or_zero
 from ..functions.ladder import category_code, category_label, reached_flags
 from ..operators.joins import guard_single, merge
 from ..operators.windows import (
     cumulative_count,
     fill_down,
-    fill_up,
     filled_down_then_up,
     last_per,
     monthly_sums,
@@ -128,7 +128,7 @@ def _months_single_pass(src: PanelSources) -> DataFrame:
     rated = rated.withColumns(
         {c: F.when(F.col("has_balances"), F.col(c)) for c in ("monitor_score", "risk_category_sf")}
     )
-    return running_sum(_month_counts(rated), {"paid_cum": "paid", "disb_cum": "disbursed"}, LOAN, MONTH)
+    return running_sum(rated, {"paid_cum": "paid", "disb_cum": "disbursed"}, LOAN, MONTH)
 
 
 def _months_by_joins(src: PanelSources) -> DataFrame:
@@ -142,18 +142,16 @@ def _months_by_joins(src: PanelSources) -> DataFrame:
     df = merge(df, src.categories, KEY, "left")
     for name, cols in LOAN_COLUMNS.items():
         df = merge(df, getattr(src, name).select(LOAN, *cols), LOAN, "left")
-    return _month_counts(df)
+    return df
 
 
-def _month_counts(df: DataFrame) -> DataFrame:
-    """Months in the category over all spells, and in the present spell."""
-    df = cumulative_count(df, [LOAN, "risk_category"], MONTH, "months_in_risk_cat_cum")
-    return run_length(df, LOAN, MONTH, "risk_category", "months_in_risk_cat")
-
-
-def _fills(df: DataFrame, carry: list[str]) -> DataFrame:
+def _along_months(df: DataFrame, carry: list[str]) -> DataFrame:
+    """Fills and month counts. Steps with the same window spec stand together and the one with the finer
+    partition comes last: one exchange, two sorts."""
     df = fill_down(df, carry, LOAN, MONTH)
-    return df.withColumns({c: filled_down_then_up(c, LOAN, MONTH) for c in ("risk_category_sf", "monitor_score")})
+    df = df.withColumns({c: filled_down_then_up(c, LOAN, MONTH) for c in ("risk_category_sf", "monitor_score")})
+    df = run_length(df, LOAN, MONTH, "risk_category", "months_in_risk_cat")
+    return cumulative_count(df, [LOAN, "risk_category"], MONTH, "months_in_risk_cat_cum")
 
 
 def loan_table(src: PanelSources) -> DataFrame:
@@ -167,11 +165,11 @@ def build_panel(src: PanelSources, duplicates: str = "error") -> DataFrame:
     """The panel with all features, balances above the floor only."""
     above_floor = F.col("balance") > feat.PANEL_BALANCE_FLOOR
     if duplicates == "error":
-        df = _fills(_months_single_pass(src), ["maturity_date"])
+        df = _along_months(_months_single_pass(src), ["maturity_date"])
         df = df.filter(above_floor).withColumn(MONTH, F.nullif(F.col(MONTH), F.lit(NO_MONTH)))
         df = merge(df, loan_table(src), LOAN, "left", null_keys="drop")
     elif duplicates == "repeat":
-        df = _fills(_months_by_joins(src), ["maturity_date", "paid_cum", "disb_cum"]).filter(above_floor)
+        df = _along_months(_months_by_joins(src), ["maturity_date", "paid_cum", "disb_cum"]).filter(above_floor)
     else:
         raise ValueError("duplicates must be 'error' or 'repeat'")
     return add_features(df).select(*OUTPUT)
@@ -211,8 +209,10 @@ def display_category(label: str = "risk_category_sf") -> Column:
 
 
 def active_as_of(panel: DataFrame, date: str) -> DataFrame:
-    """Sets ``active``: 1 when the loan has a positive balance on that day, else 0."""
-    on_day = panel.filter((F.col("balance") > 0) & (F.col(MONTH) == F.lit(date).cast("date")))
-    alive = on_day.select(LOAN).distinct().withColumn("active", F.lit(1))
-    out = merge(panel.drop("active"), alive, LOAN, "left", null_keys="drop")
-    return out.withColumn("active", F.coalesce("active", F.lit(0)))
+    """Sets ``active``: 1 when the loan has a positive balance on that day, else 0.
+
+    A window by loan: right behind :func:`build_panel` it needs no exchange of its own, and the panel is
+    read once.
+    """
+    alive = (F.col("balance") > 0) & (F.col(MONTH) == F.lit(date).cast("date"))
+    return panel.withColumn("active", F.max(flag_or_zero(alive)).over(Window.partitionBy(LOAN)))

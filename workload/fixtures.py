@@ -58,7 +58,7 @@ VIEWS = {
         select loan_id, case when count(*) = count(recovery) then sum(recovery) end recovery
         from {recov_rows} group by loan_id""",
     "last_order": """
-        select o_custkey loan_id, cast(max(o_orderdate) as date) last_date, min(o_orderdate) first_date,
+        select o_custkey loan_id, cast(max(o_orderdate) as date) last_date,
                max_by(cast(substr(o_orderpriority, 1, 1) as int), o_orderkey) last_priority,
                max_by(o_totalprice, o_orderkey) last_balance
         from {orders} group by o_custkey""",
@@ -171,8 +171,9 @@ def view(spark: SparkSession, sf_dir: str, name: str, _seen: dict[str, DataFrame
     return seen[name]
 
 
-def with_views(sql: str, extra: dict[str, str] | None = None, recursive: bool = False) -> str:
-    """``sql`` for DuckDB: every view it names in braces, directly or not, becomes a CTE."""
+def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
+    """``sql`` for DuckDB: every view it names in braces, directly or not, becomes a CTE. A view that
+    names itself is recursive; all others are computed once."""
     known = {**VIEWS, **(extra or {})}
     order: list[str] = []
 
@@ -185,7 +186,13 @@ def with_views(sql: str, extra: dict[str, str] | None = None, recursive: bool =
 
     for n in uses(sql):
         visit(n)
-    plain = lambda text: _NAME.sub(r"\1", text)
-    ctes = ",\n".join(f"{n} as ({plain(known[n])})" for n in order)
-    head = ("with recursive " if recursive else "with ") + ctes + "\n" if order else ""
+
+    def plain(text: str) -> str:
+        return _NAME.sub(r"\1", text)
+
+    def cte(name: str) -> str:
+        how = "" if name in uses(known[name]) else "materialized "
+        return f"{name} as {how}({plain(known[name])})"
+
+    head = "with recursive " + ",\n".join(map(cte, order)) + "\n" if order else ""
     return head + plain(sql)
