@@ -26,10 +26,6 @@ def _so_far(by, order) -> WindowSpec:
     return ordered(by, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _from_here(by, order) -> WindowSpec:
-    return ordered(by, order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-
-
 def last_per(df: DataFrame, by: str | Sequence[str], order: str | Sequence[str]) -> DataFrame:
     """The last row of each group. ``order`` should end in the input ordinal to settle ties; a null
     order value counts as last."""
@@ -65,17 +61,21 @@ def fill_down(df: DataFrame, cols: str | Sequence[str], by, order) -> DataFrame:
 
 
 def fill_up(df: DataFrame, cols: str | Sequence[str], by, order) -> DataFrame:
-    """Null -> the next known value below it in the group."""
-    w = _from_here(by, order)
-    return df.withColumns({c: F.first(c, ignorenulls=True).over(w) for c in _names(cols)})
+    """Null -> the next known value below it in the group.
+
+    Read in falling order this is a fill down; a frame that reaches to the end of the group would be
+    recomputed for every row.
+    """
+    falling = Window.partitionBy(*_names(by)).orderBy(*[F.col(c).desc_nulls_first() for c in _names(order)])
+    w = falling.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in _names(cols)})
 
 
 def filled_down_then_up(c: str | Column, by, order) -> Column:
-    """Both fills in one expression: what is above wins, the gap at the top takes the first known."""
-    return F.coalesce(
-        F.last(c, ignorenulls=True).over(_so_far(by, order)),
-        F.first(c, ignorenulls=True).over(_from_here(by, order)),
-    )
+    """Both fills in one expression: what is above wins, and the gap at the top takes the group's first
+    known value."""
+    whole = ordered(by, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return F.coalesce(F.last(c, ignorenulls=True).over(_so_far(by, order)), F.first(c, ignorenulls=True).over(whole))
 
 
 def cumulative_count(df: DataFrame, by: str | Sequence[str], order, name: str = "n_cum") -> DataFrame:

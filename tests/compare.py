@@ -56,7 +56,7 @@ if __name__ == "__main__":
     oracle = e.oracle_sql()
     bad = 0
     for name, q in e.queries().items():
-        if only and name not in only:
+        if only and not any(name.startswith(o) for o in only):
             continue
         t = time.time()
         try:

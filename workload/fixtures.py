@@ -32,10 +32,13 @@ VIEWS = {
                case when l_returnflag <> 'R' then l_extendedprice end paid,
                case when l_linestatus = 'O' then l_extendedprice end disbursed
         from {lineitem} join {orders} on l_orderkey = o_orderkey""",
+    # Categories for every month with an order or a shipment, changing every 5, 9 or 13 months.
     "r_cat": """
-        select o_custkey loan_id, cast(last_day(o_orderdate) as date) date,
-               max(nullif(cast(substr(o_orderpriority, 1, 1) as int), 5)) risk_category
-        from {orders} group by o_custkey, cast(last_day(o_orderdate) as date)""",
+        select loan_id, date, cast(case k when 0 then null when 5 then 1 else k end as int) risk_category
+        from (select distinct loan_id, date, (loan_id * 7 + cast(floor((year(date) * 12 + month(date))
+                     / (5e0 + 4e0 * (loan_id % 3))) as bigint)) % 6 k
+              from (select o_custkey loan_id, cast(last_day(o_orderdate) as date) date from {orders}
+                    union all select loan_id, cast(last_day(date) as date) date from {pmt}) m) d""",
     "maturity": """
         select o_custkey loan_id, cast(last_day(o_orderdate) as date) date,
                max(cast(o_orderdate as date) + cast(o_orderkey % 1500 as int)) maturity_date,

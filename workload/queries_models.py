@@ -346,7 +346,7 @@ def rate_active_book(t: Inputs) -> DataFrame:
 @query(
     "book_loss",
     f"""select case when risk_category = 'Current' then 'Current' when risk_category is not null then 'below' end slice,
-        round(sum({'X'} * balance), 2) el, round(sum({'X'} * balance) / nullif(sum(balance), 0), 6) loss_rate,
+        round(sum({'X'} * balance), 2) el, round(coalesce(sum({'X'} * balance), 0e0) / nullif(sum(balance), 0), 6) loss_rate,
         round(avg({'X'}), 6) mean_pd_active
         from (select *, case risk_category {' '.join(f"when '{c}' then {v}" for c, v in zip(prob.CATEGORIES, _AHEAD))} end x0
               from {_FIXED_BOOK}) y where active = 1 and balance is not null group by 1""".replace("X", "x0"),
@@ -422,7 +422,7 @@ def point_in_time(t: Inputs) -> DataFrame:
 @query(
     "period_means",
     f"""select period, round(sum(pd * balance) / nullif(sum(balance), 0), 6) weighted_pd,
-        round(sum(pd_active * balance) / nullif(sum(balance), 0), 6) weighted_pd_active, round(avg(pd), 6) mean_pd,
+        round(coalesce(sum(pd_active * balance), 0e0) / nullif(sum(balance), 0), 6) weighted_pd_active, round(avg(pd), 6) mean_pd,
         round(avg(pd_active), 6) mean_pd_active from {_PIT} group by period""",
 )
 def period_means(t: Inputs) -> DataFrame:
