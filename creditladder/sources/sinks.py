@@ -23,7 +23,7 @@ def write_table(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer.csv(path, header=True, nullValue="NA", emptyValue="")
+        writer.csv(path, header=True, nullValue="NA")
     else:
         writer.format(fmt).save(path)
 
