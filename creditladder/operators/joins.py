@@ -34,6 +34,7 @@ def merge(
     how: str = "inner",
     null_keys: str = "match",
     suffixes: tuple[str, str] = ("_x", "_y"),
+    hot_keys: bool = False,
 ) -> DataFrame:
     """Join on equally named keys (all shared columns by default); keys come out once and first.
 
@@ -41,24 +42,29 @@ def merge(
     ``null_keys='match'`` a null key meets a null key; with ``'drop'`` it meets nothing (an outer join
     still keeps its row).
 
-    A key that holds a large part of ``left`` stays spread out: the only outer side Spark may not split
-    under skew is that of a full join, so ``how='full'`` runs as a left join (splittable) plus the right
-    rows whose key is absent from the distinct keys of ``left`` (combined on the map side).
+    A left or inner join whose left side has a hot key is split by adaptive execution. A full join cannot
+    be split, so with ``hot_keys`` it runs as a left join plus the right rows whose key is absent from the
+    distinct keys of ``left`` (which combine on the map side); ``left`` is then read twice, the second time
+    for its keys only.
     """
     by = [by] if isinstance(by, str) else list(by or shared_columns(left, right))
     if not by:
         raise ValueError("no columns to join on")
+    if how not in ("inner", "left", "full"):
+        raise ValueError("how must be 'inner', 'left' or 'full'")
     clash = [c for c in shared_columns(left, right) if c not in by]
     left = left.withColumnsRenamed({c: c + suffixes[0] for c in clash})
     right = right.withColumnsRenamed({c: c + suffixes[1] for c in clash})
-    rest_l = [c for c in left.columns if c not in by]
-    rest_r = [c for c in right.columns if c not in by]
-    spark_how = {"inner": "inner", "left": "left", "full": "left"}[how]
-    out = left.join(_keyed(right, by), _match(by, null_keys), spark_how).select(*by, *rest_l, *rest_r)
+    rest = [c for df in (left, right) for c in df.columns if c not in by]
+    split = how == "full" and hot_keys
+    joined = left.join(_keyed(right, by), _match(by, null_keys), "left" if split else how)
     if how != "full":
-        return out
-    only_right = anti(right, left, by, null_keys=null_keys)
-    return out.unionByName(only_right, allowMissingColumns=True)
+        return joined.select(*by, *rest)
+    if split:
+        only_right = anti(right, left, by, null_keys=null_keys)
+        return joined.select(*by, *rest).unionByName(only_right, allowMissingColumns=True)
+    keys = [F.coalesce(F.col(k), F.col(_KEY.format(i))).alias(k) for i, k in enumerate(by)]
+    return joined.select(*keys, *rest)
 
 
 def semi(left: DataFrame, right: DataFrame, by: str | Sequence[str], null_keys: str = "match") -> DataFrame:

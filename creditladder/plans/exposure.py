@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import EXPOSURE_BALANCE_FLOOR, LOSS_GIVEN_DEFAULT
 from ..functions.nulls import if_known, na_zero, ratio, replace_where, sum_or_zero
+from ..operators.aggregates import category_share
 from ..operators.joins import merge
 from ..operators.reshape import select_range
 
@@ -20,10 +21,11 @@ def build_exposure(
 
     balances (loan_id, time, balance), profile (see PROFILE), guarantees (loan_id, guarantee, notes),
     ratings (rc_opp_number, time, risk_category). Loans without a profile have no opportunity number;
-    ``null_keys`` decides whether they meet ratings without one.
+    ``null_keys`` decides whether they meet ratings without one. Balance rows without a readable id may
+    be many, so the full join is the one that spreads them.
     """
     rap = merge(profile.select(*PROFILE), guarantees, "loan_id", "left", null_keys)
-    pro = merge(balances, rap, "loan_id", "full", null_keys)
+    pro = merge(balances, rap, "loan_id", "full", null_keys, hot_keys=True)
     return merge(pro, ratings, ["rc_opp_number", "time"], "left", null_keys)
 
 
@@ -81,3 +83,8 @@ def loan_loss_output(el: DataFrame) -> DataFrame:
     """The per-loan result: id, month, balance, the columns from pd to the category, then the loss."""
     middle = select_range(el, "pd", "risk_category").columns
     return el.select("loan_id", "time", "balance", *middle, "pd_profile", "el")
+
+
+def category_share_by_month(el: DataFrame) -> DataFrame:
+    """Share of each category in the month's balance."""
+    return category_share(el, "time", "risk_category", "balance")

@@ -63,17 +63,22 @@ def add_chain_products(df: DataFrame) -> DataFrame:
     return df.withColumns(chain_products())
 
 
-def historic_means(df: DataFrame, category: str = "risk_category") -> list[Column]:
-    """Mean migration probability of the loans that stand on each of the last three rungs, as scalars of
-    one aggregated row."""
-    rungs = (("pm_substandard", "Special Mention"), ("pm_doubtful", "Substandard"), ("pm_wo", "Doubtful"))
-    row = df.agg(*[F.avg(F.when(F.col(category) == label, F.col(pm))).alias(pm) for pm, label in rungs])
-    return [row.select(pm).scalar() for pm, _ in rungs]
+def historic_means(df: DataFrame, category: str = "risk_category") -> Column:
+    """Mean migration probability of the loans that stand on each of the last three rungs: one aggregated
+    row as a scalar struct (to_sub, to_doubtful, to_wo)."""
+    rungs = (
+        ("to_sub", "pm_substandard", "Special Mention"),
+        ("to_doubtful", "pm_doubtful", "Substandard"),
+        ("to_wo", "pm_wo", "Doubtful"),
+    )
+    means = [F.avg(F.when(F.col(category) == label, F.col(pm))).alias(name) for name, pm, label in rungs]
+    return df.agg(F.struct(*means).alias("means")).scalar()
 
 
 def active_pd_avg(df: DataFrame, category: str = "risk_category", history: DataFrame | None = None) -> Column:
     """Own probability of the next step times the historic mean rates of the later steps."""
-    to_sub, to_doubtful, to_wo = historic_means(df if history is None else history, category)
+    means = historic_means(df if history is None else history, category)
+    to_sub, to_doubtful, to_wo = (means[name] for name in ("to_sub", "to_doubtful", "to_wo"))
     return by_category(
         category,
         [

@@ -186,5 +186,5 @@ def fit_linear(df: DataFrame, label: str, feature: str, where: Column | None = N
 
 
 def score_linear(df: DataFrame, fitted: DataFrame, feature: str, out_col: str) -> DataFrame:
-    a, b = fitted.select("intercept").scalar(), fitted.select("slope").scalar()
-    return df.withColumn(out_col, a + b * F.col(feature))
+    line = fitted.select(F.struct("intercept", "slope")).scalar()
+    return df.withColumn(out_col, line["intercept"] + line["slope"] * F.col(feature))

@@ -82,10 +82,10 @@ LOAN_COLUMNS = {
 }
 
 
-def one_per_month(ratings: DataFrame) -> DataFrame:
+def one_per_month(ratings: DataFrame, unknown_month: date | None = None) -> DataFrame:
     """Each loan-month's last rating; ties go to the later row of the file."""
-    dated = ratings.withColumn("__month", month_end("date"))
-    kept = last_per(dated, [LOAN, "__month"], ["date", "_ord"])
+    month = month_end("date") if unknown_month is None else F.coalesce(month_end("date"), F.lit(unknown_month))
+    kept = last_per(ratings.withColumn("__month", month), [LOAN, "__month"], ["date", "_ord"])
     return kept.select(LOAN, F.col("__month").alias(MONTH), "monitor_score", "risk_category_sf")
 
 
@@ -123,7 +123,7 @@ def _months_single_pass(src: PanelSources) -> DataFrame:
         sums={"paid", "disbursed"},
     )
     months = months.filter("has_balances or has_payments or has_maturities")
-    ratings = keyed(one_per_month(src.ratings), "monitor_score", "risk_category_sf")
+    ratings = one_per_month(src.ratings.filter(F.col(LOAN).isNotNull()), NO_MONTH)
     rated = merge(months, ratings, KEY, "left", null_keys="drop")
     rated = rated.withColumns(
         {c: F.when(F.col("has_balances"), F.col(c)) for c in ("monitor_score", "risk_category_sf")}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.aggregates import value_counts
 from ..operators.reshape import select_existing
 from .models import fit_linear, fit_rating_factor, score_linear, score_rating_factor
 
@@ -35,3 +36,8 @@ def rate_by_line(loans: DataFrame) -> DataFrame:
 def rated_book(rated: DataFrame) -> DataFrame:
     """The active book for a later loss study."""
     return select_existing(rated.filter(active_last_year()), BOOK_COLUMNS)
+
+
+def predicted_counts(rated: DataFrame, column: str) -> DataFrame:
+    """How many loans got each predicted value (10 digits)."""
+    return value_counts(rated, column, 10)

@@ -28,6 +28,12 @@ def write_table(
         writer.format(fmt).save(path)
 
 
+def write_report(tables: Mapping[str, DataFrame], path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
+    """Several result tables, each in its own folder under ``path``."""
+    for name, df in tables.items():
+        write_table(df, f"{path}/{name}", fmt, mode=mode)
+
+
 def save_models(models: Mapping[str, FittedLogit], path: str, spark: SparkSession) -> None:
     """One table of coefficients, plus each ML model under its own name."""
     rows = [

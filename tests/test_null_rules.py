@@ -27,10 +27,11 @@ def test_merge_matches_null_keys_or_not(frame):
     right = frame("k int, b string", [(1, "x"), (None, "y"), (4, "z")])
     assert rows(merge(left, right, "k", "left")) == [(None, "n", "y"), (1, "a", "x"), (3, "c", None)]
     assert rows(merge(left, right, "k", "left", null_keys="drop")) == [(None, "n", None), (1, "a", "x"), (3, "c", None)]
-    assert rows(merge(left, right, "k", "full")) == [(None, "n", "y"), (1, "a", "x"), (3, "c", None), (4, None, "z")]
-    assert rows(merge(left, right, "k", "full", null_keys="drop")) == [
-        (None, None, "y"), (None, "n", None), (1, "a", "x"), (3, "c", None), (4, None, "z"),
-    ]
+    for hot in (False, True):
+        full = merge(left, right, "k", "full", hot_keys=hot)
+        assert rows(full) == [(None, "n", "y"), (1, "a", "x"), (3, "c", None), (4, None, "z")]
+        full = merge(left, right, "k", "full", null_keys="drop", hot_keys=hot)
+        assert rows(full) == [(None, None, "y"), (None, "n", None), (1, "a", "x"), (3, "c", None), (4, None, "z")]
     assert rows(semi(left, right, "k").select("k")) == [(None,), (1,)]
     assert rows(anti(left, right, "k").select("k")) == [(3,)]
 

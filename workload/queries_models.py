@@ -325,6 +325,29 @@ def score_chain(t: Inputs) -> DataFrame:
     return rounded(scored.select("loan_id", *_PM, "pdx"), **dict.fromkeys([*_PM, "pdx"], RATE))
 
 
+@query(
+    "chain_line",
+    f"""select round(regr_intercept({' * '.join(_PM)}, pd), 4) intercept, round(regr_slope({' * '.join(_PM)}, pd), 4) slope
+        from {{scored_chain}}""",
+)
+def chain_line(t: Inputs) -> DataFrame:
+    """Straight line of the chain's product on the original probability."""
+    scored = mig.add_chain_products(mig.chain_scores(t("loans"), chain(t)))
+    return rounded(fit_linear(scored, "pdx", "pd"), intercept=COEF, slope=COEF)
+
+
+@query(
+    "chain_means",
+    "\nunion all\n".join(
+        f"select '{n}' as variable, round(avg({v}), 6) mean from {{scored_chain}}"
+        for n, v in [*((c, c) for c in _PM), ("pd", "pd"), ("pdx", " * ".join(_PM))]
+    ),
+)
+def chain_means(t: Inputs) -> DataFrame:
+    scored = mig.add_chain_products(mig.chain_scores(t("loans"), chain(t)))
+    return rounded(agg.means(scored, [*_PM, "pd", "pdx"], strict=True), mean=RATE)
+
+
 @query(
     "rate_active_book",
     f"""select loan_id, risk_category, {_by_category_sql(_AHEAD, 'pd_active')},
