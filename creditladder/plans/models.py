@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,7 @@ from ..session import cut_lineage
 
 MAX_ITERATIONS = 25
 TOLERANCE = 1e-8
+PARALLEL_FITS = 6
 
 
 @dataclass(frozen=True)
@@ -75,7 +77,7 @@ def fit_logits(
     df: DataFrame, segments: Mapping[str, Segment], durable: bool = False, persist: bool = True
 ) -> dict[str, FittedLogit]:
     """Fit every segment of a family from one shared training frame. ``persist=False`` when ``df`` is
-    kept already."""
+    kept already. The fits are independent and small beside a cluster, so a few run side by side."""
     names = list(segments)
     features = list(dict.fromkeys(f for s in segments.values() for f in s.features))
     cols = [F.col(f).cast("double").alias(f) for f in features]
@@ -97,7 +99,9 @@ def fit_logits(
         train = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         counts = _segment_counts(train, [segments[n] for n in names])
-        return {n: _fit_one(train, n, i, segments[n], counts) for i, n in enumerate(names)}
+        fit = inheritable_thread_target(df.sparkSession)(lambda i: _fit_one(train, names[i], i, segments[names[i]], counts))
+        with ThreadPool(min(len(names), PARALLEL_FITS)) as pool:
+            return dict(zip(names, pool.map(fit, range(len(names)))))
     finally:
         if persist:
             train.unpersist()

@@ -11,7 +11,7 @@ DATA = os.environ.get("TEST_DATA_DIR", "/root/testdata")
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(os.environ.get("TEST_CPUS", "8"), app="tests")
+    session = local_session(os.environ.get("TEST_CPUS", "8"), app="tests", **{"spark.sql.shuffle.partitions": "4"})
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()
