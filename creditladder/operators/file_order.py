@@ -38,13 +38,17 @@ def _edge(df: DataFrame, ord: str, n: int, last: bool) -> Column:
     return df.select(ord).orderBy(key).limit(n).agg(pick(ord)).scalar()
 
 
-def trim_rows(df: DataFrame, head: int = 2, tail: int = 1, ord: str = "_ord") -> DataFrame:
-    """Without the first ``head`` and the last ``tail`` rows."""
+def trim_rows(
+    df: DataFrame, head: int = 2, tail: int = 1, ord: str = "_ord", ordinals: DataFrame | None = None
+) -> DataFrame:
+    """Without the first ``head`` and the last ``tail`` rows. ``ordinals`` may name an earlier frame with the
+    same ordinals, so that finding the edges does not repeat the steps in between."""
+    source = df if ordinals is None else ordinals
     out = df
     if head:
-        out = out.filter(F.col(ord) > _edge(df, ord, head, last=False))
+        out = out.filter(F.col(ord) > _edge(source, ord, head, last=False))
     if tail:
-        out = out.filter(F.col(ord) < _edge(df, ord, tail, last=True))
+        out = out.filter(F.col(ord) < _edge(source, ord, tail, last=True))
     return out
 
 

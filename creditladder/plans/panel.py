@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import features as feat
 from ..functions.dates import month_end
 from ..functions.nulls import flag_or_zero
-from ..functions.ladder import category_code, category_label, reached_flags
+from ..functions.ladder import reached_flags
 from ..operators.joins import guard_single, merge
 from ..operators.windows import (
     cumulative_count,
@@ -203,11 +203,6 @@ def month_powers() -> dict[str, Column]:
     }
 
 
-def display_category(label: str = "risk_category_sf") -> Column:
-    """The label, or null when it is none of the ladder's."""
-    return category_label(category_code(label))
-
-
 def active_as_of(panel: DataFrame, date: str) -> DataFrame:
     """Sets ``active``: 1 when the loan has a positive balance on that day, else 0.
 

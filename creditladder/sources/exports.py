@@ -165,7 +165,7 @@ def load_balances(spark: SparkSession, path: str, drop_null_ids: bool = True, mo
 
 def clean_balances(named: DataFrame, drop_null_ids: bool = True, month: str = "end") -> DataFrame:
     dated = fill_down_ordered(named.withColumn("date", parse_month_label("date")), "date")
-    rows = drop_rollups(trim_rows(dated, head=2, tail=1), "loan_id", ROLLUP_LABELS)
+    rows = drop_rollups(trim_rows(dated, head=2, tail=1, ordinals=named), "loan_id", ROLLUP_LABELS)
     day = month_end("date") if month == "end" else month_start("date")
     out = rows.select(parse_id("loan_id").alias("loan_id"), day.alias("date"), parse_number("balance").alias("balance"))
     return out.filter(F.col("loan_id").isNotNull()) if drop_null_ids else out

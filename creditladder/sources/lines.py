@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,7 +32,8 @@ def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
     """The non-blank lines of a file (or a folder of part files, by name) with a dense 0-based ``_ord``.
 
     Each input split numbers its own lines; a table with one row per split supplies the offsets. Nothing
-    is sorted, and only the split table (bytes / split size rows) meets a one-task window.
+    is sorted, and only the split table (bytes / split size rows) meets a one-task window. A split that is
+    read again, also after a lost executor, numbers its lines the same way.
     """
     split = ["_path", "_start"]
     lines = (
@@ -46,6 +48,12 @@ def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(offsets, split).select((F.col("_pos") + F.col("_shift")).alias("_ord"), "value")
 
 
+def first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
+    """The first ``n`` non-blank lines of the first file; only the top of that file is read."""
+    first = min(spark.read.text(path).inputFiles())
+    return [r.value for r in spark.read.text(unquote(first)).filter(F.trim("value") != "").take(n)]
+
+
 def read_export(spark: SparkSession, path: str, skip: int = 0, ordered: bool = False) -> DataFrame:
     """A CSV export with a header, every field as text under its safe name.
 
@@ -56,13 +64,12 @@ def read_export(spark: SparkSession, path: str, skip: int = 0, ordered: bool = F
     if not (skip or ordered):
         df = spark.read.csv(path, header=True, inferSchema=False, escape='"')
         return df.toDF(*safe_names(df.columns))
-    lines = ordered_lines(spark, path)
-    header = lines.filter(F.col("_ord") == skip).select("value").first()
-    if header is None:
+    top = first_lines(spark, path, skip + 1)
+    if len(top) <= skip:
         raise ValueError(f"{path}: no header line after {skip} title lines")
-    names = safe_names(next(csv.reader([header.value])))
+    names = safe_names(next(csv.reader([top[skip]])))
     schema = ", ".join(f"`{n}` string" for n in names)
-    parsed = lines.filter(F.col("_ord") > skip).select(
+    parsed = ordered_lines(spark, path).filter(F.col("_ord") > skip).select(
         (F.col("_ord") - skip - 1).alias("_ord"), F.from_csv("value", schema, {"escape": '"'}).alias("r")
     )
     return parsed.select("_ord", *[F.col("r")[n].alias(n) for n in names])

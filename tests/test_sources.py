@@ -56,6 +56,13 @@ def test_ratings_keep_file_order(spark, file):
     ]
 
 
+def test_file_names_with_blanks_and_missing_headers(spark, file):
+    path = file("List of all.csv", "Title", "a,b", "1,2")
+    assert rows(read_export(spark, path, skip=1)) == [(0, "1", "2")]
+    with pytest.raises(ValueError, match="no header"):
+        read_export(spark, path, skip=9)
+
+
 def test_wide_categories(spark, file):
     path = file("c.csv", "Loan,1/31/2016,2/29/2016", "5,1,NA", "6,,4")
     assert rows(exports.load_wide_categories(spark, path)) == [
