@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,13 +21,14 @@ ORACLES: dict[str, str] = {}
 
 @dataclass(frozen=True)
 class Inputs:
-    """The views over one data folder, as attributes or by name."""
+    """The views over one data folder by name; each table is opened once per query."""
 
     spark: SparkSession
     sf_dir: str
+    opened: dict[str, DataFrame] = field(default_factory=dict)
 
     def __call__(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, name)
+        return view(self.spark, self.sf_dir, name, self.opened)
 
 
 def query(name: str, sql: str | None = None):
