@@ -38,7 +38,8 @@ def compare(spark, con, query, sql, sf_dir):
         return False, f"columns {names} / {names2}"
     types = {n: (schema[n], other[n]) for n in names if schema[n] != other[n]}
     if rows != rows2:
-        a, b = [r for r in rows if r not in set(rows2)], [r for r in rows2 if r not in set(rows)]
+        have, want = set(rows), set(rows2)
+        a, b = [r for r in rows if r not in want], [r for r in rows2 if r not in have]
         return False, f"{len(rows)}/{len(rows2)} rows, {len(a)} differ: {names} {a[:3]} {b[:3]} types {types}"
     return True, f"{len(rows)} rows" + (f" types {types}" if types else "")
 
