@@ -6,10 +6,14 @@ import pytest
 from compare import compare, connection
 
 import __spark_entry__ as entry_points
+from workload.fixtures import with_views
 from workload.irls import irls
+from workload.oracle_views import ORACLE_VIEWS
+from workload.registry import ORACLES as SQL
+from workload.registry import QUERIES
 
 # Fits need the larger folder: at the smallest size their last segments are separable.
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+ORACLES = {name: with_views(sql, ORACLE_VIEWS) for name, sql in SQL.items()}
 FITS = {n for n, sql in ORACLES.items() if "fit_" in sql}
 
 
@@ -27,6 +31,7 @@ def duck():
 
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
