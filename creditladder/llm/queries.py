@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, secrets, token_counts
+from . import langid, packing, quality, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 TOKEN_LIMIT = 512
+QUALITY_CUT = 0.3
 
 
 def query(fn):
@@ -53,3 +54,30 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.listing(spans, secrets.BASE_KINDS), 256).alias("base_sha256"),
         secrets.listing(spans).alias("spans"),
     )
+
+
+def fold(folds: int) -> Column:
+    """The part of a split that a document belongs to."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
+
+
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from two thirds of them."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(~held_out(3, 1)))
+    return langid.predict(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def held_out(folds: int, part: int) -> Column:
+    """Not learned from. Rows without an id are held out."""
+    return F.coalesce(fold(folds) == part, F.lit(True))
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from four fifths of the labels."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").filter(~held_out(5, 0)))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
