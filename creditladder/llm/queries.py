@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, quality_rules, secrets, token_counts
+from . import langid, mixing, packing, quality, quality_rules, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,54 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judged.select(*columns, F.array_join("rules", ",").alias("rules"))
+
+
+@query
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents in the mix of their sources."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs).select(
+        "doc_id", "source", *[F.col(f"mix_{c}").cast("long").alias(c) for c in ("copy", "block", "release", "deadline", "slot", "position")]
+    )
+
+
+ORACLES["op1_mix_sources"] = f"""
+with recursive sizes as (
+  select case when source is null then '-' else '+' || source end src, count(*) n from documents group by all),
+shared as (
+  select *, 1 + pow(n, {mixing.EXPONENT}) / sum(pow(n, {mixing.EXPONENT})) over () * ({mixing.PERIOD} - count(*) over ()) exact from sizes),
+ranked as (
+  select src, n, cast(floor(exact) as bigint) low, row_number() over (order by floor(exact) - exact, src) k,
+         {mixing.PERIOD} - sum(cast(floor(exact) as bigint)) over () spare from shared),
+sources as (select src, n, low + case when k <= spare then 1 else 0 end c from ranked),
+edf(t, src, c, had, took) as (
+  select cast(-1 as bigint), src, cast(c as bigint), cast(0 as bigint), false from sources
+  union all
+  select t + 1, src, c, had + case when pick then 1 else 0 end, pick from (
+    select *, row_number() over (
+      order by case when had < c and had * {mixing.PERIOD} // c <= t + 1
+                    then (had * {mixing.PERIOD} + {mixing.PERIOD} + c - 1) // c else 1000000000 end, src) = 1 pick
+    from edf) e
+  where t < {mixing.PERIOD - 1}),
+slots as (select src, c, had - 1 r, t from edf where took),
+lengths as (
+  select max(((n + {mixing.BLOCK_ROWS - 1}) // {mixing.BLOCK_ROWS} - 1) // s.c * {mixing.PERIOD} + l.t + 1) len
+  from sources s join slots l on l.src = s.src and l.r = ((n + {mixing.BLOCK_ROWS - 1}) // {mixing.BLOCK_ROWS} - 1) % s.c),
+planned as (
+  select s.src, n, s.c, len // {mixing.PERIOD} * s.c
+         + (select count(*) from slots l where l.src = s.src and l.t < len % {mixing.PERIOD}) blocks
+  from sources s, lengths),
+docs as (
+  select doc_id, source, case when source is null then '-' else '+' || source end src,
+         row_number() over (partition by source order by md5(cast(doc_id as varchar)), doc_id) - 1 i from documents),
+copies as (
+  select doc_id, source, d.src, c, u.k copy, i + u.k * n q
+  from docs d join planned p on d.src = p.src,
+       lateral (select unnest(range(0, cast(ceil((blocks * {mixing.BLOCK_ROWS} - i) / n) as bigint))) k) u)
+select doc_id, source, copy, q // {mixing.BLOCK_ROWS} block,
+       (q // {mixing.BLOCK_ROWS}) * {mixing.PERIOD} // x.c release,
+       ((q // {mixing.BLOCK_ROWS} + 1) * {mixing.PERIOD} + x.c - 1) // x.c deadline,
+       q // {mixing.BLOCK_ROWS} // x.c * {mixing.PERIOD} + t slot,
+       (q // {mixing.BLOCK_ROWS} // x.c * {mixing.PERIOD} + t) * {mixing.BLOCK_ROWS} + q % {mixing.BLOCK_ROWS} position
+from copies x join slots l on l.src = x.src and l.r = q // {mixing.BLOCK_ROWS} % x.c
+"""
