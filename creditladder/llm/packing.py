@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .units import Encoder, slices, text_column
+from .units import encoder, slices, text_column
 
 LENGTH = 2048
 #: Tokens packed together in one task; the number of such groups grows with the corpus.
@@ -26,12 +26,12 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int, folds: bool, id_col:
     id_type = fields.schema["id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary, folds)
+        coder = encoder(vocabulary, folds)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, edges = encoder.ids(text_column(part.column("text")), end_id)
-                offsets = (edges * encoder.width.itemsize).astype(np.int32)
+                ids, edges = coder.ids(text_column(part.column("text")), end_id)
+                offsets = (edges * coder.width.itemsize).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(row, row + part.num_rows)),
@@ -99,7 +99,7 @@ def pack(
 ) -> DataFrame:
     """Pieces of all documents in sequences of at most ``length`` tokens (a power of two): (id, start,
     length, doc_tokens, sequence_id, offset, sequence_cost, ids), ids as little-endian unsigned 32-bit.
-    ``folds``: see ``Encoder``; true for the default vocabulary, false is right for every one.
+    ``folds``: see ``units.Encoder``; true for the default vocabulary, false is right for every one.
 
     The tokenized rows are written to the shared folder once. They are dealt by row, not by key, into groups of
     about ``group_tokens`` tokens, so no source, id or copied text gathers anywhere; a group is packed

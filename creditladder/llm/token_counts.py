@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .units import Encoder, slices, text_column
+from .units import encoder, slices, text_column
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -25,12 +25,12 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     id_type = fields.schema["id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        coder = encoder(vocabulary)
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = text_column(part.column("text"))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pc.binary_length(texts).cast(pa.int64()), pa.array(encoder.lengths(texts))],
+                    [part.column("id"), pc.binary_length(texts).cast(pa.int64()), pa.array(coder.lengths(texts))],
                     ["id", "n_bytes", "n_tokens"],
                 )
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +100,12 @@ def balanced(values: list[str], most: int = ENCODE_BYTES) -> Iterator[list[str]]
         yield batch
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, folds: bool = False) -> Encoder:
+    """The encoder of a worker process, which later tasks find with its units."""
+    return Encoder(path, folds)
+
+
 class Encoder:
     """A tokenizer of the ``tokenizers`` library whose results for distinct units are kept between batches.
     ``KEPT_UNITS`` bounds the memory: units beyond it are encoded each time they occur in a batch.
@@ -110,15 +117,16 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
-        self.folds, self.kept, self.known = folds, kept, {}
+        self.folds, self.kept = folds, kept
+        self.known_lengths: dict[str, int] = {}
+        self.known_ids: dict[str, bytes] = {}
 
     def _units(self, texts: pa.StringArray):
         units, starts = cut_units(folded(texts), marks=True) if self.folds else cut_units(texts)
         coded = units.dictionary_encode()
         return coded.dictionary.to_pylist(), coded.indices.to_numpy(), starts
 
-    def _look_up(self, words: list[str], result) -> list:
-        known = self.known
+    def _look_up(self, words: list[str], result, known: dict) -> list:
         found = [known.get(w) for w in words]
         new = [i for i, x in enumerate(found) if x is None]
         at = iter(new)
@@ -132,14 +140,14 @@ class Encoder:
     def lengths(self, texts: pa.StringArray) -> np.ndarray:
         """Number of ids of each text."""
         words, codes, starts = self._units(texts)
-        sizes = np.array(self._look_up(words, len), np.int64)
+        sizes = np.array(self._look_up(words, len, self.known_lengths), np.int64)
         total = np.concatenate(([0], np.cumsum(sizes[codes] if len(codes) else sizes[:0])))
         return np.diff(total[starts])
 
     def ids(self, texts: pa.StringArray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, each text followed by ``end``; and each text's place there."""
         words, codes, starts = self._units(texts)
-        parts = self._look_up(words, lambda e: np.array(e.ids, self.width).tobytes())
+        parts = self._look_up(words, lambda e: np.array(e.ids, self.width).tobytes(), self.known_ids)
         flat = np.frombuffer(b"".join(parts), self.width)
         sizes = np.array([len(p) for p in parts], np.int64) // self.width.itemsize
         firsts = np.cumsum(sizes) - sizes
