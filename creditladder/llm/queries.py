@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality, quality_rules, secrets, token_counts
+from . import langid, mixing, near_vectors, packing, quality, quality_rules, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,3 +140,25 @@ select doc_id, source, copy, q // {mixing.BLOCK_ROWS} block,
        (q // {mixing.BLOCK_ROWS} // x.c * {mixing.PERIOD} + t) * {mixing.BLOCK_ROWS} + q % {mixing.BLOCK_ROWS} position
 from copies x join slots l on l.src = x.src and l.r = q // {mixing.BLOCK_ROWS} % x.c
 """
+
+
+@query
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of all vectors."""
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op10_near_vectors"] = """
+with recursive v as (
+  select vec_id, cast(embedding as double[]) e from embeddings
+  where embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+u as (select vec_id, e, sqrt(list_inner_product(e, e)) n from v where list_inner_product(e, e) > 0),
+l as (select a.vec_id a, b.vec_id b from u a join u b on a.vec_id <> b.vec_id
+      and list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+reach(a, b) as (select a, b from l union select r.a, l.b from reach r join l on r.b = l.a),
+low as (select a, least(a, min(b)) b from reach group by a),
+n as (select a, count(*) k from l group by a)
+select vec_id, coalesce(k, 0) n_links, coalesce(low.b, vec_id) component_id, coalesce(low.b, vec_id) = vec_id kept
+from embeddings left join n on n.a = vec_id left join low on low.a = vec_id
+"""
