@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, near_vectors, packing, quality, quality_rules, secrets, token_counts
+from . import jaccard_join, langid, mixing, near_vectors, packing, quality, quality_rules, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -162,3 +162,9 @@ n as (select a, count(*) k from l group by a)
 select vec_id, coalesce(k, 0) n_links, coalesce(low.b, vec_id) component_id, coalesce(low.b, vec_id) = vec_id kept
 from embeddings left join n on n.a = vec_id left join low on low.a = vec_id
 """
+
+
+@query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and component of all documents."""
+    return jaccard_join.near_documents(table(spark, sf_dir, "documents"))
