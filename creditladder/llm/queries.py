@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, langid, mixing, near_vectors, packing, quality, quality_rules, secrets, token_counts
+from . import jaccard_join, langid, main_text, mixing, near_vectors, packing, quality, quality_rules, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -168,3 +168,10 @@ from embeddings left join n on n.a = vec_id left join low on low.a = vec_id
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles and component of all documents."""
     return jaccard_join.near_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    found = main_text.extract(table(spark, sf_dir, "pages"), main_text.fit())
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
