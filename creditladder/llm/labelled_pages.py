@@ -44,7 +44,7 @@ class Maker:
         return self.pick(f"<nav>{inner}</nav>", f'<div class="{self.pick("menu", "navbar", "nav", "breadcrumb", "top-menu")}">{inner}</div>', f'<div id="{self.pick("nav", "menu")}">{inner}</div>')
 
     def header(self) -> str:
-        inner = f"{self.pick('<h1>', '<div class=logo>', '<p>')}{self.words(1, 4)}" + self.pick("", f"<p>{self.sentence()}</p>")
+        inner = self.pick(*(f"<{t}>{self.words(1, 4)}</{t}>" for t in ("h1", "div", "p"))) + self.pick("", f"<p>{self.sentence()}</p>")
         return self.pick(f"<header>{inner}</header>", f'<div class="{self.pick("header", "site-header", "masthead", "banner")}">{inner}</div>', f'<div id="header">{inner}</div>')
 
     def footer(self) -> str:
@@ -95,7 +95,7 @@ class Maker:
         for _ in range(self.rng.randint(1, 9)):
             parts.append(self.paragraph())
             if self.chance(0.12):
-                parts.append(f"<h{self.pick('2', '3')}>{self.words(1, 5)}</h{self.pick('2', '3')}>")
+                parts.append(self.pick(f"<h2>{self.words(1, 5)}</h2>", f"<h3>{self.words(1, 5)}</h3>"))
             if self.chance(0.08):
                 parts.append("<ul>" + "".join(f"<li>{self.sentence()}</li>" for _ in range(self.rng.randint(2, 5))) + "</ul>")
             if self.chance(0.06):
@@ -120,9 +120,9 @@ class Maker:
         out.append((-1, opening))
         for part in self.article():
             out.append((1, part))
-            if self.chance(0.05):
+            if self.chance(0.08):
                 out.append((0, self.rng.choice([self.advert, self.sidebar, self.notice, self.form])()))
-        if self.chance(0.1):
+        if self.chance(0.15):
             out.append((0, self.comments()))
         out.append((-1, closing))
         out += [(0, f()) for f in self.rng.sample(after, self.rng.randint(0, 4))]

@@ -15,7 +15,7 @@ from .labelled_pages import labelled_pages
 from .page_blocks import leaf_blocks
 from .units import slices
 
-PAGES = 500
+PAGES = 700
 ROUNDS = 200
 RATE = 0.3
 RIDGE = 1e-4
@@ -32,8 +32,12 @@ HINTS = {
     "head": r"^head|masthead|logo|topbar|hero",
     "share": r"share|social|follow|tags?$|author|byline|meta$",
     "form": r"form|search|login|signup|input",
+    # Last, since a word of another kind beside it says more.
     "main": r"article|content|post|entry|story|main|body|text",
 }
+#: Elements that say what their content is; of these, the ones that hold main text.
+REGIONS = frozenset("article main nav header footer aside form button select dialog menu".split())
+MAIN = frozenset("article main".split())
 HINT = {k: re.compile(v) for k, v in HINTS.items()}
 WORD = re.compile(r"[a-z]+")
 
@@ -46,9 +50,13 @@ def path_features(path: tuple[tuple[str, str], ...]) -> list[str]:
         for word in WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", marks).lower()):
             out.add(f"class:{word}")
             out |= {f"hint:{k}" for k, pattern in HINT.items() if pattern.search(word)}
-    hints = {x[5:] for x in out if x.startswith("hint:")}
-    if hints - {"main", "head", "share"}:
-        out.add("hint:outside")
+    for tag, marks in reversed(path):
+        words = WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", marks).lower())
+        hints = [k for k, pattern in HINT.items() if any(map(pattern.search, words))]
+        if tag in REGIONS or hints:
+            # The innermost ancestor that says what it is; the first hint counts, "main" being the last.
+            out |= {f"near:{hints[0] if hints and hints[0] != 'main' else tag if tag in REGIONS else 'main'}", f"near:{'main' if set(hints) <= {'main'} and (tag in MAIN or tag not in REGIONS) else 'outside'}"}
+            break
     return sorted(out)
 
 

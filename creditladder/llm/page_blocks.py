@@ -13,6 +13,7 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template svg iframe object audio video math xmp noframes".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())  # the end of one ends any
 CLOSES_P = BLOCK - frozenset("body button caption html iframe option optgroup select td th tr tbody thead tfoot".split())
 #: Opening one of the keys ends an open element of its values, looked for up to a limit.
 IMPLIED = {
@@ -74,7 +75,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[tuple[str, str], ...], int]]
             continue
         name = name.lower()
         if m["close"]:
-            i = last({name}, frozenset() if name in BLOCK else BLOCK)
+            i = last(HEADINGS if name in HEADINGS else {name}, frozenset() if name in BLOCK else BLOCK)
             if i >= 0:
                 pop_to(i)
             continue
