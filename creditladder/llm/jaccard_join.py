@@ -198,22 +198,16 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.select("x", "y", "text_x", "text_y").mapInArrow(check, "x long, y long")
 
 
-def near_documents(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row: the size of the text's set of distinct 5-word shingles and the
-    smallest id among all rows reachable by links (100 * intersection >= ``percent`` * union).
-
-    Every link between different components of what was linked before is verified; pairs inside one component are not
-    looked at again. Null, empty and blank texts: 0 shingles, linked with nothing. Rows with equal ids keep
-    their rows; null ids take part, but are a component's id only where it has no other. Other columns are not
-    read. Sets are compared by 64-bit hashes of their shingles; a second signature must agree for rows taken as
-    equal, otherwise the job fails.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+def _joined(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with words and without: (id, n, node); and the nodes: (node, root, low), low being the node's first
+    row as (no id, id, key)."""
+    rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     surveyed = cut_lineage(survey(rows), "survey")
     found = surveyed.filter("n is not null").select("id", "key", "n", "node", "proof")
-    proven = F.assert_true(F.min("proof") == F.max("proof"), "two shingle sets of one signature")
-    nodes = found.filter("n > 0").groupBy("node").agg(F.min("id").alias("low"), F.min("key").alias("key"), proven.alias("proof"))
-    nodes = cut_lineage(nodes.filter("proof is null").select("node", "low", "key"), "nodes")
+    proven = F.assert_true(F.min("proof") == F.max("proof"), F.lit("two shingle sets of one signature"))
+    row = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"))
+    nodes = found.filter("n > 0").groupBy("node").agg(F.min(row).alias("low"), proven.alias("proof"))
+    nodes = cut_lineage(nodes.filter("proof is null").select("node", "low"), "nodes")
 
     # Frequent shingles are known to be shared; only the others need their nodes counted.
     all_rows = prefixes(rows, frequent_tokens(surveyed), percent)
@@ -224,15 +218,14 @@ def near_documents(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_i
     shared = rare.select("token", "node", "info").union(common).select("token", "node", *_unpacked())
     shared = cut_lineage(shared, "prefixes")
 
-    wanted = shared.select("node").distinct().join(nodes, "node").select("node", "key")
+    wanted = shared.select("node").distinct().join(nodes, "node").select("node", F.col("low.key").alias("key"))
     texts = cut_lineage(rows.select("key", "text").join(wanted, "key").select("node", "text").dropDuplicates(["node"]), "texts")
 
     first = shared.filter("first")
     lead = first.groupBy("token").agg(F.min("node").alias("lead"))
     led = first.join(lead, "token").filter("node > lead").groupBy("node", "lead").count()
-    best = led.groupBy("node").agg(F.max(F.struct("count", F.negative("lead"))).alias("b"))
-    stars = best.select(F.negative("b.col2").alias("x"), F.col("node").alias("y"))
-    star_links = cut_lineage(verified(stars, texts, percent), "links")
+    best = led.groupBy("node").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
+    star_links = cut_lineage(verified(best.select(F.col("lead").alias("x"), F.col("node").alias("y")), texts, percent), "links")
     groups = components(star_links.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     placed = shared.join(groups, "node", "left").select("token", "node", "n", "level", "asked", F.coalesce("root", "node").alias("root"))
@@ -252,9 +245,40 @@ def near_documents(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_i
     cross_links = cut_lineage(verified(pairs, texts, percent), "links")
 
     every = star_links.union(cross_links).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    of_node = nodes.select("node", "low").join(components(every), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = of_node.groupBy("root").agg(F.min("low").alias("component"))
-    of_node = of_node.join(lowest, "root").select("node", "component")
+    roots = components(every) if not cross_links.isEmpty() else groups
+    return found, nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low")
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """A number that rows of the same id and text share."""
+    return F.xxhash64(id_col, text_col)
+
+
+def near_documents(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) of every row: the size of the text's set of distinct 5-word shingles and the
+    smallest id among all rows reachable by links (100 * intersection >= ``percent`` * union).
+
+    Every link between different components of what was linked before is verified; pairs inside one component are not
+    looked at again. Null, empty and blank texts: 0 shingles, linked with nothing. Rows with equal ids keep
+    their rows; null ids take part, but are a component's id only where it has no other. Other columns are not
+    read. Sets are compared by 64-bit hashes of their shingles; a second signature must agree for rows taken as
+    equal, otherwise the job fails.
+    """
+    found, nodes = _joined(docs, percent, id_col, text_col)
+    lowest = nodes.groupBy("root").agg(F.min("low").alias("first"))
+    of_node = nodes.join(lowest, "root").select("node", F.col("first.id").alias("component"))
     linked = found.filter("n > 0").join(of_node, "node").select("id", "n", "component")
     alone = found.filter("n = 0").select("id", "n", F.col("id").alias("component"))
     return linked.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that stay when of each component only the row of the smallest id (of
+    these the one of the smallest key of id and text) is kept. Texts without words are linked with nothing, so
+    all of them stay."""
+    _, nodes = _joined(docs, percent, id_col, text_col)
+    keys = nodes.groupBy("root").agg(F.min("low").alias("first")).select(F.col("first.key").alias("key"))
+    wordless = F.translate(F.coalesce(F.col(text_col), F.lit("")), "\t\n\x0b\x0c\r ", "") == ""
+    keyed = docs.select(row_key(id_col, text_col).alias("key"), F.struct(*docs.columns).alias("row"), wordless.alias("wordless"))
+    kept = keyed.filter(~F.col("wordless")).join(keys, "key", "left_semi").dropDuplicates(["key"])
+    return kept.select("row.*").union(keyed.filter("wordless").select("row.*"))
