@@ -37,6 +37,10 @@ class Features:
         names = [w.strip() for w in coded.dictionary.to_pylist()]
         distinct = pa.array(names, pa.string()).dictionary_encode()
         codes = distinct.indices.to_numpy()[coded.indices.to_numpy()]
+        blank = distinct.dictionary.to_pylist().index("") if "" in names else -1
+        real = codes != blank
+        starts = np.concatenate(([0], np.cumsum(real)))[starts]
+        codes = codes[real]
         hashes = np.array([hash_word(w) for w in distinct.dictionary.to_pylist()], np.uint64)
         ids, sizes = self.ngrams(distinct.dictionary)
         pairs = np.zeros(len(codes), np.uint64)
