@@ -4,7 +4,9 @@ prefixes.
 All shingles have one order: rarer before frequent (as far as counted), then by hash. Two sets that reach the
 threshold share at least l shingles within the first n - ceil(t * n) + l of each. A document's l is 1, and higher
 the more candidates its prefix would bring: the prefix is lengthened by l - 1 shingles, and a pair is only
-verified when it shares the smaller of both l. The steps:
+verified when it shares the smaller of both l. As prefixes are cut for the smallest possible partner and a pair's
+sizes are known when it is counted, it must share as many more as its own least overlap exceeds that of
+the larger set's (a set of n has n - prefix shingles outside its prefix, which bounds what is not counted). The steps:
 
 1. every text's shingle set has a signature; rows of equal sets are one node, of which one text goes on;
 2. frequent shingles are counted over all texts, and order and l follow;
@@ -41,6 +43,8 @@ MOST_FREQUENT = 1 << 20
 MOST_MATCHES = 8
 #: Leading shingles by which step 4 pairs a node.
 FIRST = 8
+#: Parts in which the prefix rows of a frequent shingle are dealt out.
+LOTS = 64
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -209,13 +213,12 @@ def _joined(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[
     nodes = found.filter("n > 0").groupBy("node").agg(F.min(row).alias("low"), proven.alias("proof"))
     nodes = cut_lineage(nodes.filter("proof is null").select("node", "low"), "nodes")
 
-    # Frequent shingles are known to be shared; only the others need their nodes counted.
-    all_rows = prefixes(rows, frequent_tokens(surveyed), percent)
-    own = Window.partitionBy("token")
-    rare = all_rows.filter(F.col("info").bitwiseAND(1) == 0)
-    rare = rare.withColumn("low", F.min("node").over(own)).withColumn("high", F.max("node").over(own)).filter("low < high")
-    common = all_rows.filter(F.col("info").bitwiseAND(1) == 1).select("token", "node", "info").distinct()
-    shared = rare.select("token", "node", "info").union(common).select("token", "node", *_unpacked())
+    # Frequent shingles are known to be shared, so their rows may lie apart; of the others one of several nodes stays.
+    common = F.col("info").bitwiseAND(1) == 1
+    rows_of = prefixes(rows, frequent_tokens(surveyed), percent).withColumn("lot", F.when(common, F.pmod("node", F.lit(LOTS))).otherwise(0))
+    own = Window.partitionBy("token", "lot")
+    met_others = rows_of.withColumn("low", F.min("node").over(own)).withColumn("high", F.max("node").over(own)).filter(common | (F.col("low") < F.col("high")))
+    shared = met_others.select("token", "lot", "node", "info").distinct().select("token", "node", *_unpacked())
     shared = cut_lineage(shared, "prefixes")
 
     wanted = shared.select("node").distinct().join(nodes, "node").select("node", F.col("low.key").alias("key"))
@@ -224,7 +227,8 @@ def _joined(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[
     first = shared.filter("first")
     lead = first.groupBy("token").agg(F.min("node").alias("lead"))
     led = first.join(lead, "token").filter("node > lead").groupBy("node", "lead").count()
-    best = led.groupBy("node").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
+    # Near copies share most of their first shingles; a pair with one in common can wait for the exact step.
+    best = led.filter("count > 1").groupBy("node").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
     star_links = cut_lineage(verified(best.select(F.col("lead").alias("x"), F.col("node").alias("y")), texts, percent), "links")
     groups = components(star_links.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
@@ -240,8 +244,11 @@ def _joined(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[
         & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
         & (F.greatest("a.level", "b.level") <= asked)
     )
-    met = a.join(b, meet).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), asked.alias("asked"))
-    pairs = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("count"), F.min("asked").alias("asked")).filter("count >= asked")
+    size = F.col("a.n") + F.col("b.n")
+    overlap = F.ceil(percent * size / (100 + percent))
+    floor = F.ceil(percent * F.greatest("a.n", "b.n") / 100)
+    met = a.join(b, meet).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), (asked + overlap - floor).alias("least"))
+    pairs = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("count"), F.min("least").alias("least")).filter("count >= least")
     cross_links = cut_lineage(verified(pairs, texts, percent), "links")
 
     every = star_links.union(cross_links).select(F.col("x").alias("a"), F.col("y").alias("b"))
