@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .nulls import col, flag, if_known, replace_where
@@ -20,15 +20,7 @@ LADDER = (
 RUNG_THRESHOLDS = (0, 1, 2, 3)
 CODE_THRESHOLDS = (None, 0, 6, 12)
 FLAGS = ("current", "special_mention", "substandard", "doubtful")
-WRITEOFF_TEXT = ("Writeoff", "1")
-
-
-def category_dim(spark: SparkSession) -> DataFrame:
-    """The ladder as a five-row table, for joins and display order."""
-    return spark.createDataFrame(
-        [(i + 1, *row) for i, row in enumerate(LADDER)],
-        "display_order int, label string, rung int, watch_code int, loan_code int",
-    )
+WRITEOFF_TEXT = "Writeoff"
 
 
 def category_code(label: str | Column, watch_list: bool = True) -> Column:
@@ -64,8 +56,9 @@ def rung_label(rung: str | Column) -> Column:
 
 
 def is_writeoff(wo: str | Column) -> Column:
-    """Both encodings (text and 0/1) -> boolean, null kept."""
-    return col(wo).cast("string").isin(*WRITEOFF_TEXT)
+    """Both encodings (text, and 0/1 as any number or number text) -> boolean, null kept."""
+    value = col(wo).cast("string")
+    return (value == WRITEOFF_TEXT) | F.coalesce(value.try_cast("double") == 1, F.lit(False))
 
 
 def reached_flags(code: str | Column, wo: str | Column, thresholds=RUNG_THRESHOLDS) -> dict[str, Column]:

@@ -23,7 +23,11 @@ def text(c: str | Column) -> Column:
 
 
 def parse_date(c: str | Column, fmt: str = US_DATE) -> Column:
-    return F.try_to_date(col(c), fmt)
+    """Date text; leading blanks and what follows a US date, such as a time of day, are ignored."""
+    c = F.ltrim(col(c))
+    if fmt == US_DATE:
+        c = F.regexp_extract(c, r"^\d{1,2}/\d{1,2}/\d{4}", 0)
+    return F.try_to_date(c, fmt)
 
 
 def parse_month_label(c: str | Column) -> Column:

@@ -17,6 +17,7 @@ from .operators.reshape import select_existing
 from .plans import exposure, migration, rating, segments
 from .plans.models import FittedLogit, coefficients, fit_logits
 from .plans.panel import PanelSources, active_as_of, build_panel
+from .session import cut_lineage
 from .sources import exports
 from .sources.sinks import save_models, write_report, write_table
 
@@ -72,7 +73,7 @@ def run_loan_models(spark: SparkSession, inputs: str, out: str, files: Mapping[s
     flags = exports.load(spark, "payment_flags", _path(inputs, "payment_flags", files))
     df = segments.loan_frame(pds, flags)
     models = segments.fit_loan_models(df)
-    scored = segments.score_loans(df, models)
+    scored = cut_lineage(segments.score_loans(df, models), "scored")
     write_report(
         {
             "coverage": expect_covered(pds, flags, "loan_id"),
@@ -89,7 +90,9 @@ def run_loan_models(spark: SparkSession, inputs: str, out: str, files: Mapping[s
     return spark.read.parquet(f"{out}/risk_profile_pds")
 
 
-def run_loss(spark: SparkSession, inputs: str, out: str, files: Mapping[str, str] | None = None) -> DataFrame:
+def run_loss(
+    spark: SparkSession, inputs: str, out: str, files: Mapping[str, str] | None = None, duplicates: str = "error"
+) -> DataFrame:
     """Balances, profile PDs, guarantees and monthly ratings -> expected loss per loan-month and month."""
     at = lambda export: _path(inputs, export, files)
     balances = exports.load_balances(spark, at("balances"), drop_null_ids=False, month="start")
@@ -98,28 +101,37 @@ def run_loss(spark: SparkSession, inputs: str, out: str, files: Mapping[str, str
         exports.load(spark, "profile_pds", at("profile_pds")),
         exports.load_guarantees(spark, at("guarantees")),
         exports.load_monthly_ratings(spark, at("monthly_ratings")),
+        duplicates=duplicates,
     )
     el = exposure.loan_loss_output(exposure.expected_loss(exposure.clean_exposure(pro)))
     write_table(el, f"{out}/expected_loan_loss_by_month", partition_by=["time"], mode="overwrite")
     el = spark.read.parquet(f"{out}/expected_loan_loss_by_month")
+    by_month = cut_lineage(exposure.portfolio_loss(el), "losses")
     write_report(
         {
-            "expected_portfolio_loss_by_month": exposure.portfolio_loss(el),
+            "expected_portfolio_loss_by_month": by_month,
             "category_share": exposure.category_share_by_month(el),
             "missing": missing_report(el, "loan_id", {"no month": "time", "no pd": "pd"}),
         },
         out,
     )
-    return exposure.portfolio_loss(el)
+    return by_month
 
 
 def run_migration(spark: SparkSession, inputs: str, out: str, files: Mapping[str, str] | None = None) -> dict[str, FittedLogit]:
     """One row per loan -> the migration chain and the rated active book."""
     loans = segments.loan_flags(exports.load(spark, "migration_pds", _path(inputs, "migration_pds", files)))
     chain = migration.fit_chain(loans)
-    book = migration.rate_active_book(loans.withColumn("balance", F.col("balance_1215")), chain)
+    book = cut_lineage(migration.rate_active_book(loans.withColumn("balance", F.col("balance_1215")), chain), "book")
     write_table(select_existing(book, MIGRATION_OUTPUT), f"{out}/migration_pds", mode="overwrite")
-    write_report({"migration_coefficients": coefficients(spark, chain)}, out)
+    write_report(
+        {
+            "migration_coefficients": coefficients(spark, chain),
+            "migration_means": migration.chain_report(migration.chain_scores(loans, chain)),
+            "book_loss": migration.book_loss(book),
+        },
+        out,
+    )
     save_models(chain, out, spark)
     return chain
 
@@ -127,15 +139,15 @@ def run_migration(spark: SparkSession, inputs: str, out: str, files: Mapping[str
 def run_point_in_time(
     spark: SparkSession, inputs: str, out: str, chain: Mapping[str, FittedLogit], files: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """Past Septembers -> active PDs of every period found in both period tables, in one pass."""
+    """Past Septembers -> active PDs of every period, in one pass. A period that only one of the two period tables has is
+    an error."""
     loans = exports.load(spark, "september_loans", _path(inputs, "september_loans", files)).filter("last_year = 1")
     categories = exports.load_september_categories(spark, _path(inputs, "september_categories", files))
     balances = exports.load_september_balances(spark, _path(inputs, "september_balances", files))
-    periods = {}
-    for c in categories.columns[1:]:
-        period = "09" + c[-2:]
-        if f"balance_{period}" in balances.columns:
-            periods[period] = (c, f"balance_{period}")
+    periods = {"09" + c[-2:]: (c, f"balance_09{c[-2:]}") for c in categories.columns[1:]}
+    unmatched = {b for _, b in periods.values()} ^ set(balances.columns[1:])
+    if unmatched:
+        raise ValueError(f"periods in only one of the two tables: {sorted(unmatched)}")
     pit = migration.point_in_time(migration.period_table(loans, categories, balances, periods), chain)
     write_table(pit, f"{out}/september_active_pds", partition_by=["period"], mode="overwrite")
     pit = spark.read.schema(pit.schema).parquet(f"{out}/september_active_pds")

@@ -80,11 +80,10 @@ def month_total(df: DataFrame, time: str, value: str, name: str) -> DataFrame:
     """The month's total beside each row.
 
     A window over the month would put a whole month into one task; the totals are aggregated instead
-    and joined back. They have one row per calendar month, a bound the date type itself sets, so they
-    are broadcast.
+    and joined back. Spark broadcasts them by their size.
     """
     totals = df.groupBy(time).agg(sum_strict(value).alias(name))
-    return merge(df, F.broadcast(totals), time, "left")
+    return merge(df, totals, time, "left")
 
 
 def category_share(df: DataFrame, time: str, category: str, balance: str) -> DataFrame:
@@ -93,7 +92,7 @@ def category_share(df: DataFrame, time: str, category: str, balance: str) -> Dat
         sum_strict(balance).alias("cat_total"),
     )
     totals = cats.groupBy(time).agg(sum_strict("cat_total").alias("balance"))
-    out = merge(cats, F.broadcast(totals), time, "left")
+    out = merge(cats, totals, time, "left")
     return out.withColumn("cat_prop", ratio(F.col("cat_total"), F.col("balance")))
 
 

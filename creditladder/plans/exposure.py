@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.features import EXPOSURE_BALANCE_FLOOR, LOSS_GIVEN_DEFAULT
 from ..functions.nulls import if_known, na_zero, ratio, replace_where, sum_or_zero
 from ..operators.aggregates import category_share
-from ..operators.joins import merge
+from ..operators.joins import merge, unique_by
 from ..operators.reshape import select_range
 
 PROFILE = ["loan_id", "rc_opp_number", "pd", "pd_sm_wo", "pd_sub_wo", "pd_d_wo", "wo"]
 
 
 def build_exposure(
-    balances: DataFrame, profile: DataFrame, guarantees: DataFrame, ratings: DataFrame, null_keys: str = "match"
+    balances: DataFrame, profile: DataFrame, guarantees: DataFrame, ratings: DataFrame, null_keys: str = "match",
+    duplicates: str = "error",
 ) -> DataFrame:
     """Balances with each loan's probabilities, guarantee and the month's category.
 
@@ -23,7 +24,16 @@ def build_exposure(
     ratings (rc_opp_number, time, risk_category). Loans without a profile have no opportunity number;
     ``null_keys`` decides whether they meet ratings without one. Balance rows without a readable id may
     be many, so the full join is the one that spreads them.
+
+    ``duplicates="error"``: a repeated loan of the profile or the guarantees, or a repeated (number, month) of
+    the ratings, blank and missing numbers included, fails the job. With ``"repeat"`` repeated keys repeat
+    rows, so many ratings without a number multiply with the loans without one.
     """
+    if duplicates not in ("error", "repeat"):
+        raise ValueError("duplicates must be 'error' or 'repeat'")
+    if duplicates == "error":
+        profile, guarantees = unique_by(profile.select(*PROFILE), "loan_id", "profile"), unique_by(guarantees, "loan_id", "guarantees")
+        ratings = unique_by(ratings, ["rc_opp_number", "time"], "ratings")
     rap = merge(profile.select(*PROFILE), guarantees, "loan_id", "left", null_keys)
     pro = merge(balances, rap, "loan_id", "full", null_keys, hot_keys=True)
     return merge(pro, ratings, ["rc_opp_number", "time"], "left", null_keys)

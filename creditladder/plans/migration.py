@@ -105,6 +105,31 @@ def rate_active_book(book: DataFrame, chain: Mapping[str, FittedLogit], compat:
     ).withColumn("el", F.col("pd_active") * F.col("balance"))
 
 
+def book_loss(book: DataFrame, category: str = "risk_category") -> DataFrame:
+    """Expected loss of the active book without its categories' own losses, per slice (Current, below it, and
+    null for loans without a category): the sum, its rate over the balance (of all loans, and of those with a
+    known probability), and the plain mean of the probability. ``book``: active, pd_active, balance."""
+    current = F.col(category) == "Current"
+    return (
+        book.filter(F.col("active") == 1)
+        .groupBy(F.when(current, "Current").when(~current, "below").alias("slice"))
+        .agg(
+            F.sum(F.col("pd_active") * F.col("balance")).alias("el"),
+            weighted_mean("pd_active", "balance", "each").alias("loss_rate"),
+            weighted_mean("pd_active", "balance", "pair").alias("loss_rate_known"),
+            F.avg("pd_active").alias("mean_pd_active"),
+        )
+    )
+
+
+def chain_report(scored: DataFrame) -> DataFrame:
+    """(variable, mean, n_null) of the chain's probabilities and their products over all scored loans."""
+    names = [*MIGRATIONS, *chain_products()]
+    df = add_chain_products(scored)
+    wide = df.agg(*[F.avg(c).alias(c) for c in names], *[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in names])
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("mean"), F.col(f"n_{c}").alias("n_null")) for c in names])))
+
+
 def period_table(
     loans: DataFrame, categories: DataFrame, balances: DataFrame, periods: Mapping[str, tuple[str, str]]
 ) -> DataFrame:
@@ -133,6 +158,6 @@ def period_means(pit: DataFrame, by: Sequence[str] = ("period",)) -> DataFrame:
 
 
 __all__ = [
-    "MIGRATIONS", "STAGES", "active_pd_avg", "add_chain_products", "chain_scores", "fit_chain", "historic_means",
+    "MIGRATIONS", "STAGES", "active_pd_avg", "add_chain_products", "book_loss", "chain_report", "chain_scores", "fit_chain", "historic_means",
     "period_means", "period_table", "point_in_time", "rate_active_book",
 ]

@@ -40,8 +40,8 @@ class Segment:
 
 @dataclass(frozen=True)
 class FittedLogit:
-    """A fitted model. ``status`` is ok, empty, single_class or separated; only an empty segment has no
-    coefficients."""
+    """A fitted model. ``status`` is ok, empty, single_class, separated or not_converged (no fit within the allowed
+    iterations); an empty or single-class segment has no coefficients."""
 
     name: str
     label: str
@@ -95,6 +95,7 @@ def fit_logits(
             anywhere = anywhere | F.col(f"__in{i}")
         train = train.filter(anywhere)
     train = cut_lineage(train, "train") if durable else train
+    persist = persist and not durable
     if persist:
         train = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -139,8 +140,8 @@ def _separated(i: int, s: Segment, counts: Mapping[str, object]) -> bool:
 def _fit_one(train: DataFrame, name: str, i: int, s: Segment, counts: Mapping[str, object]) -> FittedLogit:
     n, events = counts[f"n{i}"], counts[f"e{i}"]
     features = tuple(s.features)
-    if n == 0:
-        return FittedLogit(name, s.label_name, features, "empty", 0, 0)
+    if events in (0, n):
+        return FittedLogit(name, s.label_name, features, "single_class" if n else "empty", n, events)
     data = VectorAssembler(inputCols=list(features), outputCol="features").transform(
         train.filter(F.col(f"__in{i}")).select(*features, F.col(f"__y{i}").alias("label"))
     )
@@ -148,12 +149,8 @@ def _fit_one(train: DataFrame, name: str, i: int, s: Segment, counts: Mapping[st
         family="binomial", link="logit", tol=TOLERANCE, maxIter=MAX_ITERATIONS, labelCol="label", featuresCol="features"
     )
     model = glm.fit(data.select("label", "features"))
-    if events in (0, n):
-        status = "single_class"
-    elif _separated(i, s, counts) or model.summary.numIterations >= MAX_ITERATIONS:
-        status = "separated"
-    else:
-        status = "ok"
+    slow = model.summary.numIterations >= MAX_ITERATIONS
+    status = "separated" if _separated(i, s, counts) else "not_converged" if slow else "ok"
     beta = tuple(float(b) for b in model.coefficients)
     return FittedLogit(name, s.label_name, features, status, n, events, float(model.intercept), beta, model)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ladder import CODE_THRESHOLDS, category_code, category_label, is_writeoff, reached_flags
 from ..functions.nulls import all_true, avg_strict, ratio, sum_strict
-from ..operators.aggregates import calibration_table, weighted_rate
+from ..operators.aggregates import calibration_table
 from ..operators.checks import tagged_rows
 from ..operators.joins import merge
 from ..operators.reshape import columns_between, select_range
@@ -185,11 +185,6 @@ def panel_calibration(
     return calibration_table(df, table)
 
 
-def segment_writeoff_rate(df: DataFrame, where: Column) -> DataFrame:
-    """Balance-weighted write-off rate of one segment."""
-    return df.filter(where).agg(weighted_rate("balance", is_writeoff(LABEL)).alias("wo_rate"))
-
-
 WRONG_WAY_RULES = {
     "watch list < special mention": ("pd_wl", "pd_sm_wo"),
     "current < special mention": ("pd", "pd_sm_wo"),

@@ -173,8 +173,8 @@ def clean_balances(named: DataFrame, drop_null_ids: bool = True, month: str = "e
 
 def load_guarantees(spark: SparkSession, path: str, cut_footer: bool = True) -> DataFrame:
     """(loan_id, guarantee as a fraction, notes). The footer starts at the first empty id; without
-    ``cut_footer`` rows with a readable id below it are kept as well."""
-    raw = read_export(spark, path, skip=1)
+    ``cut_footer`` rows with a readable id below it are kept as well. Notes may hold line breaks."""
+    raw = read_export(spark, path, skip=1, line_breaks=True)
     named = pick_positions(raw, [0, 1, 2, 4, 5], ["_ord", "close_date", "loan_id", "guarantee", "notes"])
     named = named.withColumn("loan_id", parse_id("loan_id"))
     rows = head_until_null(named, "loan_id") if cut_footer else named.filter(F.col("loan_id").isNotNull())

@@ -189,3 +189,11 @@ def test_weighted_rate_needs_known_states(frame):
     assert one(df.agg(agg.weighted_rate("w", is_writeoff("s")))) == 0.25
     hole = frame("w double, s string", [(10.0, "Writeoff"), (30.0, None)])
     assert one(hole.agg(agg.weighted_rate("w", is_writeoff("s")))) is None
+
+
+def test_writeoff_encodings(frame):
+    texts = frame("i int, s string", [(1, "Writeoff"), (2, "1"), (3, "1.0"), (4, "0"), (5, "0.0"), (6, "Performing"), (7, None)])
+    assert [r.w for r in texts.select("i", is_writeoff("s").alias("w")).orderBy("i").collect()] == [True, True, True, False, False, False, None]
+    numbers = frame("i int, n int, d double", [(1, 1, 1.0), (2, 0, 0.0), (3, None, None)])
+    got = numbers.select("i", is_writeoff("n").alias("n"), is_writeoff("d").alias("d")).orderBy("i").collect()
+    assert [(r.n, r.d) for r in got] == [(True, True), (False, False), (None, None)]

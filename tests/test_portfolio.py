@@ -64,5 +64,18 @@ def test_loss_never_exceeds_balance(spark, sf):
 
 def test_ratings_repeat_rows(inputs):
     balances, profile, guarantees, ratings = inputs
-    pro = build_exposure(balances, profile, guarantees, ratings.unionAll(ratings.filter("rc_opp_number = 'A'")))
+    pro = build_exposure(balances, profile, guarantees, ratings.unionAll(ratings.filter("rc_opp_number = 'A'")), duplicates="repeat")
     assert len([r for r in rows(pro.filter("loan_id = 1 and time is not null").select("loan_id", "time"))]) == 3
+
+
+def test_repeated_ratings_fail_unless_asked_for(inputs, frame):
+    balances, profile, guarantees, ratings = inputs
+    for number in ("A", "", None):
+        twice = ratings.unionByName(frame(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ratings.schema), [(number, MAR, "Current")] * 2))
+        with pytest.raises(Exception, match="repeated key"):
+            build_exposure(balances, profile, guarantees, twice).collect()
+        assert build_exposure(balances, profile, guarantees, twice, duplicates="repeat").count() >= 7
+    with pytest.raises(Exception, match="guarantees: repeated key"):
+        build_exposure(balances, profile, guarantees.union(guarantees), ratings).collect()
+    with pytest.raises(ValueError):
+        build_exposure(*inputs, duplicates="x")

@@ -193,3 +193,38 @@ def test_models_round_trip(spark, frame, tmp_path):
     assert back["all"].model.coefficients[0] == models["all"].coefficients[0]
     scored = score_all(data, {"p": back["all"], "q": back["none"]})
     assert scored.filter("p is null or q is not null").count() == 0
+
+
+def test_numbering_survives_other_splits_later(spark, file):
+    """The rows are numbered from one stored scan: what the session would do with the file later is no matter."""
+    n = 20_000
+    path = file("long.csv", "Title", "id,v", *[f"{i},{'x' * 40}" for i in range(n)])
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.leafNodeDefaultParallelism")
+    keep = spark.conf.get(names[0])
+    spark.conf.set(names[0], "65536")
+    spark.conf.set(names[1], "4")
+    try:
+        df = read_export(spark, path, skip=1)
+        spark.conf.set(names[0], "49152")
+        spark.conf.set(names[1], "40")
+        assert df.filter(F.col("_ord") != F.col("id").cast("long")).count() == 0 and df.count() == n
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "FileScan text" not in plan
+    finally:
+        spark.conf.set(names[0], keep)
+        spark.conf.unset(names[1])
+
+
+def test_line_breaks_in_notes(spark, file):
+    path = file("g.csv", "List", "Close Date,Loan ID,Bank,% Guaranteed,Notes", '1/1/2016,5,b,85%,"two', 'lines, one note"', "1/1/2016,6,b,50%,x", ",,,,", ",9,,10%,total")
+    assert rows(exports.load_guarantees(spark, path)) == [(5, 0.85, "two\nlines, one note"), (6, 0.5, "x")]
+    with pytest.raises(Exception, match="line_breaks"):
+        read_export(spark, path, skip=1).collect()
+
+
+def test_dates_with_times_and_blanks(spark):
+    from creditladder.functions.parsing import parse_date
+
+    texts = ["1/31/2016 0:00", " 1/5/2016", "1/5/2016", "13/1/2016", "x 1/5/2016", "", None]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", parse_date("t").alias("d")).orderBy("i").collect()
+    assert [r.d for r in got] == [date(2016, 1, 31), date(2016, 1, 5), date(2016, 1, 5), None, None, None, None]

@@ -117,7 +117,7 @@ VIEWS = {
         from (select case when o_custkey % 40 = 7 then null else concat('OPP-', o_custkey) end rc_opp_number,
                      cast(date_trunc('month', o_orderdate) as date) time,
                      max(nullif(cast(substr(o_orderpriority, 1, 1) as int), 5)) rung
-              from {orders} where o_orderkey % 3 <> 1
+              from {orders}
               group by case when o_custkey % 40 = 7 then null else concat('OPP-', o_custkey) end,
                        cast(date_trunc('month', o_orderdate) as date)) r""",
     "rated": """

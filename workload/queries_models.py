@@ -227,14 +227,43 @@ def _calibration_rows() -> str:
             column = {"special_mention": "sm", "substandard": "sub", "doubtful": "doubt"}[name]
             rows.append((name, "actual on subset", _rate("y", column, "active = 0")))
             rows.append((name, "actual all loans", _rate("y", column, "true")))
-    return "\nunion all\n".join(f"select '{n}' segment, '{s}' as statistic, round({v}, 6) as value" for n, s, v in rows)
+    known = [f"select 'known' loans, '{n}' segment, '{s}' as statistic, round({v}, 6) as value" for n, s, v in rows]
+    return "\nunion all\n".join(known + _calibration_of_all())
+
+
+def _strict_rate(where: str, size: str, only: str = "true") -> str:
+    """A write-off that counts and is unknown, or an unknown size, makes the rate unknown."""
+    return f"""(select case when count(*) filter ({where} and {only} and y is null) = 0
+                  and count(*) filter ({where} and {size} is null) = 0
+                then coalesce(sum(y) filter ({where} and {only}), 0) / nullif(cast(sum({size}) filter ({where}) as double), 0) end
+                from {{scored_loans}})"""
+
+
+def _calibration_of_all() -> list[str]:
+    score_of = {v: k for k, v in segments.LOAN_SCORES.items()}
+    rows = [("current", s, _strict_rate(w, "1")) for s, w in (
+        ("predicted on subset", "active = 0"), ("actual on subset", "active = 0"), ("actual all loans", "true"))]
+    for name in ("watch_list", "paid_1k", "special_mention", "substandard", "doubtful"):
+        rows.append((name, "predicted on subset", f"(select avg({score_of[name]}) from {{scored_loans}} where active = 0 and {_IN[name]})"))
+        if name in ("watch_list", "paid_1k"):
+            column = {"watch_list": "watch_list", "paid_1k": "pmt_1k"}[name]
+            rows.append((name, "actual on subset", _strict_rate("active = 0", column, f"{column} = 1")))
+        else:
+            column = {"special_mention": "sm", "substandard": "sub", "doubtful": "doubt"}[name]
+            rows.append((name, "actual on subset", _strict_rate("active = 0", column)))
+            rows.append((name, "actual all loans", _strict_rate("true", column)))
+    return [f"select 'all', '{n}', '{s}', round({v}, 6)" for n, s, v in rows]
 
 
 @query("calibration_table", _calibration_rows())
 def calibration_table(t: Inputs) -> DataFrame:
-    """On the loans whose write-off state is known (an unknown state makes the actual rates unknown)."""
-    df = loan_frame(t).filter("wo is not null")
-    return rounded(segments.loan_calibration(df, segments.fit_loan_models(df)), value=RATE)
+    """On all loans, where an unknown write-off state makes the actual rates unknown, and on those whose
+    state is known."""
+    df = loan_frame(t)
+    models = segments.fit_loan_models(df)
+    every = segments.loan_calibration(df, models).select(F.lit("all").alias("loans"), "*")
+    known = segments.loan_calibration(df.filter("wo is not null"), models).select(F.lit("known").alias("loans"), "*")
+    return rounded(every.unionByName(known), value=RATE)
 
 
 @query(
@@ -372,18 +401,12 @@ def rate_active_book(t: Inputs) -> DataFrame:
         round(sum({'X'} * balance), 2) el, round(coalesce(sum({'X'} * balance), 0e0) / nullif(sum(balance), 0), 6) loss_rate,
         round(avg({'X'}), 6) mean_pd_active
         from (select *, case risk_category {' '.join(f"when '{c}' then {v}" for c, v in zip(prob.CATEGORIES, _AHEAD))} end x0
-              from {_FIXED_BOOK}) y where active = 1 and balance is not null group by 1""".replace("X", "x0"),
+              from {_FIXED_BOOK}) y where active = 1 group by 1""".replace("X", "x0"),
 )
 def book_loss(t: Inputs) -> DataFrame:
     """Category-free expected loss of the active book: sums, rate and mean, by slice."""
-    df = _fixed_migrations(t("book")).filter("active = 1 and balance is not null")
-    df = df.withColumn("pd_active", prob.active_pd("risk_category"))
-    in_first = F.col("risk_category") == "Current"
-    out = df.groupBy(F.when(in_first, "Current").when(~in_first, "below").alias("slice")).agg(
-        F.sum(F.col("pd_active") * F.col("balance")).alias("el"),
-        agg.weighted_mean("pd_active", "balance", "each").alias("loss_rate"),
-        F.avg("pd_active").alias("mean_pd_active"),
-    )
+    df = _fixed_migrations(t("book")).withColumn("pd_active", prob.active_pd("risk_category"))
+    out = mig.book_loss(df).select("slice", "el", "loss_rate", "mean_pd_active")
     return rounded(out, el=MONEY, loss_rate=RATE, mean_pd_active=RATE)
 
 

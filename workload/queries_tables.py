@@ -155,6 +155,7 @@ def guarantee_report(t: Inputs) -> DataFrame:
 @query(
     "parse_dates",
     """select o_orderkey, case when o_orderkey % 11 <> 0 then cast(o_orderdate as date) end us_date,
+              case when o_orderkey % 11 <> 0 then cast(o_orderdate as date) end with_time,
               cast(date_trunc('month', o_orderdate) as date) month_label, last_day(o_orderdate) column_date
        from {orders}""",
 )
@@ -163,6 +164,7 @@ def parse_dates(t: Inputs) -> DataFrame:
     return t("orders").select(
         "o_orderkey",
         parse_date(F.when(F.col("o_orderkey") % 11 == 0, "n/a").otherwise(F.date_format(d, "M/d/yyyy"))).alias("us_date"),
+        parse_date(F.when(F.col("o_orderkey") % 11 == 0, " 13 May").otherwise(F.date_format(d, "' 'M/d/yyyy' 0:00'"))).alias("with_time"),
         parse_month_label(F.date_format(d, "MMM-yyyy")).alias("month_label"),
         parse_date(F.date_format(F.last_day(d), "'X'M.d.yyyy"), COLUMN_NAME_DATE).alias("column_date"),
     )
@@ -308,10 +310,10 @@ def na_zero_query(t: Inputs) -> DataFrame:
 @query(
     "merge_left",
     """select b.loan_id, b.date, round(b.balance, 2) balance, r.risk_category
-       from {bal} b left join {r_cat} r on b.loan_id = r.loan_id and b.date = r.date and r.risk_category > 1""",
+       from {bal} b left join {r_cat} r on b.loan_id = r.loan_id and b.date = r.date""",
 )
 def merge_left(t: Inputs) -> DataFrame:
-    out = merge(t("bal"), t("r_cat").filter("risk_category > 1"), LOAN_MONTH, "left")
+    out = merge(t("bal"), t("r_cat"), LOAN_MONTH, "left")
     return rounded(out, balance=MONEY)
 
 
@@ -373,18 +375,21 @@ def balance_by_month(t: Inputs) -> DataFrame:
 
 @query(
     "wo_rate_weighted",
-    """select p.active, round(case when count(*) = count(p.wo)
-              then sum(case when p.wo = 'Writeoff' then b.balance else 0e0 end) end / nullif(sum(b.balance), 0), 6) wo_rate
-       from {bal} b join {pds} p on b.loan_id = p.loan_id where b.balance > 200 and b.loan_id % 50 <> 0
-       group by p.active
-       union all select -1, null""",
+    """select 'all' loans, active, round(case when count(*) = count(wo)
+              then sum(case when wo = 'Writeoff' then balance else 0e0 end) end / nullif(sum(balance), 0), 6) wo_rate
+       from (select p.active, p.wo, b.balance from {bal} b join {pds} p on b.loan_id = p.loan_id where b.balance > 200) r
+       group by active
+       union all select 'known', active, round(sum(case when wo = 'Writeoff' then balance else 0e0 end) / nullif(sum(balance), 0), 6)
+       from (select p.active, p.wo, b.balance from {bal} b join {pds} p on b.loan_id = p.loan_id
+             where b.balance > 200 and p.wo is not null) k group by active""",
 )
 def wo_rate_weighted(t: Inputs) -> DataFrame:
-    """Per group, and once more over everything, where unknown states make the rate unknown."""
+    """Over all loans, where unknown states make the rate unknown, and over those whose state is known."""
     df = merge(t("bal").filter("balance > 200"), t("pds"), "loan_id", null_keys="drop")
     rate = agg.weighted_rate("balance", is_writeoff("wo")).alias("wo_rate")
-    known = df.filter(F.col("loan_id") % 50 != 0).groupBy("active").agg(rate)
-    return rounded(known.unionByName(df.agg(rate).select(F.lit(-1).alias("active"), "wo_rate")), wo_rate=RATE)
+    every = df.groupBy(F.lit("all").alias("loans"), "active").agg(rate)
+    known = df.filter("wo is not null").groupBy(F.lit("known").alias("loans"), "active").agg(rate)
+    return rounded(every.unionByName(known), wo_rate=RATE)
 
 
 @query(
@@ -399,13 +404,13 @@ def pd_weighted_each(t: Inputs) -> DataFrame:
 
 @query(
     "pd_weighted_pair",
-    """select risk_category, round(sum(pd * balance) / nullif(sum(case when pd is not null then balance end), 0), 6)
-              weighted_pd
-       from (select risk_category, balance, case when loan_id % 7 = 0 then null else pd end pd from {book}
-             where balance is not null) b group by risk_category""",
+    """select risk_category, round(case when count(*) filter (pd is not null and balance is null) = 0
+                then sum(pd * balance) / nullif(sum(case when pd is not null then balance end), 0) end, 6) weighted_pd
+       from (select risk_category, balance, case when loan_id % 7 = 0 then null else pd end pd from {book}) b
+       group by risk_category""",
 )
 def pd_weighted_pair(t: Inputs) -> DataFrame:
-    book = t("book").filter("balance is not null").withColumn("pd", F.when(F.col("loan_id") % 7 != 0, F.col("pd")))
+    book = t("book").withColumn("pd", F.when(F.col("loan_id") % 7 != 0, F.col("pd")))
     out = book.groupBy("risk_category").agg(agg.weighted_mean("pd", "balance", "pair").alias("weighted_pd"))
     return rounded(out, weighted_pd=RATE)
 
@@ -768,3 +773,20 @@ def expect_covered_query(t: Inputs) -> DataFrame:
 def missing_report_query(t: Inputs) -> DataFrame:
     df = merge(t("bal_month"), t("profile"), "loan_id", "full")
     return missing_report(df, "loan_id", {"no month": "time", "no pd": "pd"})
+
+
+@query(
+    "writeoff_encodings",
+    """select o_orderkey, case o_orderkey % 8 when 0 then null when 1 then true when 2 then true when 3 then true when 7 then true
+              else false end from_text,
+              case when o_orderkey % 3 = 2 then null else o_orderkey % 3 = 1 end from_double from {orders}""",
+)
+def writeoff_encodings(t: Inputs) -> DataFrame:
+    """The write-off state as text, number text and number."""
+    k = F.col("o_orderkey")
+    texts = F.array(*map(F.lit, (None, "Writeoff", "1", "1.0", "0", "0.0", "Performing", " 1")))
+    return t("orders").select(
+        "o_orderkey",
+        is_writeoff(F.get(texts, (k % 8).cast("int"))).alias("from_text"),
+        is_writeoff(F.when(k % 3 == 2, None).otherwise((k % 3).cast("double"))).alias("from_double"),
+    )
