@@ -175,3 +175,51 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     found = main_text.extract(table(spark, sf_dir, "pages"), main_text.fit())
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def _op9_sql() -> str:
+    q = quality_rules
+    shares = {
+        "symbols": "case when word_chars > 0 then n_symbols / word_chars else 0e0 end",
+        "dup_lines": "case when n_lines > 0 then n_dup_lines / n_lines else 0e0 end",
+        "repeats": "case when n_words > 0 then n_repeat_words / n_words else 0e0 end",
+        "long_words": "case when n_words > 0 then n_long_words / n_words else 0e0 end",
+    }
+    stratum = "case " + " ".join(f"when n_words >= {least} then {i}" for i, least in reversed(list(enumerate(q.STRATA)))) + " end"
+    level, limit = q.DELTA / (len(q.STRATA) * len(q.RULES) * len(q.GRID)), q.RISK / len(q.RULES)
+    space = r"[\x20\x09-\x0D]"
+    return rf"""
+with d as (
+  select doc_id, coalesce(text, '') t, list_filter(regexp_split_to_array(coalesce(text, ''), '{space}+'), lambda x: x <> '') w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l
+  from documents),
+g as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] g
+      from (select doc_id, w, unnest(range(1, len(w) - 1)) i from d) p),
+r as (select doc_id, count(distinct i + k) n
+      from (select *, count(*) over (partition by doc_id, g) c from g) x, (select unnest([0, 1, 2]) k) o where c > 1 group by doc_id),
+s as (
+  select d.doc_id, len(w) n_words, length(regexp_replace(t, '{space}', '', 'g')) word_chars,
+         length(t) - length(translate(t, '{q.SYMBOLS}', '')) n_symbols, len(l) - len(list_distinct(l)) n_dup_lines,
+         coalesce(r.n, 0) n_repeat_words, len(l) n_lines, len(list_filter(w, lambda x: length(x) > 20)) n_long_words
+  from d left join r on d.doc_id = r.doc_id),
+x as (select *, {stratum} stratum, n_words < {q.LEAST_WORDS} or 100 * n_repeat_words > {q.MOST_REPEATED} * n_words base_failed,
+             {", ".join(f"{v} {k}" for k, v in shares.items())} from s),
+good as (select * from x where not base_failed and doc_id in (select doc_id from labels where quality = 1)),
+long as (select stratum, rule, v from (select stratum, unnest({list(q.RULES)}) rule, unnest([{", ".join(q.RULES)}]) v from good) y),
+k as (select stratum, rule, cut, count(*) n, count(*) filter (v > cut) k
+      from long, (select unnest([{", ".join(f"{c!r}e0" for c in q.GRID)}]) cut) c group by all),
+p as (select stratum, rule, cut, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({limit}) + (n - j) * ln(1 - {limit}))) p
+      from (select *, unnest(range(0, k + 1)) j from k) z group by all),
+cuts as (select stratum, rule, min(cut) cut from p where p <= {level!r} group by all),
+hit as (select doc_id, x.stratum, u.rule, u.v > c.cut over_cut
+        from (select doc_id, stratum, unnest({list(q.RULES)}) rule, unnest([{", ".join(q.RULES)}]) v from x) u
+        join x using (doc_id) join cuts c on c.stratum = x.stratum and c.rule = u.rule),
+broken as (select doc_id, string_agg(rule, ',' order by list_position({list(q.RULES)}, rule)) rules from hit where over_cut group by doc_id)
+select x.doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_chars, cast(n_symbols as bigint) n_symbols,
+       cast(n_dup_lines as bigint) n_dup_lines, cast(n_repeat_words as bigint) n_repeat_words, base_failed,
+       not base_failed and rules is null kept, coalesce(rules, '') rules
+from x left join broken on broken.doc_id = x.doc_id
+"""
+
+
+ORACLES["op9_quality_rules"] = _op9_sql()
