@@ -18,7 +18,9 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 8 << 20
 ENCODE_BYTES = 64 << 10
-KEPT_UNITS = 500_000
+#: A worker keeps the results of at most this many units, none of them longer than so many characters.
+KEPT_UNITS = 200_000
+KEPT_LENGTH = 64
 
 
 def text_column(column: pa.Array) -> pa.StringArray:
@@ -108,7 +110,8 @@ def encoder(path: str, folds: bool = False) -> Encoder:
 
 class Encoder:
     """A tokenizer of the ``tokenizers`` library whose results for distinct units are kept between batches.
-    ``KEPT_UNITS`` bounds the memory: units beyond it are encoded each time they occur in a batch.
+    ``KEPT_UNITS`` and ``KEPT_LENGTH`` bound the memory: units beyond either are encoded once in each batch
+    that holds them.
     ``folds``: the vocabulary lower-cases, drops white space and splits letters from marks."""
 
     def __init__(self, path: str, folds: bool = False, kept: int = KEPT_UNITS):
@@ -133,7 +136,7 @@ class Encoder:
         for batch in balanced([words[i] for i in new]):
             for word, encoding in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
                 found[next(at)] = value = result(encoding)
-                if len(known) < self.kept:
+                if len(known) < self.kept and len(word) <= KEPT_LENGTH:
                     known[word] = value
         return found
 
