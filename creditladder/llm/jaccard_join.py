@@ -11,9 +11,10 @@ the larger set's (a set of n has n - prefix shingles outside its prefix, which b
 1. every text's shingle set has a signature; rows of equal sets are one node, of which one text goes on;
 2. frequent shingles are counted over all texts, and order and l follow;
 3. prefix rows meet by shingle; a shingle of one node only goes;
-4. each node is verified against one node with which it shares most of its first shingles, so large groups of near
-   copies become components without pairs inside them;
-5. the remaining pairs, of different components, are counted, filtered by l and size, and verified;
+4. in rounds, each node of a crowded shingle is verified against one node of another component, drawn anew for each
+   shingle and round, so large groups of near copies become components without pairs inside them;
+5. the remaining pairs, of different components, are counted, filtered by l and size, and verified; of each
+   shingle's largest component the nodes only meet those outside it;
 6. components give the smallest id.
 """
 
@@ -41,8 +42,11 @@ RUN = 4_000_000
 REPORTED = 16
 MOST_FREQUENT = 1 << 20
 MOST_MATCHES = 8
-#: Leading shingles by which step 4 pairs a node.
-FIRST = 8
+#: Step 4 looks at shingles of this many nodes or more. It ends after ROUNDS, or when fewer than one in PAYS of a
+#: round's pairs link. All three affect cost, never the result: step 5 takes whatever is left.
+CROWD = 8
+ROUNDS = 6
+PAYS = 4
 #: Parts in which the prefix rows of a frequent shingle are dealt out.
 LOTS = 64
 
@@ -131,10 +135,10 @@ def frequent_tokens(surveyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
-    """(token, node, n, level, asked, first, common): the prefix of every node, once per task.
+    """(token, node, info): the prefix of every node, once per task.
 
-    ``level`` is the number of matches whose prefix the shingle enters with, ``asked`` the node's number of
-    matches, ``common`` marks frequent shingles."""
+    ``info`` holds the size n of the node's set, ``level``, the number of matches whose prefix the shingle enters
+    with, ``asked``, the node's number of matches, and ``common``, which marks frequent shingles."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +166,7 @@ def prefixes(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent:
                 place = np.arange(size)
                 level = np.maximum(place - base + 2, 1)
                 out.append(own[:size])
-                info.append((n << 16) | (level << 10) | (ask << 4) | ((place < FIRST) << 1) | (weight[:size] > 1))
+                info.append((n << 16) | (level << 10) | (ask << 4) | (weight[:size] > 1))
                 of.append(np.full(size, x))
             if out:
                 arrays = [np.concatenate(out).view(np.int64), np.concatenate(of), np.concatenate(info).astype(np.int64)]
@@ -177,7 +181,6 @@ def _unpacked() -> list[Column]:
         F.shiftright(info, 16).alias("n"),
         F.shiftright(info, 10).bitwiseAND(63).alias("level"),
         F.shiftright(info, 4).bitwiseAND(63).alias("asked"),
-        (info.bitwiseAND(2) > 0).alias("first"),
     ]
 
 
@@ -202,6 +205,55 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.select("x", "y", "text_x", "text_y").mapInArrow(check, "x long, y long")
 
 
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """The sizes of two prefix rows' sets allow a link, and the shingle counts for the matches asked of both."""
+    return (100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")) & (
+        F.greatest(f"{a}.level", f"{b}.level") <= F.least(f"{a}.asked", f"{b}.asked")
+    )
+
+
+def _least(a: str, b: str, percent: int) -> Column:
+    """Prefix shingles that two linked sets share at least."""
+    overlap = F.ceil(percent * (F.col(f"{a}.n") + F.col(f"{b}.n")) / (100 + percent))
+    return F.least(f"{a}.asked", f"{b}.asked") + overlap - F.ceil(percent * F.greatest(f"{a}.n", f"{b}.n") / 100)
+
+
+def _placed(shared: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """The prefix rows with the root of the node's component so far."""
+    if groups is None:
+        return shared.withColumn("root", F.col("node"))
+    return shared.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _stars(crowded: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Verified links (x, y) that join large groups, and the components (node, root) by them.
+
+    Every shingle draws one of its nodes as lead; a node of another component is paired with the lead it shares
+    most such shingles with. So a round has at most one pair per node, however large a group is."""
+    links: DataFrame | None = None
+    groups: DataFrame | None = None
+    for i in range(ROUNDS):
+        placed = _placed(crowded, groups)
+        drawn = F.struct(F.xxhash64("node", F.lit(i)), "node", "n", "level", "asked", "root")
+        leads = placed.groupBy("token").agg(F.min(drawn).alias("lead"), F.min("root").alias("low"), F.max("root").alias("high"))
+        leads = leads.filter("low < high").select("token", "lead")
+        led = placed.alias("a").join(leads, "token").filter((F.col("root") != F.col("lead.root")) & _may_link("a", "lead", percent))
+        led = led.select("node", F.col("lead.node").alias("lead"), _least("a", "lead", percent).alias("least"))
+        counted = led.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("count"), F.min("least").alias("least"))
+        # A lead is drawn for only part of the shingles that it shares with a node, so half of what links need will do.
+        likely = counted.filter((F.col("count") > 1) & (2 * F.col("count") >= F.col("least")))
+        pairs = likely.groupBy("node").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
+        pairs = cut_lineage(pairs.select(F.col("lead").alias("x"), F.col("node").alias("y")), "tried")
+        found = cut_lineage(verified(pairs, texts, percent), "links")
+        tried, linked = pairs.count(), found.count()
+        links = found if links is None else links.union(found)
+        if linked:
+            groups = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        if PAYS * linked < tried or not tried:
+            break
+    return links, groups
+
+
 def _joined(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows with words and without: (id, n, node); and the nodes: (node, root, low), low being the node's first
     row as (no id, id, key)."""
@@ -221,38 +273,33 @@ def _joined(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[
     shared = met_others.select("token", "lot", "node", "info").distinct().select("token", "node", *_unpacked())
     shared = cut_lineage(shared, "prefixes")
 
-    wanted = shared.select("node").distinct().join(nodes, "node").select("node", F.col("low.key").alias("key"))
-    texts = cut_lineage(rows.select("key", "text").join(wanted, "key").select("node", "text").dropDuplicates(["node"]), "texts")
-
-    first = shared.filter("first")
-    lead = first.groupBy("token").agg(F.min("node").alias("lead"))
-    led = first.join(lead, "token").filter("node > lead").groupBy("node", "lead").count()
-    # Near copies share most of their first shingles; a pair with one in common can wait for the exact step.
-    best = led.filter("count > 1").groupBy("node").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
-    star_links = cut_lineage(verified(best.select(F.col("lead").alias("x"), F.col("node").alias("y")), texts, percent), "links")
-    groups = components(star_links.select(F.col("x").alias("a"), F.col("y").alias("b")))
-
-    placed = shared.join(groups, "node", "left").select("token", "node", "n", "level", "asked", F.coalesce("root", "node").alias("root"))
-    apart = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
-    placed = cut_lineage(placed.join(apart, "token").distinct(), "apart")
-    a, b = placed.alias("a"), placed.alias("b")
-    asked = F.least("a.asked", "b.asked")
+    many = shared.groupBy("token").count().filter(F.col("count") >= CROWD).select("token")
+    crowded = cut_lineage(shared.join(many, "token"), "crowded")
+    in_crowd = crowded.select("node").distinct().withColumn("crowded", F.lit(True))
+    wanted = shared.select("node").distinct().join(nodes, "node").join(in_crowd, "node", "left")
+    wanted = wanted.select("node", F.col("low.key").alias("key"), F.coalesce("crowded", F.lit(False)).alias("crowded"))
+    texts = cut_lineage(rows.select("key", "text").join(wanted, "key").select("node", "text", "crowded").dropDuplicates(["node"]), "texts")
+
+    star_links, groups = _stars(crowded, texts.filter("crowded"), percent)
+    placed = _placed(shared, groups)
+    sizes = placed.groupBy("token", "root").count().groupBy("token")
+    apart = sizes.agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+    placed = cut_lineage(placed.join(apart.filter("roots > 1").drop("roots"), "token"), "apart")
+    a, b = placed.filter("root <> main").alias("a"), placed.alias("b")
     meet = (
         (F.col("a.token") == F.col("b.token"))
-        & (F.col("a.node") < F.col("b.node"))
         & (F.col("a.root") != F.col("b.root"))
-        & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-        & (F.greatest("a.level", "b.level") <= asked)
+        & ((F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
+        & _may_link("a", "b", percent)
+    )
+    met = a.join(b, meet).select(
+        F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y"), _least("a", "b", percent).alias("least")
     )
-    size = F.col("a.n") + F.col("b.n")
-    overlap = F.ceil(percent * size / (100 + percent))
-    floor = F.ceil(percent * F.greatest("a.n", "b.n") / 100)
-    met = a.join(b, meet).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), (asked + overlap - floor).alias("least"))
     pairs = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("count"), F.min("least").alias("least")).filter("count >= least")
     cross_links = cut_lineage(verified(pairs, texts, percent), "links")
 
     every = star_links.union(cross_links).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    roots = components(every) if not cross_links.isEmpty() else groups
+    roots = components(every) if groups is None or not cross_links.isEmpty() else groups
     return found, nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "low")
 
 
