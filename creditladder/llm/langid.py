@@ -27,6 +27,8 @@ REJECT_FROM = 6
 UNKNOWN = "und"
 SIZE_CLASSES = 24
 DOCS_AT_ONCE = 256
+#: Bytes of text whose words are looked at together: what a task holds beside a batch grows with it.
+SLICE = 2 << 20
 
 
 class Vectors:
@@ -108,7 +110,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_
         vectors = Vectors()
         frequency = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 langs = part.column("lang").to_pylist()
                 draw = (part.column("h").to_numpy().view(np.uint64) >> np.uint64(11)) / float(1 << 53)
                 for a, counts in vectors(text_column(part.column("text"))):
@@ -166,7 +168,7 @@ def predict(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, vectors = shared.value, Vectors()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 pred, cosine, rejected = _predict(text_column(part.column("text")), own, vectors)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pred, cosine, rejected], ["id", "lang_pred", "score", "rejected"])
 
@@ -197,7 +199,7 @@ def keep_identified(docs: DataFrame, model: Centroids, text_col: str = "text") -
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, vectors = shared.value, Vectors()
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, SLICE):
                 rejected = _predict(text_column(part.column(text_col)), own, vectors)[2]
                 yield part.filter(pc.invert(rejected))
 
