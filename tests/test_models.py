@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from creditladder.functions.probability import active_pd, chain_products, next_downgrade

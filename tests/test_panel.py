@@ -6,7 +6,7 @@ import dataclasses
 from datetime import date
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from creditladder.plans.panel import OUTPUT, PanelSources, active_as_of, build_panel

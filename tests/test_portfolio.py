@@ -3,7 +3,7 @@ from __future__ import annotations
 from datetime import date
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from creditladder.plans.exposure import build_exposure, clean_exposure, expected_loss, loan_loss_output, portfolio_loss
 from workload.queries_models import loss_rows
