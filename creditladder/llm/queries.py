@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, langid, main_text, mixing, near_vectors, packing, quality, quality_rules, secrets, token_counts
+from . import jaccard_join, langid, main_text, mixing, near_vectors, packing, quality, quality_rules, secrets, token_counts, word_runs
+from .quality_rules import SPACE, let
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -223,3 +224,78 @@ from x left join broken on broken.doc_id = x.doc_id
 
 
 ORACLES["op9_quality_rules"] = _op9_sql()
+
+
+def with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in the texts whose crc32 of the id is divisible by 10, words from a place on repeat with a
+    period; both follow from the crc32 and the number of words. The other texts stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n).cast("int")
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))).cast("int")
+
+        def word(i: Column) -> Column:
+            return F.get(words, F.when(i < a, i).otherwise(a + F.pmod(i - a, p)))
+
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), word), " ")).otherwise("")
+
+    words = F.filter(F.split("text", SPACE), lambda w: w != "")
+    return docs.select("doc_id", F.when(h % 10 == 0, let(words, repeated)).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, of which every tenth has planted repeats."""
+    found = word_runs.find_runs(with_planted_repeats(table(spark, sf_dir, "documents")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    shown = found.withColumn("top", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("top.start").alias("start"),
+        (-F.col("top.n")).alias("length"),
+        F.col("top.period").alias("period"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+    return shown.withColumn("exponent_milli", F.floor(1000 * F.col("length") / F.col("period")))
+
+
+ORACLES["op13_word_runs"] = r"""
+with crc as (
+  select list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+    lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) t),
+ids as (select distinct doc_id from documents where doc_id is not null),
+hashed as (
+  select doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ascii(x) as bigint))),
+    lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8)), 4294967295) h from ids, crc),
+split as (
+  select documents.doc_id, h, h // 10 g, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') w
+  from documents left join hashed using (doc_id)),
+places as (select *, len(w) n, case when len(w) > 0 then g % len(w) end a from split),
+periods as (select *, 1 + (n - a) // (3 + g % 8) p from places),
+docs as (
+  select row_number() over () d, doc_id, n,
+         case when h % 10 = 0 and n > 0 then list_transform(range(n), lambda i: w[case when i < a then i else a + (i - a) % p end + 1]) else w end w
+  from periods),
+words as (select d, n, unnest(range(n)) i, unnest(w) w from docs),
+same as (
+  select x.d, y.i - x.i q, x.i, x.i - row_number() over (partition by x.d, y.i - x.i order by x.i) island
+  from words x join words y on x.d = y.d and x.w = y.w and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+stretches as (select d, min(i) s, count(*) + q l, q from same group by d, q, island having count(*) + q >= greatest(6, 4 * q)),
+runs as (
+  select * from stretches r where not exists (
+    select 1 from stretches o where o.d = r.d and o.q < r.q and o.s <= r.s and o.s + o.l >= r.s + r.l)),
+listed as (
+  select d, count(*) n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) lines,
+         list_sort(list([-l, s, q]))[1] top
+  from runs group by d),
+gone as (select distinct d, unnest(range(s + q, s + l)) i from runs),
+stay as (select d, string_agg(w, ' ' order by i) t from words anti join gone using (d, i) group by d)
+select doc_id, coalesce(n_runs, 0) n_runs, cast(top[2] as bigint) start, cast(-top[1] as bigint) length, cast(top[3] as bigint) period,
+       cast(1000 * -top[1] // top[3] as bigint) exponent_milli, sha256(coalesce(lines, '')) runs_sha256, sha256(coalesce(t, '')) collapsed_sha256
+from docs left join listed using (d) left join stay using (d)
+"""
