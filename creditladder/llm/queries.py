@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, langid, main_text, mixing, near_vectors, packing, quality, quality_rules, secrets, token_counts, word_runs
+from . import jaccard_join, langid, main_text, mixing, near_vectors, packing, quality, quality_rules, secrets, source_divergence, token_counts, word_runs
 from .quality_rules import SPACE, let
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,6 +226,38 @@ from x left join broken on broken.doc_id = x.doc_id
 ORACLES["op9_quality_rules"] = _op9_sql()
 
 
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of all sources of a language, and the terms that each has more of."""
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_source_divergence"] = r"""
+with d as (
+  select row_number() over () r, coalesce(lang, '') lang, coalesce(source, '') source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') t
+  from documents),
+terms as (select r, lang, source, unnest(t) term from d),
+kept as (select lang, term, count(*) n from terms group by all having count(distinct r) >= 30),
+langs as (select lang, count(term) v, coalesce(sum(n), 0) total from (select distinct lang from d) x left join kept using (lang) group by lang),
+own as (select lang, source, term, count(*) n from terms semi join kept using (lang, term) group by all),
+sources as (
+  select d.lang, d.source, v, coalesce(total, 0) total from (select distinct lang, source from d) d
+  join (select lang, v from langs) l using (lang) left join (select lang, source, sum(n) total from own group by all) o using (lang, source)),
+p as (
+  select s.lang, s.source, k.term, coalesce(o.n, 0) n,
+         1 + cast(1000000000 as hugeint) * (coalesce(o.n, 0) + 5) // (s.total + 5 * s.v) p,
+         1 + cast(1000000000 as hugeint) * (k.n + 5) // (l.total + 5 * s.v) q
+  from sources s join langs l using (lang) join kept k using (lang) left join own o on o.lang = s.lang and o.source = s.source and o.term = k.term),
+apart as (select a.lang, a.source, b.source item, sum(abs(a.p - b.p)) f from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' part, b.source item, coalesce(f, 0) f
+          from sources a join sources b on a.lang = b.lang and a.source <> b.source left join apart x on x.lang = a.lang and x.source = a.source and x.item = b.source),
+more as (select lang, source, 'term' part, term item, p - q f from p where n > 0 and p > q)
+select lang, source, part, item, cast(f as bigint) "value", cast(row_number() over (partition by lang, source, part order by f desc, item) as int) "rank"
+from (from pairs union all from more) x qualify part = 'pair' or "rank" <= 50
+"""
+
+
 def with_planted_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text): in the texts whose crc32 of the id is divisible by 10, words from a place on repeat with a
     period; both follow from the crc32 and the number of words. The other texts stay as they are."""
@@ -273,7 +305,8 @@ hashed as (
   select doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ascii(x) as bigint))),
     lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8)), 4294967295) h from ids, crc),
 split as (
-  select documents.doc_id, h, h // 10 g, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') w
+  select documents.doc_id, h, h // 10 g, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') w
   from documents left join hashed using (doc_id)),
 places as (select *, len(w) n, case when len(w) > 0 then g % len(w) end a from split),
 periods as (select *, 1 + (n - a) // (3 + g % 8) p from places),
