@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, langid, main_text, mixing, near_vectors, packing, quality, quality_rules, secrets, source_divergence, token_counts, word_runs
+from . import (
+    jaccard_join,
+    langid,
+    licenses,
+    main_text,
+    mixing,
+    near_vectors,
+    packing,
+    quality,
+    quality_rules,
+    secrets,
+    source_divergence,
+    token_counts,
+    word_runs,
+)
 from .quality_rules import SPACE, let
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,6 +240,28 @@ from x left join broken on broken.doc_id = x.doc_id
 ORACLES["op9_quality_rules"] = _op9_sql()
 
 
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences in all documents."""
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    base = F.filter("hits", lambda h: h["base"])
+    starts = F.transform(base, lambda h: h["start"])
+
+    def labels(hits: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["label"]))), ",")
+
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("hits")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("hits", lambda h: h["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
 @query
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances of all sources of a language, and the terms that each has more of."""
