@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .records import numbered_records
 
 
 def safe_name(header: str) -> str:
@@ -68,25 +69,33 @@ def read_export(spark: SparkSession, path: str, skip: int = 0, ordered: bool = F
     """A CSV export with a header, every field as text under its safe name.
 
     ``skip`` title lines stand above the header. ``ordered`` adds ``_ord``, the 0-based position of the
-    data row in the file; it is implied by ``skip``. ``line_breaks``: quoted fields may hold line breaks; each
-    file is then one split, so it is meant for exports with free text, not for the large ones. Without it an
-    ordered read fails on a line whose quotes do not close. A compressed file is one split in any case.
+    data row in the file; it is implied by ``skip``. ``line_breaks``: quoted fields may hold line breaks (which come out
+    as line feeds); the records are found in parallel, see :func:`numbered_records`. Without it an ordered read fails
+    on a line whose quotes do not close. A compressed file is one split in any case.
     """
+    if line_breaks:
+        records = numbered_records(spark, path)
+        top = {r._ord: r.value for r in records.filter(F.col("_ord") <= skip).collect()}
+        if skip not in top:
+            raise ValueError(f"{path}: no header line after {skip} title lines")
+        df = _parsed(records, top[skip], skip)
+        return df if skip or ordered else df.drop("_ord")
     if not (skip or ordered):
-        df = spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=line_breaks)
+        df = spark.read.csv(path, header=True, inferSchema=False, escape='"')
         return df.toDF(*safe_names(df.columns))
     top = first_lines(spark, path, skip + 1)
     if len(top) <= skip:
         raise ValueError(f"{path}: no header line after {skip} title lines")
-    names = safe_names(next(csv.reader([top[skip]])))
-    schema = ", ".join(f"`{n}` string" for n in names)
-    position = (F.col("_ord") - skip - 1).alias("_ord")
-    if line_breaks:
-        # Title lines have fewer fields than the header; blank lines are no rows.
-        rows = numbered(spark.read.csv(path, schema=schema, header=False, escape='"', multiLine=True, mode="PERMISSIVE"))
-        return rows.filter(F.col("_ord") > skip).select(position, *[F.col(f"`{n}`") for n in names])
     closed = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 0
     whole = F.assert_true(closed, F.lit("a quoted field holds a line break: read this export with line_breaks=True")).isNull()
-    lines = ordered_lines(spark, path).filter(F.col("_ord") > skip).filter(whole)
-    parsed = lines.select(position, F.from_csv("value", schema, {"escape": '"'}).alias("r"))
+    return _parsed(ordered_lines(spark, path).filter((F.col("_ord") <= skip) | whole), top[skip], skip)
+
+
+def _parsed(records: DataFrame, header: str, skip: int) -> DataFrame:
+    """The records (_ord, value) below the header as columns under its names, numbered from 0."""
+    names = safe_names(next(csv.reader([header])))
+    schema = ", ".join(f"`{n}` string" for n in names)
+    parsed = records.filter(F.col("_ord") > skip).select(
+        (F.col("_ord") - skip - 1).alias("_ord"), F.from_csv("value", schema, {"escape": '"', "multiLine": "true"}).alias("r")
+    )
     return parsed.select("_ord", *[F.col("r")[n].alias(n) for n in names])

@@ -170,3 +170,24 @@ def test_global_fill_orders_only_the_chunk_table(skewed):
 def test_single_pass_keeps_unreadable_months_apart(spark, stored):
     months = _months_single_pass(stored)
     assert months.filter("loan_id is null").count() == 0
+
+
+def test_guarantee_report_is_scanned_in_many_tasks(spark, sf):
+    """The notes hold line breaks, and the file is still cut into splits; the records agree with a read in one piece."""
+    names = {"spark.sql.files.maxPartitionBytes": "512", "spark.sql.files.openCostInBytes": "0"}
+    whole = rows(QUERIES["guarantee_report"](spark, sf("0.01")))
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        tasks = []
+        scan = records._lines
+        records._lines = lambda spark, path: [scan(spark, path), tasks.append(spark.read.text(path, lineSep="\n").rdd.getNumPartitions())][0]
+        try:
+            assert rows(QUERIES["guarantee_report"](spark, sf("0.01"))) == whole
+        finally:
+            records._lines = scan
+        assert tasks[0] > 4 and any("\n" in r[2] for r in whole)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import date
 
 import pytest
@@ -228,3 +229,66 @@ def test_dates_with_times_and_blanks(spark):
     texts = ["1/31/2016 0:00", " 1/5/2016", "1/5/2016", "13/1/2016", "x 1/5/2016", "", None]
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", parse_date("t").alias("d")).orderBy("i").collect()
     assert [r.d for r in got] == [date(2016, 1, 31), date(2016, 1, 5), date(2016, 1, 5), None, None, None, None]
+
+
+# Records with line breaks, found in parallel
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Files are cut into splits of a few dozen bytes."""
+    names = {"spark.sql.files.maxPartitionBytes": "48", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def csv_text(rows, rng, end="\n"):
+    out = []
+    for row in rows:
+        cells = ['"' + c.replace('"', '""') + '"' if rng.random() < 0.4 or set(c) & set('\n\r,') or c[:1] == '"' else c for c in row]
+        out.append(",".join(cells) + end + (end if rng.random() < 0.1 else ""))
+    return "".join(out)
+
+
+def random_rows(rng, n):
+    pieces = ["a", "b c", "\n", "\n\n", ",", '"', '""', "5\" pipe", "é", ",,", '"x', 'x"']
+    return [[str(i), *["".join(rng.choice(pieces) for _ in range(rng.choice([0, 1, 1, 3, 9]))) for _ in range(3)]] for i in range(n)]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("seed", range(4))
+def test_records_are_those_of_a_csv_reader(spark, tmp_path, small_splits, seed, end):
+    rng = random.Random(seed)
+    rows = random_rows(rng, 60)
+    folder = tmp_path / "notes"
+    folder.mkdir()
+    (folder / "a.csv").write_bytes(csv_text([["Title \"x"], ["Id", "One", "Two, b", "Three"], *rows[:40]], rng, end).encode())
+    (folder / "b.csv").write_bytes(csv_text(rows[40:], rng, end).encode().rstrip())
+    scanned = spark.read.text(str(folder), lineSep="\n")
+    assert scanned.rdd.getNumPartitions() > 20
+    got = [tuple(r) for r in read_export(spark, str(folder), skip=1, line_breaks=True).orderBy("_ord").collect()]
+    assert got == [(i, *[c or None for c in row]) for i, row in enumerate(rows)]
+
+
+def test_records_that_do_not_close_fail(spark, file, small_splits):
+    path = file("open.csv", "T\nId,Note\n" + "1,x\n" * 30 + '2,"never closed\n' + "3,y\n" * 30)
+    with pytest.raises(Exception, match="does not close"):
+        read_export(spark, path, skip=1, line_breaks=True).count()
+    # A quote inside a plain field, and one after a closing quote, open nothing.
+    path = file("stray.csv", 'T\nId,Note\n1,5" pipe\n2,"a" b"\n3,"x\ny"\n' + "4,z\n" * 30)
+    got = read_export(spark, path, skip=1, line_breaks=True).orderBy("_ord").collect()
+    assert len(got) == 33 and (got[0].Note, got[2].Note, got[32].Note) == ('5" pipe', "x\ny", "z")
+
+
+def test_long_records_span_splits(spark, file, small_splits, monkeypatch):
+    note = "\n".join(f"line {i}" for i in range(200))
+    path = file("long.csv", f'T\nId,Note\n1,"{note}"\n2,"b"\n')
+    got = read_export(spark, path, skip=1, line_breaks=True).orderBy("_ord").collect()
+    assert [tuple(r) for r in got] == [(0, "1", note), (1, "2", "b")]
+    monkeypatch.setattr("creditladder.sources.records.MOST_LINES", 100)
+    with pytest.raises(Exception, match="more than 100 lines"):
+        read_export(spark, path, skip=1, line_breaks=True).collect()

@@ -136,13 +136,19 @@ def balance_report(t: Inputs) -> DataFrame:
     return rounded(load_balances(t.spark, write_lines(out, t.spark, "balances")), balance=MONEY)
 
 
-@query("guarantee_report", "select loan_id, round(guarantee, 6) guarantee, coalesce(notes, '') notes from {guar}")
+@query(
+    "guarantee_report",
+    """select loan_id, round(guarantee, 6) guarantee,
+              case when notes is null then '' else notes || chr(10) || 'of the "bank", see ' || loan_id end notes
+       from {guar}""",
+)
 def guarantee_report(t: Inputs) -> DataFrame:
-    """Guarantees with a title line, positions to pick and a footer, written and read back."""
+    """Guarantees with a title line, positions to pick, notes over several lines and a footer, written and read back."""
+    note = F.concat(F.lit('"'), "notes", F.lit('\nof the ""bank"", see '), "loan_id", F.lit('"'))
     rows = t("guar").select(
         F.col("loan_id").alias("ord"),
         F.concat_ws(
-            ",", F.lit("1/31/2016"), "loan_id", F.lit("bank"), F.concat(F.round(F.col("guarantee") * 100).cast("int"), F.lit("%")), F.coalesce("notes", F.lit(""))
+            ",", F.lit("1/31/2016"), "loan_id", F.lit("bank"), F.concat(F.round(F.col("guarantee") * 100).cast("int"), F.lit("%")), F.coalesce(note, F.lit(""))
         ).alias("value"),
     )
     edges = t.spark.sql(
