@@ -16,7 +16,8 @@ from .operators.checks import expect_covered, missing_report
 from .operators.reshape import select_existing
 from .plans import exposure, migration, rating, segments
 from .plans.models import FittedLogit, coefficients, fit_logits
-from .plans.panel import PanelSources, active_as_of, build_panel
+from .plans.panel import PanelSources, active_as_of
+from .plans.panel_checks import write_checked_panel
 from .session import cut_lineage
 from .sources import exports
 from .sources.sinks import save_models, write_report, write_table
@@ -46,10 +47,11 @@ def read_panel_sources(spark: SparkSession, inputs: str, files: Mapping[str, str
 def run_panel(
     spark: SparkSession, inputs: str, out: str, files: Mapping[str, str] | None = None, duplicates: str = "error"
 ) -> DataFrame:
-    """Exports -> the loan-month panel, stored by month."""
-    panel = build_panel(read_panel_sources(spark, inputs, files), duplicates)
-    write_table(panel, f"{out}/panel", partition_by=["date"], mode="overwrite")
-    return spark.read.parquet(f"{out}/panel")
+    """Exports -> the loan-month panel, stored by month, and the reports on its data (row and null counts, month
+    totals, count tables)."""
+    panel, checks = write_checked_panel(read_panel_sources(spark, inputs, files), f"{out}/panel", duplicates)
+    write_report(checks.tables(), f"{out}/checks")
+    return panel
 
 
 def run_panel_models(

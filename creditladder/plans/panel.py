@@ -15,9 +15,8 @@ Shape of the plan with unique source keys (``duplicates='error'``):
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
-from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions import features as feat
 from ..functions.dates import month_end
 from ..functions.ladder import reached_flags
-from ..functions.nulls import flag_or_zero
+from ..functions.nulls import col, flag_or_zero
 from ..operators.joins import guard_single, merge
 from ..operators.windows import (
     cumulative_count,
@@ -39,9 +38,10 @@ from ..operators.windows import (
 
 KEY = ["loan_id", "date"]
 LOAN, MONTH = KEY
-# Stands for an unreadable month inside the single pass: it sorts last like the null it replaces, and
-# plain key equality lets the steps share one partitioning.
-NO_MONTH = date(9999, 12, 31)
+# Inside the single pass a month is a number, and an unreadable one is the number no month has: it sorts last like
+# the null it stands for, and plain key equality lets the steps share one partitioning.
+MONTH_NUMBER = "__month"
+NO_MONTH = 2**31 - 1
 
 OUTPUT = [
     "loan_id", "date", "balance", "risk_category_sf", "paid_cum", "disb_cum", "maturity_date", "risk_category",
@@ -82,11 +82,25 @@ LOAN_COLUMNS = {
 }
 
 
-def one_per_month(ratings: DataFrame, unknown_month: date | None = None) -> DataFrame:
+def month_number(c: str | Column) -> Column:
+    """Months since year 0, or ``NO_MONTH``."""
+    return F.coalesce(F.year(c) * 12 + F.month(c) - 1, F.lit(NO_MONTH))
+
+
+def month_of(number: str | Column) -> Column:
+    """The month's last day; null for ``NO_MONTH``."""
+    n = F.nullif(col(number), F.lit(NO_MONTH))
+    return F.last_day(F.make_date(F.floor(n / 12).cast("int"), n % 12 + 1, F.lit(1)))
+
+
+def one_per_month(ratings: DataFrame) -> DataFrame:
     """Each loan-month's last rating; ties go to the later row of the file."""
-    month = month_end("date") if unknown_month is None else F.coalesce(month_end("date"), F.lit(unknown_month))
-    kept = last_per(ratings.withColumn("__month", month), [LOAN, "__month"], ["date", "_ord"])
-    return kept.select(LOAN, F.col("__month").alias(MONTH), "monitor_score", "risk_category_sf")
+    return _last_rating(ratings.withColumn(MONTH_NUMBER, month_end(MONTH))).withColumnRenamed(MONTH_NUMBER, MONTH)
+
+
+def _last_rating(ratings: DataFrame) -> DataFrame:
+    kept = last_per(ratings, [LOAN, MONTH_NUMBER], ["date", "_ord"])
+    return kept.select(LOAN, MONTH_NUMBER, "monitor_score", "risk_category_sf")
 
 
 def _combine(parts: Mapping[str, DataFrame], by: list[str], sums: set[str] = frozenset()) -> DataFrame:
@@ -102,15 +116,15 @@ def _combine(parts: Mapping[str, DataFrame], by: list[str], sums: set[str] = fro
     out = tall.groupBy(*by).agg(*aggs, *seen)
     for name, part in parts.items():
         if not set(part.columns) & sums:
-            out = out.filter(guard_single(f"__n_{name}", f"{name}: repeated key {', '.join(by)}"))
+            key = ", ".join(MONTH if c == MONTH_NUMBER else c for c in by)
+            out = out.filter(guard_single(f"__n_{name}", f"{name}: repeated key {key}"))
     return out.select(*by, *values, *[(F.col(f"__n_{n}") > 0).alias(f"has_{n}") for n in parts])
 
 
 def _months_single_pass(src: PanelSources) -> DataFrame:
     # A row without a loan id never meets a balance above the floor: those rows go first.
     def keyed(df: DataFrame, *values) -> DataFrame:
-        month = F.coalesce(month_end(MONTH), F.lit(NO_MONTH)).alias(MONTH)
-        return df.filter(F.col(LOAN).isNotNull()).select(LOAN, month, *values)
+        return df.filter(F.col(LOAN).isNotNull()).select(LOAN, month_number(MONTH).alias(MONTH_NUMBER), *values)
 
     months = _combine(
         {
@@ -119,16 +133,16 @@ def _months_single_pass(src: PanelSources) -> DataFrame:
             "maturities": keyed(src.maturities, "maturity_date", "outstanding_principal"),
             "categories": keyed(src.categories, "risk_category"),
         },
-        KEY,
+        [LOAN, MONTH_NUMBER],
         sums={"paid", "disbursed"},
     )
     months = months.filter("has_balances or has_payments or has_maturities")
-    ratings = one_per_month(src.ratings.filter(F.col(LOAN).isNotNull()), NO_MONTH)
-    rated = merge(months, ratings, KEY, "left", null_keys="drop")
+    ratings = _last_rating(keyed(src.ratings, "date", "_ord", "monitor_score", "risk_category_sf"))
+    rated = merge(months, ratings, [LOAN, MONTH_NUMBER], "left", null_keys="drop")
     rated = rated.withColumns(
         {c: F.when(F.col("has_balances"), F.col(c)) for c in ("monitor_score", "risk_category_sf")}
     )
-    return running_sum(rated, {"paid_cum": "paid", "disb_cum": "disbursed"}, LOAN, MONTH)
+    return running_sum(rated, {"paid_cum": "paid", "disb_cum": "disbursed"}, LOAN, MONTH_NUMBER)
 
 
 def _months_by_joins(src: PanelSources) -> DataFrame:
@@ -145,13 +159,13 @@ def _months_by_joins(src: PanelSources) -> DataFrame:
     return df
 
 
-def _along_months(df: DataFrame, carry: list[str]) -> DataFrame:
+def _along_months(df: DataFrame, carry: list[str], month: str) -> DataFrame:
     """Fills and month counts. Steps with the same window spec stand together and the one with the finer
     partition comes last: one exchange, two sorts."""
-    df = fill_down(df, carry, LOAN, MONTH)
-    df = df.withColumns({c: filled_down_then_up(c, LOAN, MONTH) for c in ("risk_category_sf", "monitor_score")})
-    df = run_length(df, LOAN, MONTH, "risk_category", "months_in_risk_cat")
-    return cumulative_count(df, [LOAN, "risk_category"], MONTH, "months_in_risk_cat_cum")
+    df = fill_down(df, carry, LOAN, month)
+    df = df.withColumns({c: filled_down_then_up(c, LOAN, month) for c in ("risk_category_sf", "monitor_score")})
+    df = run_length(df, LOAN, month, "risk_category", "months_in_risk_cat")
+    return cumulative_count(df, [LOAN, "risk_category"], month, "months_in_risk_cat_cum")
 
 
 def loan_table(src: PanelSources) -> DataFrame:
@@ -161,17 +175,27 @@ def loan_table(src: PanelSources) -> DataFrame:
     return combined.drop(*[f"has_{n}" for n in parts])
 
 
-def build_panel(src: PanelSources, duplicates: str = "error") -> DataFrame:
-    """The panel with all features, balances above the floor only."""
-    above_floor = F.col("balance") > feat.PANEL_BALANCE_FLOOR
+def months_table(src: PanelSources, duplicates: str = "error") -> DataFrame:
+    """All loan-months, below the balance floor too, with fills and month counts."""
+    if duplicates == "error":
+        df = _along_months(_months_single_pass(src), ["maturity_date"], MONTH_NUMBER)
+        return df.withColumn(MONTH, month_of(MONTH_NUMBER)).drop(MONTH_NUMBER)
+    if duplicates == "repeat":
+        return _along_months(_months_by_joins(src), ["maturity_date", "paid_cum", "disb_cum"], MONTH)
+    raise ValueError("duplicates must be 'error' or 'repeat'")
+
+
+def above_floor() -> Column:
+    return F.col("balance") > feat.PANEL_BALANCE_FLOOR
+
+
+def build_panel(src: PanelSources, duplicates: str = "error", observe: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The panel with all features, balances above the floor only. ``observe`` may put metrics on the months
+    before the floor."""
+    df = months_table(src, duplicates)
+    df = (observe(df) if observe else df).filter(above_floor())
     if duplicates == "error":
-        df = _along_months(_months_single_pass(src), ["maturity_date"])
-        df = df.filter(above_floor).withColumn(MONTH, F.nullif(F.col(MONTH), F.lit(NO_MONTH)))
         df = merge(df, loan_table(src), LOAN, "left", null_keys="drop")
-    elif duplicates == "repeat":
-        df = _along_months(_months_by_joins(src), ["maturity_date", "paid_cum", "disb_cum"]).filter(above_floor)
-    else:
-        raise ValueError("duplicates must be 'error' or 'repeat'")
     return add_features(df).select(*OUTPUT)
 
 

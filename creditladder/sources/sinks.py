@@ -4,21 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from ..plans.models import FittedLogit
 
 
 def write_table(
-    df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), mode: str = "errorifexists"
+    df: DataFrame,
+    path: str,
+    fmt: str = "parquet",
+    partition_by: Sequence[str] = (),
+    mode: str = "errorifexists",
+    observe: tuple[Observation, Sequence[Column]] | None = None,
 ) -> None:
     """Parquet (default) or CSV with a header. The old row-number column is not kept.
 
     With ``partition_by`` the rows are rebalanced on those columns first: adaptive execution splits a
-    value that holds most of the rows over several tasks and packs small values together.
+    value that holds most of the rows over several tasks and packs small values together. ``observe``: metrics on the
+    written rows, taken in the stage that writes.
     """
     if partition_by:
         df = df.hint("rebalance", *partition_by)
+    if observe:
+        df = df.observe(observe[0], *observe[1])
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

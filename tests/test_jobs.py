@@ -7,6 +7,7 @@ import random
 import pytest
 
 from creditladder import jobs
+from creditladder.plans.panel_checks import COUNT_TABLES
 from creditladder.sources.sinks import load_models
 
 MONTHS = ["Jan-2014", "Feb-2014", "Mar-2014", "Apr-2016"]
@@ -67,6 +68,16 @@ def test_panel_and_its_models(spark, inputs, tmp_path):
     panel = jobs.run_panel(spark, inputs, out)
     assert panel.count() == 400 * 3 + 133
     assert panel.filter("pmt_1k = 1 and date = '2014-02-28'").count() == 400
+    checks = {n: spark.read.csv(f"{out}/checks/panel_{n}", header=True).collect() for n in ("rows", "nulls", "month_totals", "counts")}
+    n_rows = {r.stage: int(r.n) for r in checks["rows"]}
+    # April has payments of all loans, but balances of the active ones only.
+    assert n_rows == {"months": 1600, "above the floor": 1333, "panel": 1333, "repeated keys": 0, "balance without category": 0}
+    nulls = {(r.stage, r.variable): int(r.n_null) for r in checks["nulls"]}
+    assert nulls["months", "balance"] == 267 and nulls["panel", "balance"] == 0 and nulls["panel", "guarantee"] == panel.filter("guarantee is null").count()
+    assert len(checks["month_totals"]) == 4
+    pairs = {(r.first, r.second) for r in checks["counts"]}
+    assert pairs == set(COUNT_TABLES)
+    assert all(sum(int(r.n) for r in checks["counts"] if (r.first, r.second) == p) == 1333 for p in pairs)
     for all_dates in (False, True):
         models = jobs.run_panel_models(panel, f"{out}/models{all_dates}", all_dates=all_dates)
         assert len(models) == 6 and models["current"].status == "ok"

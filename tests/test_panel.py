@@ -75,6 +75,16 @@ def test_repeated_keys(sources):
         build_panel(sources, "other")
 
 
+def test_unreadable_months_stand_apart_from_every_month(sources, frame):
+    """The last month a date can have is a month like any other; unreadable ones come after it."""
+    last = date(9999, 12, 31)
+    balances = frame("loan_id long, date date, balance double", [(1, last, 300.0), (1, None, 400.0), (4, None, 500.0)])
+    months = dataclasses.replace(sources, balances=balances, maturities=sources.maturities.limit(0), payments=sources.payments.limit(0))
+    for form in ("error", "repeat"):
+        got = build_panel(months, form).select("loan_id", "date", "balance", "months_in_risk_cat_cum")
+        assert set(map(tuple, got.collect())) == {(1, last, 300.0, 1), (1, None, 400.0, 2), (4, None, 500.0, 1)}
+
+
 def test_forms_agree_on_test_data(spark, sf):
     src = panel_sources(Inputs(spark, sf("0.001")))
     digits = dict.fromkeys(("paid_cum", "disb_cum", "pd", "remaining_tenor", "balance", "recovery"), 6)

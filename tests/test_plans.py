@@ -13,7 +13,8 @@ from creditladder.operators import windows
 from creditladder.operators.file_order import fill_down_ordered
 from creditladder.operators.joins import merge
 from creditladder.plans import migration
-from creditladder.plans.panel import PanelSources, _months_single_pass, build_panel, one_per_month
+from creditladder.plans.panel import PanelSources, build_panel, one_per_month
+from creditladder.sources import records
 from workload import queries_models  # noqa: F401  (registers its queries)
 from workload.queries_tables import panel_sources
 from workload.registry import QUERIES, Inputs
@@ -53,7 +54,7 @@ def test_panel_exchanges_and_sorts(spark, stored):
     keys = sorted(tuple(re.sub(r"#\d+L?", "", c).strip() for c in e.split(",")[:-1]) for e in exchanges)
     # Months: one for the combined sources, one for the ratings. Loans: one for all windows and the join,
     # one for the loan table.
-    assert keys == [("loan_id",), ("loan_id",), ("loan_id", "__month"), ("loan_id", "date")], keys
+    assert keys == [("loan_id",), ("loan_id",), ("loan_id", "__month"), ("loan_id", "__month")], keys
     assert "CartesianProduct" not in text and "BroadcastNestedLoop" not in text
     windows_block = text[: text.index("hashpartitioning")]
     assert len(re.findall(r"\bSort \[", windows_block)) <= 3, windows_block
@@ -167,27 +168,24 @@ def test_global_fill_orders_only_the_chunk_table(skewed):
     assert out.filter("v is null").count() == 7
 
 
-def test_single_pass_keeps_unreadable_months_apart(spark, stored):
-    months = _months_single_pass(stored)
-    assert months.filter("loan_id is null").count() == 0
-
-
-def test_guarantee_report_is_scanned_in_many_tasks(spark, sf):
+def test_guarantee_report_is_scanned_in_many_tasks(spark, sf, monkeypatch):
     """The notes hold line breaks, and the file is still cut into splits; the records agree with a read in one piece."""
     names = {"spark.sql.files.maxPartitionBytes": "512", "spark.sql.files.openCostInBytes": "0"}
     whole = rows(QUERIES["guarantee_report"](spark, sf("0.01")))
     before = {k: spark.conf.get(k) for k in names}
+    scan, tasks = records._lines, []
+
+    def counted(spark, path):
+        lines = scan(spark, path)
+        tasks.append(spark.read.text(path, lineSep="\n").rdd.getNumPartitions())
+        return lines
+
+    monkeypatch.setattr(records, "_lines", counted)
     try:
         for k, v in names.items():
             spark.conf.set(k, v)
-        tasks = []
-        scan = records._lines
-        records._lines = lambda spark, path: [scan(spark, path), tasks.append(spark.read.text(path, lineSep="\n").rdd.getNumPartitions())][0]
-        try:
-            assert rows(QUERIES["guarantee_report"](spark, sf("0.01"))) == whole
-        finally:
-            records._lines = scan
-        assert tasks[0] > 4 and any("\n" in r[2] for r in whole)
+        assert rows(QUERIES["guarantee_report"](spark, sf("0.01"))) == whole
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+    assert tasks[0] > 4 and any("\n" in r[2] for r in whole)

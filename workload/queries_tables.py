@@ -30,7 +30,9 @@ from creditladder.operators import aggregates as agg
 from creditladder.operators import file_order, reshape, windows
 from creditladder.operators.checks import expect_covered, missing_report
 from creditladder.operators.joins import anti, merge, semi
+from creditladder.plans.panel import OUTPUT as PANEL_COLUMNS
 from creditladder.plans.panel import PanelSources, active_as_of, build_panel, one_per_month
+from creditladder.plans.panel_checks import write_checked_panel
 from creditladder.session import new_path
 from creditladder.sources.exports import load, load_balances, load_guarantees
 from creditladder.sources.lines import read_export
@@ -746,6 +748,52 @@ def panel_by_joins(t: Inputs) -> DataFrame:
     return _rounded_panel(build_panel(panel_sources(t), duplicates="repeat"))
 
 
+_MONTH_NULLS = {"balance": "balance", "monitor_score": "monitor_score", "risk_category_sf": "risk_category_sf", "paid_cum": "paid_cum",
+                "disb_cum": "disb_cum", "maturity_date": "maturity_date", "risk_category": "risk_category"}
+_PANEL_NULLS = {c: c for c in PANEL_COLUMNS} | {
+    "months_in_risk_cat_cum": "months_risk_cat_cum", "months_in_risk_cat_cum_sq": "months_risk_cat_cum", "months_in_risk_cat": "months_run",
+    "months_in_risk_cat_sq": "months_run", "months_in_risk_cat_cube": "months_run",
+    "current": "f_current", "special_mention": "f_sm", "substandard": "f_sub", "doubtful": "f_doubt",
+}
+_CHECKED_PAIRS = {("risk_category", "risk_category_sf"): "risk_category_sf", ("risk_category", "wo"): "wo", ("special_mention", "wo"): "wo", ("risk_category_sf", "wo"): "wo"}
+
+
+@query(
+    "panel_checks",
+    "\nunion all\n".join(
+        [
+            "select 'rows' part, 'months' a, '' b, cast(count(*) as double) n from {counted}",
+            "select 'rows', 'above the floor', '', count(*) from {counted} where balance > 200",
+            "select 'rows', 'panel', '', count(*) from {panel}",
+            "select 'rows', 'repeated keys', '', count(*) - count(distinct (loan_id, date)) from {panel}",
+            "select 'rows', 'balance without category', '', count(*) from {panel} where risk_category is null and balance > 0",
+        ]
+        + [f"select 'nulls months', '{n}', '', count(*) - count({c}) from {{counted}}" for n, c in _MONTH_NULLS.items()]
+        + [f"select 'nulls panel', '{n}', '', count(*) - count({c}) from {{panel}}" for n, c in _PANEL_NULLS.items()]
+        + ["select 'total', cast(date as varchar), '', round(sum(balance), 2) from {panel} group by date"]
+        + [
+            f"select 'counts {a} {b}', cast({dict(special_mention='f_sm').get(a, a)} as varchar), {c}, count(*) from {{panel}} "
+            f"where {dict(special_mention='f_sm').get(a, a)} is not null and {c} is not null group by {dict(special_mention='f_sm').get(a, a)}, {c}"
+            for (a, b), c in _CHECKED_PAIRS.items()
+        ]
+    ),
+)
+def panel_checks(t: Inputs) -> DataFrame:
+    """All reports of the panel run, as one table."""
+    _, checks = write_checked_panel(panel_sources(t), new_path(t.spark, "panel"))
+    blank = F.lit("").alias("b")
+    parts = [
+        checks.rows.select(F.lit("rows").alias("part"), F.col("stage").alias("a"), blank, F.col("n").cast("double").alias("n")),
+        checks.nulls.select(F.concat(F.lit("nulls "), "stage"), "variable", blank, F.col("n_null").cast("double")),
+        checks.month_totals.select(F.lit("total"), F.col("date").cast("string"), blank, F.round("total_balance", MONEY)),
+        checks.counts.select(F.concat_ws(" ", F.lit("counts"), "first", "second"), "value_first", "value_second", F.col("n").cast("double")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 @query(
     "active_as_of",
     """select b.loan_id, b.date, case when a.loan_id is null then 0 else 1 end active from {bal} b
