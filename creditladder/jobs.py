@@ -8,6 +8,7 @@ hands to the next is a DataFrame or one of those tables.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,28 +30,33 @@ def _path(inputs: str, export: str, files: Mapping[str, str] | None) -> str:
     return f"{inputs}/{(files or {}).get(export, export + '.csv')}"
 
 
-def read_panel_sources(spark: SparkSession, inputs: str, files: Mapping[str, str] | None = None) -> PanelSources:
+#: Exports of the panel in the plain layout, by the name of the source they become.
+PLAIN = {"ratings": "ratings", "payments": "payments", "maturities": "maturities", "collateral": "collateral", "pds": "profile_pds"}
+
+
+def read_panel_sources(spark: SparkSession, inputs: str, files: Mapping[str, str] | None = None) -> tuple[PanelSources, DataFrame]:
+    """The panel's sources, and the texts in them that did not parse: (export, _ord, field, text, reason, dropped)."""
     at = lambda export: _path(inputs, export, files)
-    return PanelSources(
-        balances=exports.load_balances(spark, at("balances")),
-        ratings=exports.load(spark, "ratings", at("ratings")),
-        payments=exports.load(spark, "payments", at("payments")),
-        maturities=exports.load(spark, "maturities", at("maturities")),
+    checked = {source: exports.load_checked(spark, export, at(export)) for source, export in PLAIN.items()}
+    checked["balances"] = exports.load_balances_checked(spark, at("balances"))
+    sources = PanelSources(
+        **{name: c.rows if name == "ratings" else c.rows.drop("_ord") for name, c in checked.items()},
         categories=exports.load_wide_categories(spark, at("wide_categories")),
-        collateral=exports.load(spark, "collateral", at("collateral")),
         guarantees=exports.load_guarantees(spark, at("guarantees"), cut_footer=False),
         recoveries=exports.load_recoveries(spark, at("recoveries")),
-        pds=exports.load(spark, "profile_pds", at("profile_pds")),
     )
+    parts = [c.rejected.select(F.lit(PLAIN.get(name, name)).alias("export"), "*") for name, c in checked.items()]
+    return sources, reduce(DataFrame.union, parts)
 
 
 def run_panel(
     spark: SparkSession, inputs: str, out: str, files: Mapping[str, str] | None = None, duplicates: str = "error"
 ) -> DataFrame:
-    """Exports -> the loan-month panel, stored by month, and the reports on its data (row and null counts, month
-    totals, count tables)."""
-    panel, checks = write_checked_panel(read_panel_sources(spark, inputs, files), f"{out}/panel", duplicates)
-    write_report(checks.tables(), f"{out}/checks")
+    """Exports -> the loan-month panel, stored by month, and the reports on its data (rejected texts, row and null
+    counts, month totals, count tables)."""
+    sources, rejected = read_panel_sources(spark, inputs, files)
+    panel, checks = write_checked_panel(sources, f"{out}/panel", duplicates)
+    write_report({**checks.tables(), "rejected": rejected}, f"{out}/checks")
     return panel
 
 

@@ -7,7 +7,8 @@ junk into null.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from ..functions.parsing import (
 from ..operators.aggregates import sum_by
 from ..operators.file_order import drop_rollups, fill_down_ordered, head_until_null, trim_rows
 from ..operators.reshape import gather_long, pick_positions
+from ..session import cut_lineage
 from .lines import read_export
 
 Rule = Callable[[Column], Column]
@@ -134,6 +136,66 @@ def load(spark: SparkSession, export: str, path: str) -> DataFrame:
     return typed(read_export(spark, path, ordered=export in ("ratings",)), FIELDS[export])
 
 
+#: Why a field's text did not parse, by type rule; text always does.
+REASONS: dict[Rule, str] = {
+    parse_id: "no whole number",
+    parse_int: "no whole number",
+    parse_number: "no number",
+    parse_date: "no date",
+    parse_percent: "no percentage",
+}
+
+REJECTED = "array<struct<field:string,text:string,reason:string>>"
+
+
+@dataclass(frozen=True)
+class Checked:
+    """An export with its rejected texts. ``rows``: the typed rows whose required fields are known; ``rejected``: (_ord, field,
+    text, reason, dropped), one row per field whose text did not parse or that is required and blank. ``dropped``
+    tells whether the row is absent from ``rows``."""
+
+    rows: DataFrame
+    rejected: DataFrame
+
+
+def typed_checked(df: DataFrame, fields: dict[str, tuple[str, Rule]], required: Sequence[str] = ("loan_id",), keep: Sequence[str] = ()) -> Checked:
+    """:func:`typed`, with what it turned into null beside it. ``df`` has ``_ord``; columns of ``keep`` stay as they are.
+
+    The text is parsed once: the typed rows are stored with the list of their rejected fields, and both results read them.
+    A blank field or NA is unknown, not rejected, unless the field is required.
+    """
+    named = {f"_raw_{name}": F.col(f"`{src}`") for name, (src, _) in fields.items()}
+    parsed = df.select("_ord", *keep, *[c.alias(n) for n, c in named.items()], *[rule(F.col(f"`{src}`")).alias(name) for name, (src, rule) in fields.items()])
+    checks = []
+    for name, (_, rule) in fields.items():
+        raw = F.col(f"_raw_{name}")
+        blank = raw.isNull() | F.trim(raw).isin("", "NA")
+        reason = F.when(F.col(name).isNotNull(), F.lit(None)).when(~blank, F.lit(REASONS.get(rule, "unreadable")))
+        if name in required:
+            reason = reason.when(blank, F.lit("missing"))
+        checks.append(F.when(reason.isNotNull(), F.struct(F.lit(name).alias("field"), raw.alias("text"), reason.alias("reason"))))
+    missing = F.lit(False)
+    for name in required:
+        missing = missing | F.col(name).isNull()
+    stored = cut_lineage(
+        parsed.select("_ord", *keep, *fields, F.array_compact(F.array(*checks)).cast(REJECTED).alias("_rejected"), missing.alias("_dropped")), "typed"
+    )
+    told = stored.filter((F.size("_rejected") > 0)).select("_ord", F.inline("_rejected"), F.col("_dropped").alias("dropped"))
+    return Checked(stored.filter("not _dropped").drop("_rejected", "_dropped"), told)
+
+
+def load_checked(spark: SparkSession, export: str, path: str, required: Sequence[str] = ("loan_id",)) -> Checked:
+    """Any export without special layout, with its rejected rows. The rows keep their place in the file (``_ord``)."""
+    return typed_checked(read_export(spark, path, ordered=True), FIELDS[export], required)
+
+
+def load_balances_checked(spark: SparkSession, path: str, month: str = "end") -> Checked:
+    """The balance report with its rejected rows; padding, subtotal and roll-up rows are no rows of it."""
+    raw = read_export(spark, path, skip=1)
+    dated = _dated_balances(pick_positions(raw, range(4), ["_ord", "date", "loan_id", "balance"]), month)
+    return typed_checked(dated, {"loan_id": ("loan_id", parse_id), "balance": ("balance", parse_number)}, keep=["date"])
+
+
 def load_recoveries(spark: SparkSession, path: str) -> DataFrame:
     """One row per loan; a loan with an unreadable amount has an unknown total."""
     return sum_by(load(spark, "recoveries", path), "loan_id", "recovery", "recovery")
@@ -164,11 +226,16 @@ def load_balances(spark: SparkSession, path: str, drop_null_ids: bool = True, mo
 
 
 def clean_balances(named: DataFrame, drop_null_ids: bool = True, month: str = "end") -> DataFrame:
+    rows = _dated_balances(named, month)
+    out = rows.select(parse_id("loan_id").alias("loan_id"), "date", parse_number("balance").alias("balance"))
+    return out.filter(F.col("loan_id").isNotNull()) if drop_null_ids else out
+
+
+def _dated_balances(named: DataFrame, month: str) -> DataFrame:
+    """The report's own rows, still as text, each with its block's date."""
     dated = fill_down_ordered(named.withColumn("date", parse_month_label("date")), "date")
     rows = drop_rollups(trim_rows(dated, head=2, tail=1, ordinals=named), "loan_id", ROLLUP_LABELS)
-    day = month_end("date") if month == "end" else month_start("date")
-    out = rows.select(parse_id("loan_id").alias("loan_id"), day.alias("date"), parse_number("balance").alias("balance"))
-    return out.filter(F.col("loan_id").isNotNull()) if drop_null_ids else out
+    return rows.withColumn("date", month_end("date") if month == "end" else month_start("date"))
 
 
 def load_guarantees(spark: SparkSession, path: str, cut_footer: bool = True) -> DataFrame:

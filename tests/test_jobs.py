@@ -78,6 +78,8 @@ def test_panel_and_its_models(spark, inputs, tmp_path):
     pairs = {(r.first, r.second) for r in checks["counts"]}
     assert pairs == set(COUNT_TABLES)
     assert all(sum(int(r.n) for r in checks["counts"] if (r.first, r.second) == p) == 1333 for p in pairs)
+    rejected = spark.read.csv(f"{out}/checks/rejected", header=True)
+    assert rejected.columns == ["export", "_ord", "field", "text", "reason", "dropped"] and rejected.count() == 0
     for all_dates in (False, True):
         models = jobs.run_panel_models(panel, f"{out}/models{all_dates}", all_dates=all_dates)
         assert len(models) == 6 and models["current"].status == "ok"

@@ -292,3 +292,30 @@ def test_long_records_span_splits(spark, file, small_splits, monkeypatch):
     monkeypatch.setattr("creditladder.sources.records.MOST_LINES", 100)
     with pytest.raises(Exception, match="more than 100 lines"):
         read_export(spark, path, skip=1, line_breaks=True).collect()
+
+
+def test_kept_and_rejected_rows_are_all_rows(spark, file):
+    path = file(
+        "payments.csv", "Loan ID,Transaction/ Record Type,Date,Principal Disbursed,Principal Paid",
+        "1,a,1/2/2016,5,x", "nine,b,1/2/2016,,", ",c,never,1,2", "NA,d,,,", "4,NA,,NA,7", '5,e,1/3/2016,"1,5",8',
+    )
+    checked = exports.load_checked(spark, "payments", path)
+    assert rows(checked.rows.select("_ord", "loan_id", "paid")) == [(0, 1, None), (4, 4, 7.0), (5, 5, 8.0)]
+    assert rows(checked.rejected) == [
+        (0, "paid", "x", "no number", False), (1, "loan_id", "nine", "no whole number", True), (2, "date", "never", "no date", True),
+        (2, "loan_id", None, "missing", True), (3, "loan_id", "NA", "missing", True),
+    ]
+    dropped = {r._ord for r in checked.rejected.filter("dropped").collect()}
+    assert dropped | {r._ord for r in checked.rows.collect()} == set(range(6))
+    assert rows(exports.load(spark, "payments", path).filter("loan_id is not null")) == rows(checked.rows.drop("_ord"))
+    empty = exports.load_checked(spark, "payments", file("none.csv", "Loan ID,Transaction/ Record Type,Date,Principal Disbursed,Principal Paid"))
+    assert empty.rows.count() == 0 and empty.rejected.count() == 0
+
+
+def test_rejected_balances(spark, file):
+    path = file(
+        "b.csv", "Title", "Time,LoanID,Balance,Risk", "Jan-2016,pad,0,", ",pad,0,", ",LoanID (Rollup),9,", ",7,12,x", ",no number,3,x", ',8,"1,0x",x', ",Total,1,",
+    )
+    checked = exports.load_balances_checked(spark, path)
+    assert rows(checked.rows.drop("_ord")) == [(date(2016, 1, 31), 7, 12.0), (date(2016, 1, 31), 8, None)]
+    assert rows(checked.rejected) == [(4, "loan_id", "no number", "no whole number", True), (5, "balance", "1,0x", "no number", False)]

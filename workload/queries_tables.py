@@ -34,7 +34,7 @@ from creditladder.plans.panel import OUTPUT as PANEL_COLUMNS
 from creditladder.plans.panel import PanelSources, active_as_of, build_panel, one_per_month
 from creditladder.plans.panel_checks import write_checked_panel
 from creditladder.session import new_path
-from creditladder.sources.exports import load, load_balances, load_guarantees
+from creditladder.sources.exports import load, load_balances, load_checked, load_guarantees
 from creditladder.sources.lines import read_export
 
 from .registry import MONEY, RATE, Inputs, query, rounded
@@ -80,6 +80,51 @@ def csv_export(t: Inputs) -> DataFrame:
     return load(t.spark, "payments", path).select("loan_id", "date", "paid", "txn_type")
 
 
+_MESSY = """
+    select row_number() over (order by o_orderkey) - 1 pos, o_custkey, o_orderdate, o_totalprice, o_orderkey,
+           o_orderkey % 17 = 0 bad_id, o_orderkey % 19 = 0 no_id, o_orderkey % 11 = 0 bad_date, o_orderkey % 13 = 0 bad_paid from {orders}"""
+
+
+def _messy_payments(t: Inputs) -> str:
+    """The orders as a payments export in which some ids, dates and amounts cannot be read; returns its path."""
+    k = F.col("o_orderkey")
+    cells = {
+        "Loan ID": F.when(k % 17 == 0, F.concat(F.lit("Loan "), "o_custkey")).when(k % 19 == 0, "").otherwise(F.col("o_custkey").cast("string")),
+        "Transaction/ Record Type": F.lit("Pay"),
+        "Date": F.when(k % 11 == 0, "soon").otherwise(F.date_format("o_orderdate", "M/d/yyyy")),
+        "Principal Disbursed": F.lit("NA"),
+        "Principal Paid": F.when(k % 13 == 0, "-").otherwise(F.concat(F.lit('"'), F.format_number("o_totalprice", 2), F.lit('"'))),
+    }
+    top = t.spark.createDataFrame([(-1, ",".join(cells))], "ord long, value string")
+    body = t("orders").select(k.alias("ord"), F.concat_ws(",", *cells.values()).alias("value"))
+    return write_lines(top.unionAll(body), t.spark, "messy")
+
+
+@query(
+    "rejected_rows",
+    f"""with m as ({_MESSY})
+        select pos, 'loan_id' field, case when bad_id then 'Loan ' || o_custkey else '' end "text", case when bad_id then 'no whole number' else 'missing' end reason, true dropped
+        from m where bad_id or no_id
+        union all select pos, 'date', 'soon', 'no date', bad_id or no_id from m where bad_date
+        union all select pos, 'paid', '-', 'no number', bad_id or no_id from m where bad_paid""",
+)
+def rejected_rows(t: Inputs) -> DataFrame:
+    """What could not be read of an export, with its place and reason."""
+    rejected = load_checked(t.spark, "payments", _messy_payments(t)).rejected
+    return rejected.select(F.col("_ord").alias("pos"), "field", F.coalesce("text", F.lit("")).alias("text"), "reason", "dropped")
+
+
+@query(
+    "kept_rows",
+    f"""with m as ({_MESSY})
+        select pos, o_custkey loan_id, case when not bad_date then cast(o_orderdate as date) end date, case when not bad_paid then o_totalprice end paid
+        from m where not bad_id and not no_id""",
+)
+def kept_rows(t: Inputs) -> DataFrame:
+    """The other side of the same pass: with the dropped ones these are all rows read."""
+    return load_checked(t.spark, "payments", _messy_payments(t)).rows.select(F.col("_ord").alias("pos"), "loan_id", "date", "paid")
+
+
 @query(
     "skip_lines",
     """select row_number() over (order by o_orderkey) - 1 pos, o_custkey loan_id, o_orderpriority label,
