@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.aggregates import value_counts
 from .operators.checks import expect_covered, missing_report
 from .operators.reshape import select_existing
 from .plans import exposure, migration, rating, segments
@@ -132,10 +133,13 @@ def run_migration(spark: SparkSession, inputs: str, out: str, files: Mapping[str
     chain = migration.fit_chain(loans)
     book = cut_lineage(migration.rate_active_book(loans.withColumn("balance", F.col("balance_1215")), chain), "book")
     write_table(select_existing(book, MIGRATION_OUTPUT), f"{out}/migration_pds", mode="overwrite")
+    scored = migration.add_chain_products(migration.chain_scores(loans, chain))
+    write_table(migration.chain_long(scored), f"{out}/migration_long", mode="overwrite")
     write_report(
         {
             "migration_coefficients": coefficients(spark, chain),
             "migration_means": migration.chain_report(migration.chain_scores(loans, chain)),
+            "migration_line": migration.chain_line(scored),
             "book_loss": migration.book_loss(book),
         },
         out,
@@ -169,6 +173,7 @@ def run_rating(spark: SparkSession, inputs: str, out: str, files: Mapping[str, s
     by_factor, by_line = rating.rate_by_factor(loans), rating.rate_by_line(loans)
     write_report(
         {
+            "risk_ratings": value_counts(loans, "risk_rating"),
             "risk_rating_category_to_writeoffs": rating.predicted_counts(by_factor, "pd_rr"),
             "risk_rating_category_to_writeoffs_line": rating.predicted_counts(by_line, "pd_rr_lm"),
         },

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ladder import FLAGS, pit_flags
-from ..functions.nulls import all_true
+from ..functions.nulls import all_true, sum_or_zero, sum_strict
 from ..functions.probability import (
     MIGRATIONS,
     active_pd,
@@ -20,8 +20,8 @@ from ..functions.probability import (
 )
 from ..operators.aggregates import weighted_mean
 from ..operators.joins import merge
-from ..operators.reshape import unpivot_periods
-from .models import FittedLogit, Segment, fit_logits
+from ..operators.reshape import gather_long, unpivot_periods
+from .models import FittedLogit, Segment, fit_linear, fit_logits
 from .segments import wo_label
 
 # Label of each stage and the rungs a loan must have reached to be in it.
@@ -106,18 +106,24 @@ def rate_active_book(book: DataFrame, chain: Mapping[str, FittedLogit], compat:
 
 
 def book_loss(book: DataFrame, category: str = "risk_category") -> DataFrame:
-    """Expected loss of the active book without its categories' own losses, per slice (Current, below it, and
-    null for loans without a category): the sum, its rate over the balance (of all loans, and of those with a
-    known probability), and the plain mean of the probability. ``book``: active, pd_active, balance."""
+    """Expected loss of the active book without its categories' own losses, per slice (Current, below it, unrated, and
+    all): the number of loans, their balance (unknown as soon as one is), the loss, its rate over the balance (of all
+    loans, and of those with a known probability), and plain means of the probabilities. ``book``: active, pd, pd_active,
+    balance. Each loan counts in its own slice and in the whole, both from one aggregation."""
     current = F.col(category) == "Current"
+    own = F.when(current, "Current").when(~current, "below").otherwise("unrated")
     return (
         book.filter(F.col("active") == 1)
-        .groupBy(F.when(current, "Current").when(~current, "below").alias("slice"))
+        .withColumn("slice", F.explode(F.array(own, F.lit("all"))))
+        .groupBy("slice")
         .agg(
-            F.sum(F.col("pd_active") * F.col("balance")).alias("el"),
+            F.count(F.lit(1)).alias("n_loans"),
+            sum_strict("balance").alias("balance"),
+            sum_or_zero(F.col("pd_active") * F.col("balance")).alias("el"),
             weighted_mean("pd_active", "balance", "each").alias("loss_rate"),
             weighted_mean("pd_active", "balance", "pair").alias("loss_rate_known"),
             F.avg("pd_active").alias("mean_pd_active"),
+            F.avg("pd").alias("mean_pd"),
         )
     )
 
@@ -130,6 +136,19 @@ def chain_report(scored: DataFrame) -> DataFrame:
     return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("mean"), F.col(f"n_{c}").alias("n_null")) for c in names])))
 
 
+LONG_COLUMNS = ("pd", "pd_sm", "pd_substandard", "pd_doubtful", "pdx")
+
+
+def chain_long(scored: DataFrame, key: str = "loan_id") -> DataFrame:
+    """(loan, migration, pds): the original probability and the chain's products, one row each."""
+    return gather_long(scored, [key], list(LONG_COLUMNS), "migration", "pds")
+
+
+def chain_line(scored: DataFrame) -> DataFrame:
+    """One row (intercept, slope): the straight line of the chain's product on the original probability."""
+    return fit_linear(scored, "pdx", "pd")
+
+
 def period_table(
     loans: DataFrame, categories: DataFrame, balances: DataFrame, periods: Mapping[str, tuple[str, str]]
 ) -> DataFrame:
@@ -156,8 +175,3 @@ def period_means(pit: DataFrame, by: Sequence[str] = ("period",)) -> DataFrame:
         F.avg("pd_active").alias("mean_pd_active"),
     )
 
-
-__all__ = [
-    "MIGRATIONS", "STAGES", "active_pd_avg", "add_chain_products", "book_loss", "chain_report", "chain_scores", "fit_chain", "historic_means",
-    "period_means", "period_table", "point_in_time", "rate_active_book",
-]

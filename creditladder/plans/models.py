@@ -3,7 +3,7 @@
 A family of models on one frame shares one narrow projection (label, features, segment flags). It is
 persisted, or with ``durable=True`` written to the shared folder when the plan below it is long. One
 aggregation counts every segment's rows and events first, so a segment that cannot be fitted is reported
-by its ``status`` instead of failing the job. Scoring is a column expression: unknown input, unknown score.
+by its ``status`` instead of failing the job; where features split the labels, a penalised fit stands in. Scoring is a column expression: unknown input, unknown score.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from ..functions.nulls import col, flag_or_zero
 from ..functions.probability import inverse_logit
 from ..operators.joins import merge
 from ..session import cut_lineage
+from .separation import Design, design, firth, separation
 
 MAX_ITERATIONS = 25
 TOLERANCE = 1e-8
@@ -40,8 +41,10 @@ class Segment:
 
 @dataclass(frozen=True)
 class FittedLogit:
-    """A fitted model. ``status`` is ok, empty, single_class, separated or not_converged (no fit within the allowed
-    iterations); an empty or single-class segment has no coefficients."""
+    """A fitted model. ``status`` is ok, empty, single_class, separated (one feature or several together split the
+    labels, so the plain fit has no finite answer) or not_converged (no fit within the allowed iterations).
+    An empty or single-class segment has no coefficients; those of a separated one are the penalised fit's
+    (``method`` firth)."""
 
     name: str
     label: str
@@ -51,6 +54,7 @@ class FittedLogit:
     n_events: int
     intercept: float | None = None
     coefficients: tuple[float, ...] = ()
+    method: str = "ml"
     model: object = field(default=None, compare=False, repr=False)
 
     def probability(self, inputs: Mapping[str, Column] | None = None) -> Column:
@@ -142,17 +146,27 @@ def _fit_one(train: DataFrame, name: str, i: int, s: Segment, counts: Mapping[st
     features = tuple(s.features)
     if events in (0, n):
         return FittedLogit(name, s.label_name, features, "single_class" if n else "empty", n, events)
-    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(
-        train.filter(F.col(f"__in{i}")).select(*features, F.col(f"__y{i}").alias("label"))
-    )
+    rows = train.filter(F.col(f"__in{i}")).select(*features, F.col(f"__y{i}").alias("label"))
+    if _separated(i, s, counts):
+        return _penalised(design(rows, features, "label"), name, s, n, events)
+    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
     glm = GeneralizedLinearRegression(
         family="binomial", link="logit", tol=TOLERANCE, maxIter=MAX_ITERATIONS, labelCol="label", featuresCol="features"
     )
     model = glm.fit(data.select("label", "features"))
     slow = model.summary.numIterations >= MAX_ITERATIONS
-    status = "separated" if _separated(i, s, counts) else "not_converged" if slow else "ok"
+    if slow and len(features) > 1:
+        # Coefficients that settle are a finite answer, so only a fit that did not settle is looked at.
+        d = design(rows, features, "label")
+        if separation(d) in ("complete", "partial"):
+            return _penalised(d, name, s, n, events)
     beta = tuple(float(b) for b in model.coefficients)
-    return FittedLogit(name, s.label_name, features, status, n, events, float(model.intercept), beta, model)
+    return FittedLogit(name, s.label_name, features, "not_converged" if slow else "ok", n, events, float(model.intercept), beta, model=model)
+
+
+def _penalised(d: Design, name: str, s: Segment, n: int, events: int) -> FittedLogit:
+    fit = firth(d)
+    return FittedLogit(name, s.label_name, d.features, "separated", n, events, fit.intercept, fit.coefficients, "firth")
 
 
 def coefficients(spark: SparkSession, models: Mapping[str, FittedLogit]) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.models import FittedLogit
 
@@ -42,33 +44,59 @@ def write_report(tables: Mapping[str, DataFrame], path: str, fmt: str = "csv", m
         write_table(df, f"{path}/{name}", fmt, mode=mode)
 
 
-def save_models(models: Mapping[str, FittedLogit], path: str, spark: SparkSession) -> None:
-    """One table of coefficients, plus each ML model under its own name."""
+def save_models(models: Mapping[str, FittedLogit], path: str, spark: SparkSession) -> int:
+    """Stores the models as a new version and returns its number: their coefficients, plus each ML model under its own
+    name. Earlier versions stay. The coefficients come last, so a version is complete as soon as it can be read."""
+    version = max(model_versions(path, spark), default=0) + 1
     rows = [
-        (m.name, m.label, m.status, m.n_rows, m.n_events, m.intercept, list(m.features), list(m.coefficients))
+        (m.name, m.label, m.status, m.n_rows, m.n_events, m.intercept, list(m.features), list(m.coefficients), m.method)
         for m in models.values()
     ]
-    table = spark.createDataFrame(
-        rows,
-        "name string, label string, status string, n_rows bigint, n_events bigint, intercept double, "
-        "features array<string>, coefficients array<double>",
-    )
-    table.coalesce(1).write.mode("overwrite").parquet(f"{path}/coefficients")
     for m in models.values():
         if m.model is not None:
-            m.model.write().overwrite().save(f"{path}/models/{m.name}")
+            m.model.write().overwrite().save(f"{path}/models/version={version}/{m.name}")
+    table = spark.createDataFrame(rows, _MODEL_COLUMNS).coalesce(1)
+    table.write.mode("errorifexists").parquet(f"{path}/model_coefficients/version={version}")
+    return version
 
 
-def load_models(path: str, spark: SparkSession) -> dict[str, FittedLogit]:
-    """The saved models by name; the table has one row per model, so reading it here is small."""
+_MODEL_COLUMNS = (
+    "name string, label string, status string, n_rows bigint, n_events bigint, intercept double, "
+    "features array<string>, coefficients array<double>, method string"
+)
+
+
+def saved_coefficients(path: str, spark: SparkSession) -> DataFrame:
+    """The stored coefficient tables of all versions, one row per model and version."""
+    return spark.read.schema(f"{_MODEL_COLUMNS}, version int").parquet(f"{path}/model_coefficients")
+
+
+def model_versions(path: str, spark: SparkSession) -> list[int]:
+    """Stored versions, ascending; none where nothing is stored yet."""
+    try:
+        versions = saved_coefficients(path, spark).select("version").distinct().collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return sorted(r.version for r in versions)
+
+
+def load_models(path: str, spark: SparkSession, version: int | None = None) -> dict[str, FittedLogit]:
+    """The saved models by name, of the given or the latest version; the table has one row per model, so reading
+    it here is small."""
     from pyspark.ml.regression import GeneralizedLinearRegressionModel
 
+    known = model_versions(path, spark)
+    version = version if version is not None else max(known, default=None)
+    if version not in known:
+        raise ValueError(f"{path}: no models of version {version}; stored are {known}")
     out = {}
-    for r in spark.read.parquet(f"{path}/coefficients").toLocalIterator():
+    for r in saved_coefficients(path, spark).filter(F.col("version") == version).collect():
         model = None
-        if r.intercept is not None:
-            model = GeneralizedLinearRegressionModel.load(f"{path}/models/{r.name}")
+        if r.intercept is not None and r.method == "ml":
+            model = GeneralizedLinearRegressionModel.load(f"{path}/models/version={version}/{r.name}")
         out[r.name] = FittedLogit(
-            r.name, r.label, tuple(r.features), r.status, r.n_rows, r.n_events, r.intercept, tuple(r.coefficients), model
+            r.name, r.label, tuple(r.features), r.status, r.n_rows, r.n_events, r.intercept, tuple(r.coefficients), r.method, model
         )
     return out

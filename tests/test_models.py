@@ -21,6 +21,8 @@ from creditladder.plans.models import (
     score,
     score_rating_factor,
 )
+from creditladder.plans.separation import design, firth, separation
+from creditladder.sources.sinks import load_models, save_models
 
 
 @pytest.fixture(scope="module")
@@ -211,3 +213,67 @@ def test_point_in_time(frame):
     means = {r.period: r for r in migration.period_means(migration.point_in_time(periods, half)).collect()}
     assert means["p1"].weighted_pd == pytest.approx((1 + 6) / 50) and means["p1"].mean_pd == pytest.approx(0.15)
     assert means["p1"].weighted_pd_active == pytest.approx((0.625 + 15) / 50)
+
+
+# Features that split the labels together
+
+
+def rows_of(frame, points, labels):
+    schema = ", ".join(f"x{i} double" for i in range(len(points[0]))) + ", y int"
+    return frame(schema, [(*map(float, p), int(y)) for p, y in zip(points, labels)])
+
+
+GRID = [(a, b) for a in range(5) for b in range(5)]
+SPLITS = {
+    "complete": (GRID, [int(2 * a + 3 * b > 9.5) for a, b in GRID]),
+    # The points on the line take both labels, all others are split by it.
+    "partial": (GRID + [(1, 3), (2, 2)], [int(a + b > 4 or (a + b == 4 and a % 2)) for a, b in GRID] + [0, 1]),
+    "none": (GRID, [(a * 7 + b * 3) % 2 for a, b in GRID]),
+    "one feature": (GRID, [int(a > 2) for a, _ in GRID]),
+    "dependent": ([(a, 2 * a) for a in range(8)], [0, 1, 0, 1, 1, 0, 1, 1]),
+}
+
+
+@pytest.mark.parametrize("name", SPLITS)
+def test_separation(frame, name):
+    df = rows_of(frame, *SPLITS[name])
+    want = {"one feature": "complete", "dependent": "none"}.get(name, name)
+    assert separation(design(df, ["x0", "x1"], "y")) == want
+    scaled = df.withColumns({"x0": F.col("x0") * 1e-4 + 3, "x1": F.col("x1") * 1e5})
+    assert separation(design(scaled, ["x0", "x1"], "y")) == want
+
+
+def firth_by_hand(points, labels, steps=200):
+    x, y = np.c_[np.ones(len(points)), np.array(points, float)], np.array(labels)
+    beta = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-x @ beta))
+        w = p * (1 - p)
+        inverse = np.linalg.inv((x * w[:, None]).T @ x)
+        h = w * np.einsum("ij,jk,ik->i", x, inverse, x)
+        step = inverse @ (x.T @ (y - p + h * (0.5 - p)))
+        beta = beta + step * min(1, 3 / np.abs(step).max())
+    return beta
+
+
+@pytest.mark.parametrize("name", ["complete", "partial", "none", "one feature"])
+def test_penalised_fit(frame, name):
+    points, labels = SPLITS[name]
+    fit = firth(design(rows_of(frame, points, labels), ["x0", "x1"], "y"))
+    assert fit.converged and fit.steps < 40
+    assert [fit.intercept, *fit.coefficients] == pytest.approx(firth_by_hand(points, labels).tolist(), rel=1e-6, abs=1e-7)
+
+
+def test_separated_segments_get_finite_coefficients(frame, tmp_path, spark):
+    segments = {n: Segment(F.col("y"), ("x0", "x1"), F.col("s") == n, "y") for n in ("complete", "partial", "none")}
+    df = None
+    for n in segments:
+        part = rows_of(frame, *SPLITS[n]).withColumn("s", F.lit(n))
+        df = part if df is None else df.union(part)
+    models = fit_logits(df, segments)
+    assert {n: (m.status, m.method) for n, m in models.items()} == {"complete": ("separated", "firth"), "partial": ("separated", "firth"), "none": ("ok", "ml")}
+    assert all(abs(b) < 100 for m in models.values() for b in m.coefficients)
+    assert save_models(models, str(tmp_path), spark) == 1 and save_models({"none": models["none"]}, str(tmp_path), spark) == 2
+    assert load_models(str(tmp_path), spark, 1) == models and set(load_models(str(tmp_path), spark)) == {"none"}
+    with pytest.raises(ValueError, match="no models of version 3"):
+        load_models(str(tmp_path), spark, 3)

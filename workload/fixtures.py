@@ -89,6 +89,11 @@ VIEWS = {
                     when u < 1.2e0 * pd * (0.3e0 + 2e0 * pd) * (0.2e0 + 2e0 * pd) then 'Writeoff'
                     else 'Performing' end wo
         from {u}""",
+    # Write-offs that follow two features together without exception; neither splits them alone.
+    "split_loans": """
+        select loan_id, pd, utilised, cast(case when 3e0 * pd + utilised > 0.9e0 then 1 else 0 end as int) y
+        from (select loan_id, pd, (loan_id * 53 % 89) / 89e0 utilised from {u}) s
+        where abs(3e0 * pd + utilised - 0.9e0) > 0.15e0""",
     # What the loan is rated today, with some loans unrated, and its present balance.
     "book": """
         select loans.loan_id, pd, active,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .irls import irls, last_step
+from .irls import firth_two, irls, last_step
 
 SO_FAR = "rows between unbounded preceding and current row"
 
@@ -214,3 +214,11 @@ ORACLE_VIEWS["pit_active"] = "\nunion all\n".join(
     f"left join {{sept_balances}} b on s.loan_id = b.loan_id where s.last_year = 1 and b.balance_09{y % 100:02d} > 0"
     for y in PERIOD_YEARS
 )
+
+ORACLE_VIEWS["fit_split"] = firth_two("fit_split", "split_loans", "pd", "utilised")
+
+_AHEAD = {"Current": "pm_sm * pm_substandard * pm_doubtful * pm_wo", "Special Mention": "pm_substandard * pm_doubtful * pm_wo",
+          "Substandard": "pm_doubtful * pm_wo", "Doubtful": "pm_wo"}
+ORACLE_VIEWS["rated_active_book"] = (
+    "select *, case risk_category " + " ".join(f"when '{c}' then {v}" for c, v in _AHEAD.items()) + " end x0 from {scored_book} where active = 1"
+)

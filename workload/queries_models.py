@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from creditladder.functions import probability as prob
 from creditladder.operators import aggregates as agg
-from creditladder.operators.reshape import gather_long, select_existing
+from creditladder.operators.reshape import select_existing
 from creditladder.plans import exposure as exp
 from creditladder.plans import migration as mig
 from creditladder.plans import rating, segments
-from creditladder.plans.models import coefficients, fit_linear, fit_logits, fit_rating_factor, score
+from creditladder.plans.models import Segment, coefficients, fit_linear, fit_logits, fit_rating_factor, score
+from creditladder.plans.models import score_all as with_scores
 from creditladder.plans.panel import active_as_of, build_panel
+from creditladder.session import cut_lineage, new_path
+from creditladder.sources.sinks import load_models, save_models, write_report
 
 from .fixtures import PERIODS
-from .irls import last_step, terms
+from .irls import FIRTH_STEPS, last_step, terms
 from .oracle_views import LOAN_SEGMENTS, MONTHS, PANEL_SEGMENTS, PANEL_SEGMENTS_ALL, PD, chain_scored
 from .queries_tables import panel_sources
 from .registry import COEF, MONEY, RATE, Inputs, query, rounded
@@ -95,13 +98,24 @@ def panel_calibration(t: Inputs) -> DataFrame:
     """On the loans whose probability and write-off state are known."""
     panel = active_panel(t).filter("wo is not null and pd is not null")
     family = segments.panel_segments(CLOSED_BEFORE, WATCH_FROM, WATCH_TO)
-    from creditladder.session import cut_lineage
-
     panel = cut_lineage(panel, "panel")
     out = segments.panel_calibration(panel, fit_logits(panel, family), family)
     return rounded(out, value=RATE)
 
 
+@query(
+    "fit_separated",
+    "\nunion all\n".join(
+        f"select 'split' model, '{term}' term, round(b{i}, {COEF}) estimate, 'separated' status from {{fit_split}} where step = {FIRTH_STEPS}"
+        for i, term in enumerate(("(Intercept)", "pd", "utilised"))
+    ),
+)
+def fit_separated(t: Inputs) -> DataFrame:
+    """Two features that split the labels only together: found, and fitted with the penalised likelihood."""
+    models = fit_logits(t("split_loans"), {"split": Segment(F.col("y"), ("pd", "utilised"), None, "y")})
+    return rounded(coefficients(t.spark, models), estimate=COEF)
+
+
 _CHAIN_FIT = "\nunion all\n".join(
     terms(f"fit_chain_{i}", stage, ["x"], COEF).replace("'x' term", f"'{feature}' term")
     for i, (stage, _, feature, _) in enumerate(mig.STAGES)
@@ -196,6 +210,63 @@ def score_one(t: Inputs) -> DataFrame:
     return rounded(score(holes, fitted, "p").select("loan_id", "p"), p=RATE)
 
 
+@query(
+    "model_round_trip",
+    f"""select l.loan_id, round(1e0 / (1e0 + exp(-(f.b0 + f.b1 * l.pd))), 6) current, round(1e0 / (1e0 + exp(-(g.b0 + g.b1 * l.pd))), 6) substandard,
+               round(1e0 / (1e0 + exp(-(h.b0 + h.b1 * l.pd + h.b2 * (l.loan_id * 53 % 89) / 89e0))), 4) split, cast(2 as int) as version
+        from {{loan_frame}} l, {last_step('fit_loan_current')} f, {last_step('fit_loan_substandard')} g,
+             (select * from {{fit_split}} where step = {FIRTH_STEPS}) h""",
+)
+def model_round_trip(t: Inputs) -> DataFrame:
+    """Models stored, stored again as a new version, read back, and every loan scored with them."""
+    df = loan_frame(t).withColumn("utilised", (F.col("loan_id") * 53 % 89) / 89)
+    wanted = segments.loan_segments()
+    models = fit_logits(df, {n: wanted[n] for n in ("current", "substandard")})
+    models |= fit_logits(t("split_loans"), {"split": Segment(F.col("y"), ("pd", "utilised"), None, "y")})
+    path = new_path(t.spark, "models")
+    save_models({"current": models["current"]}, path, t.spark)
+    version = save_models(models, path, t.spark)
+    back = load_models(path, t.spark)
+    scored = with_scores(df, back).select("loan_id", *models, F.lit(version).alias("version"))
+    return rounded(scored, current=RATE, substandard=RATE, split=COEF)
+
+
+@query(
+    "report_round_trip",
+    """select 'wrong_way' sheet, rule a, '' b, cast(count(*) as double) n from ({WRONG}) w group by rule
+       union all select 'counts', max_risk_category, wo, count(*) from {loan_frame} where wo is not null and code >= 0 group by all
+       union all ({COEFS})""".replace(
+        "{WRONG}",
+        " union all ".join(f"select '{name}' as rule from {{scored_loans}} where not ({lo} < {hi})" for name, (lo, hi) in segments.WRONG_WAY_RULES.items()),
+    ).replace("{COEFS}", " union all ".join(f"select 'coefficients', model, term, estimate from ({terms(f'fit_loan_{s}', s, PD, COEF)}) c" for s in LOAN_SEGMENTS)),
+)
+def report_round_trip(t: Inputs) -> DataFrame:
+    """The sheets of a report (wrong-way loans, value counts, coefficients) written as CSV tables and read back."""
+    df = loan_frame(t)
+    models = segments.fit_loan_models(df)
+    path = new_path(t.spark, "report")
+    write_report(
+        {
+            "wrong_way": segments.wrong_way(segments.score_loans(df, models)),
+            "counts": agg.crosstab_long(df, "max_risk_category", "wo"),
+            "coefficients": coefficients(t.spark, models),
+        },
+        path,
+    )
+
+    def sheet(name: str, schema: str) -> DataFrame:
+        return t.spark.read.schema(schema).csv(f"{path}/{name}", header=True, nullValue="NA")
+
+    wrong = sheet("wrong_way", "loan_id long, rule string").groupBy("rule").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    counts = sheet("counts", "max_risk_category string, wo string, n double")
+    terms_ = sheet("coefficients", "model string, term string, estimate double, status string")
+    return (
+        wrong.select(F.lit("wrong_way").alias("sheet"), F.col("rule").alias("a"), F.lit("").alias("b"), "n")
+        .union(counts.select(F.lit("counts"), "max_risk_category", "wo", "n"))
+        .union(terms_.select(F.lit("coefficients"), "model", "term", F.round("estimate", COEF)))
+    )
+
+
 @query(
     "wrong_way",
     "\nunion all\n".join(
@@ -362,7 +433,7 @@ def score_chain(t: Inputs) -> DataFrame:
 def chain_line(t: Inputs) -> DataFrame:
     """Straight line of the chain's product on the original probability."""
     scored = mig.add_chain_products(mig.chain_scores(t("loans"), chain(t)))
-    return rounded(fit_linear(scored, "pdx", "pd"), intercept=COEF, slope=COEF)
+    return rounded(mig.chain_line(scored), intercept=COEF, slope=COEF)
 
 
 @query(
@@ -395,19 +466,28 @@ def rate_active_book(t: Inputs) -> DataFrame:
     return rounded(kept, **dict.fromkeys(names, RATE), el=MONEY)
 
 
+_BOOK_SLICES = {
+    "Current": "risk_category = 'Current'", "below": "risk_category is not null and risk_category <> 'Current'", "unrated": "risk_category is null", "all": "true",
+}
+
+
 @query(
     "book_loss",
-    f"""select case when risk_category = 'Current' then 'Current' when risk_category is not null then 'below' end slice,
-        round(sum({'X'} * balance), 2) el, round(coalesce(sum({'X'} * balance), 0e0) / nullif(sum(balance), 0), 6) loss_rate,
-        round(avg({'X'}), 6) mean_pd_active
-        from (select *, case risk_category {' '.join(f"when '{c}' then {v}" for c, v in zip(prob.CATEGORIES, _AHEAD))} end x0
-              from {_FIXED_BOOK}) y where active = 1 group by 1""".replace("X", "x0"),
+    "\nunion all\n".join(
+        f"""select '{name}' slice, count(*) n_loans, case when count(*) = count(balance) then round(coalesce(sum(balance), 0), 2) end balance,
+            round(coalesce(sum(x0 * balance), 0), 2) el, round(coalesce(sum(x0 * balance), 0e0) / nullif(sum(balance), 0), 6) loss_rate,
+            case when count(*) filter (x0 is not null and balance is null) = 0
+                 then round(coalesce(sum(x0 * balance), 0e0) / nullif(sum(balance) filter (x0 is not null), 0), 6) end loss_rate_known,
+            round(avg(x0), 6) mean_pd_active, round(avg(pd), 6) mean_pd
+            from {{rated_active_book}} where {cond} having count(*) > 0"""
+        for name, cond in _BOOK_SLICES.items()
+    ),
 )
 def book_loss(t: Inputs) -> DataFrame:
-    """Category-free expected loss of the active book: sums, rate and mean, by slice."""
-    df = _fixed_migrations(t("book")).withColumn("pd_active", prob.active_pd("risk_category"))
-    out = mig.book_loss(df).select("slice", "el", "loss_rate", "mean_pd_active")
-    return rounded(out, el=MONEY, loss_rate=RATE, mean_pd_active=RATE)
+    """Category-free expected loss of the active book: sums, rates and means, by slice and for the whole book."""
+    out = mig.book_loss(mig.rate_active_book(t("book"), chain(t)))
+    rates = dict.fromkeys(("loss_rate", "loss_rate_known", "mean_pd_active", "mean_pd"), RATE)
+    return rounded(out, balance=MONEY, el=MONEY, **rates)
 
 
 @query(
@@ -419,8 +499,7 @@ def book_loss(t: Inputs) -> DataFrame:
 )
 def migration_long(t: Inputs) -> DataFrame:
     scored = mig.add_chain_products(mig.chain_scores(t("loans"), chain(t)))
-    cols = ["pd", "pd_sm", "pd_substandard", "pd_doubtful", "pdx"]
-    return rounded(gather_long(scored, ["loan_id"], cols, "migration", "pds"), pds=RATE)
+    return rounded(mig.chain_long(scored), pds=RATE)
 
 
 # --- point in time -----------------------------------------------------------------------------------
