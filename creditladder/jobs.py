@@ -18,7 +18,7 @@ from .operators.checks import expect_covered, missing_report
 from .operators.reshape import select_existing
 from .plans import exposure, migration, rating, segments
 from .plans.models import FittedLogit, coefficients, fit_logits
-from .plans.panel import PanelSources, active_as_of
+from .plans.panel import PanelSources, active_as_of_stored
 from .plans.panel_checks import write_checked_panel
 from .session import cut_lineage
 from .sources import exports
@@ -51,12 +51,12 @@ def read_panel_sources(spark: SparkSession, inputs: str, files: Mapping[str, str
 
 
 def run_panel(
-    spark: SparkSession, inputs: str, out: str, files: Mapping[str, str] | None = None, duplicates: str = "error"
+    spark: SparkSession, inputs: str, out: str, files: Mapping[str, str] | None = None, duplicates: str = "error", buckets: int | None = None
 ) -> DataFrame:
-    """Exports -> the loan-month panel, stored by month, and the reports on its data (rejected texts, row and null
-    counts, month totals, count tables)."""
+    """Exports -> the loan-month panel, stored by month (and, in so many ``buckets``, by loan), and the reports on its
+    data (rejected texts, row and null counts, month totals, count tables)."""
     sources, rejected = read_panel_sources(spark, inputs, files)
-    panel, checks = write_checked_panel(sources, f"{out}/panel", duplicates)
+    panel, checks = write_checked_panel(sources, f"{out}/panel", duplicates, buckets)
     write_report({**checks.tables(), "rejected": rejected}, f"{out}/checks")
     return panel
 
@@ -67,7 +67,7 @@ def run_panel_models(
     """Stored panel -> write-off models per segment, with their calibration."""
     spark = panel.sparkSession
     family = segments.panel_segments_all_dates() if all_dates else segments.panel_segments()
-    df = active_as_of(panel, active_on)
+    df = active_as_of_stored(panel, active_on)
     models = fit_logits(df, family, durable=True)
     write_report(
         {"mean_pds_check": segments.panel_calibration(df, models, family), "coefficients": coefficients(spark, models)}, out

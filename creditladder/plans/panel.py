@@ -233,5 +233,16 @@ def active_as_of(panel: DataFrame, date: str) -> DataFrame:
     A window by loan: right behind :func:`build_panel` it needs no exchange of its own, and the panel is
     read once.
     """
-    alive = (F.col("balance") > 0) & (F.col(MONTH) == F.lit(date).cast("date"))
-    return panel.withColumn("active", F.max(flag_or_zero(alive)).over(Window.partitionBy(LOAN)))
+    return panel.withColumn("active", F.max(flag_or_zero(_alive(date))).over(Window.partitionBy(LOAN)))
+
+
+def active_as_of_stored(panel: DataFrame, date: str) -> DataFrame:
+    """The same on a stored panel: the loans come from the scan of that one month and are joined by loan, so where the panel
+    is stored by loan none of its rows travel. Loans without an id are not active."""
+    alive = panel.filter(_alive(date)).select(F.col(LOAN).alias("__alive")).distinct()
+    joined = panel.join(alive, F.col(LOAN) == F.col("__alive"), "left")
+    return joined.withColumn("active", F.col("__alive").isNotNull().cast("int")).select(*panel.columns, *(["active"] if "active" not in panel.columns else []))
+
+
+def _alive(date: str) -> Column:
+    return (F.col("balance") > 0) & (F.col(MONTH) == F.lit(date).cast("date"))

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.nulls import sum_or_zero
 from ..operators.aggregates import duplicate_keys
 from ..session import cut_lineage
+from ..sources.layout import write_by_key
 from ..sources.sinks import write_table
-from .panel import KEY, MONTH, OUTPUT, PanelSources, above_floor, build_panel, months_table
+from .panel import KEY, LOAN, MONTH, OUTPUT, PanelSources, above_floor, build_panel, months_table
 
 MONTH_COLUMNS = ("balance", "monitor_score", "risk_category_sf", "paid_cum", "disb_cum", "maturity_date", "risk_category")
 COUNTED = ("risk_category", "risk_category_sf", "special_mention", "wo")
@@ -51,8 +52,9 @@ def _month_metrics() -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), F.count_if(above_floor()).alias("n_above"), *_null_metrics(MONTH_COLUMNS)]
 
 
-def write_checked_panel(src: PanelSources, path: str, duplicates: str = "error") -> tuple[DataFrame, PanelChecks]:
-    """Builds the panel, stores it by month and returns it, read back, with its checks.
+def write_checked_panel(src: PanelSources, path: str, duplicates: str = "error", buckets: int | None = None) -> tuple[DataFrame, PanelChecks]:
+    """Builds the panel, stores it by month and returns it, read back, with its checks. ``buckets``: store it by loan
+    as well, in that many files a month.
 
     A metric in the last stage counts each written row once, also when executors are lost. The metrics before the floor lie in
     an earlier stage, whose tasks may run again and count again; their rows above the floor must equal the written
@@ -62,8 +64,12 @@ def write_checked_panel(src: PanelSources, path: str, duplicates: str = "error")
     spark = src.balances.sparkSession
     before, written = Observation(), Observation()
     panel = build_panel(src, duplicates, lambda months: months.observe(before, *_month_metrics()))
-    write_table(panel, path, partition_by=[MONTH], mode="overwrite", observe=(written, [F.count(F.lit(1)).alias("n"), *_null_metrics(OUTPUT)]))
-    stored = spark.read.schema(panel.schema).parquet(path).select(*OUTPUT)
+    metrics = (written, [F.count(F.lit(1)).alias("n"), *_null_metrics(OUTPUT)])
+    if buckets:
+        stored = write_by_key(panel, path, LOAN, MONTH, buckets, metrics).select(*OUTPUT)
+    else:
+        write_table(panel, path, partition_by=[MONTH], mode="overwrite", observe=metrics)
+        stored = spark.read.schema(panel.schema).parquet(path).select(*OUTPUT)
 
     months, rows = before.get, written.get
     if duplicates != "error" or months["n_above"] != rows["n"]:

@@ -13,8 +13,9 @@ from creditladder.operators import windows
 from creditladder.operators.file_order import fill_down_ordered
 from creditladder.operators.joins import merge
 from creditladder.plans import migration
-from creditladder.plans.panel import PanelSources, build_panel, one_per_month
+from creditladder.plans.panel import PanelSources, active_as_of, active_as_of_stored, build_panel, one_per_month
 from creditladder.sources import records
+from creditladder.sources.layout import read_by_key, write_by_key
 from workload import queries_models  # noqa: F401  (registers its queries)
 from workload.queries_tables import panel_sources
 from workload.registry import QUERIES, Inputs
@@ -189,3 +190,23 @@ def test_guarantee_report_is_scanned_in_many_tasks(spark, sf, monkeypatch):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert tasks[0] > 4 and any("\n" in r[2] for r in whole)
+
+
+def test_stored_panel_does_not_travel(spark, stored, tmp_path):
+    """Stored by month and loan: the loans of one month are joined, and windows run, where the rows lie."""
+    panel = write_by_key(build_panel(stored), str(tmp_path / "panel"), "loan_id", "date", 4)
+    text = static_plan(spark, lambda: active_as_of_stored(panel, "2000-06-30"))
+    # Nothing travels, and the loans are read of that one month only.
+    assert "Exchange" not in text, text
+    assert "date = 2000-06-30" in re.sub(r"#\d+L?", "", text) and "ReadSchema: struct<loan_id:bigint,balance:double>" in text
+    along = static_plan(spark, lambda: windows.run_length(panel, "loan_id", "date", "risk_category", "n"))
+    assert "Exchange" not in along
+    by_loan = static_plan(spark, lambda: merge(panel, stored.guarantees.select("loan_id", F.lit(1).alias("g")), "loan_id", "left", null_keys="drop"))
+    assert len(re.findall(r"Exchange ", by_loan)) == 1, by_loan
+    again = read_by_key(spark, str(tmp_path / "panel"))
+    spark.sql(f"drop table {[t.name for t in spark.catalog.listTables() if t.name.startswith('laid_out_')][-1]}")
+    fresh = read_by_key(spark, str(tmp_path / "panel"))
+    assert again.schema == fresh.schema and rows(active_as_of_stored(fresh, "2000-06-30").select("loan_id", "date", "active")) == rows(
+        active_as_of(panel, "2000-06-30").select("loan_id", "date", "active")
+    )
+    assert "Exchange" not in static_plan(spark, lambda: windows.run_length(fresh, "loan_id", "date", "risk_category", "n"))

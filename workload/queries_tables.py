@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import date
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +34,13 @@ from creditladder.operators import file_order, reshape, windows
 from creditladder.operators.checks import expect_covered, missing_report
 from creditladder.operators.joins import anti, merge, semi
 from creditladder.plans.panel import OUTPUT as PANEL_COLUMNS
-from creditladder.plans.panel import PanelSources, active_as_of, build_panel, one_per_month
+from creditladder.plans.panel import PanelSources, active_as_of, active_as_of_stored, build_panel, one_per_month
 from creditladder.plans.panel_checks import write_checked_panel
 from creditladder.session import new_path
 from creditladder.sources.exports import load, load_balances, load_checked, load_guarantees
+from creditladder.sources.layout import replace_months, write_by_key
 from creditladder.sources.lines import read_export
+from creditladder.sources.sinks import write_table
 
 from .registry import MONEY, RATE, Inputs, query, rounded
 
@@ -849,6 +854,50 @@ def active_as_of_query(t: Inputs) -> DataFrame:
     return active_as_of(t("bal"), "2000-06-30").select(*LOAN_MONTH, "active")
 
 
+@query(
+    "active_as_of_stored",
+    """select p.loan_id, p.date, round(p.balance, 2) balance, p.active from {book_panel} p""",
+)
+def active_as_of_stored_query(t: Inputs) -> DataFrame:
+    """On the panel stored by month and loan: one month is scanned for the loans, and they are joined where the rows lie."""
+    stored = write_by_key(build_panel(panel_sources(t)), new_path(t.spark, "laid_out"), "loan_id", "date", 8)
+    return rounded(active_as_of_stored(stored, "2000-06-30").select(*LOAN_MONTH, "balance", "active"), balance=MONEY)
+
+
+@query(
+    "write_round_trip",
+    """select loan_id, date, round(case when date = date '1997-06-30' then 2 * balance else balance end, 2) balance from {bal}
+       where date <> date '1997-07-31' or loan_id % 2 = 0""",
+)
+def write_round_trip(t: Inputs) -> DataFrame:
+    """A table stored by month; two months run again; a run that fails changes nothing; read back."""
+    path, june, july = new_path(t.spark, "months"), date(1997, 6, 30), date(1997, 7, 31)
+    bal = t("bal")
+    write_table(bal, path, partition_by=["date"])
+    again = bal.filter((F.col("date") == F.lit(june)) | (F.col("date") == F.lit(july)) & (F.col("loan_id") % 2 == 0))
+    doubled = F.when(F.col("date") == F.lit(june), 2 * F.col("balance")).otherwise(F.col("balance"))
+    replace_months(again.withColumn("balance", doubled), path, "date", [june, july])
+    broken = again.withColumn("balance", F.when(F.rand(1) < 2, F.raise_error(F.lit("a run that fails"))).cast("double"))
+    for failing, months in ((broken, [june, july]), (again, [june]), (again.limit(0), [june])):
+        try:
+            replace_months(failing, path, "date", months)
+        except (PySparkException, ValueError):
+            continue
+        raise AssertionError("a broken run was stored")
+    return rounded(t.spark.read.schema("balance double, loan_id long, date date").parquet(path).select("loan_id", "date", "balance"), balance=MONEY)
+
+
+@query(
+    "suffix_columns",
+    """select b.loan_id, b.date, round(b.balance, 2) balance_x, round(m.outstanding_principal, 2) balance_y, m.maturity_date
+       from {bal} b left join {maturity} m on b.loan_id = m.loan_id and b.date = m.date""",
+)
+def suffix_columns(t: Inputs) -> DataFrame:
+    """Columns of one name on both sides of a join come out with a suffix each."""
+    both = merge(t("bal"), t("maturity").withColumnRenamed("outstanding_principal", "balance"), LOAN_MONTH, "left")
+    return rounded(both, balance_x=MONEY, balance_y=MONEY)
+
+
 # --- checks ------------------------------------------------------------------------------------------
 
 
