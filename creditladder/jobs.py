@@ -70,7 +70,12 @@ def run_panel_models(
     df = active_as_of_stored(panel, active_on)
     models = fit_logits(df, family, durable=True)
     write_report(
-        {"mean_pds_check": segments.panel_calibration(df, models, family), "coefficients": coefficients(spark, models)}, out
+        {
+            "mean_pds_check": segments.panel_calibration(df, models, family),
+            "pds_by_bin": segments.panel_calibration_bins(df, models, family),
+            "coefficients": coefficients(spark, models),
+        },
+        out,
     )
     save_models(models, out, spark)
     return models

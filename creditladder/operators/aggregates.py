@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exact import exact_sum, exact_sum_or_zero, exact_sum_strict
 from ..functions.nulls import avg_strict, ratio, sum_or_zero, sum_strict
 from .joins import merge
 
@@ -15,14 +16,14 @@ def _names(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-def sum_by(df: DataFrame, by, value: str, name: str) -> DataFrame:
-    """Sum per key, unknown as soon as one input is."""
-    return df.groupBy(*_names(by)).agg(sum_strict(value).alias(name))
+def sum_by(df: DataFrame, by, value: str, name: str, exact: bool = False) -> DataFrame:
+    """Sum per key, unknown as soon as one input is. ``exact``: the same bits however the rows lie."""
+    return df.groupBy(*_names(by)).agg((exact_sum_strict if exact else sum_strict)(value).alias(name))
 
 
-def total_by(df: DataFrame, by, value: str, name: str) -> DataFrame:
-    """Sum per key, nulls skipped."""
-    return df.groupBy(*_names(by)).agg(sum_or_zero(value).alias(name))
+def total_by(df: DataFrame, by, value: str, name: str, exact: bool = False) -> DataFrame:
+    """Sum per key, nulls skipped. ``exact``: the same bits however the rows lie."""
+    return df.groupBy(*_names(by)).agg((exact_sum_or_zero if exact else sum_or_zero)(value).alias(name))
 
 
 def weighted_rate(weight: str, cond: Column) -> Column:
@@ -31,19 +32,20 @@ def weighted_rate(weight: str, cond: Column) -> Column:
     return ratio(sum_strict(hit), sum_strict(weight))
 
 
-def weighted_mean(value: str, weight: str, na: str = "pair") -> Column:
+def weighted_mean(value: str, weight: str, na: str = "pair", exact: bool = False) -> Column:
     """Weighted mean. ``na='each'``: numerator and denominator drop their own nulls;
     ``na='pair'``: the denominator counts only where the value is known, and a weight unknown there
-    makes the mean unknown; ``na='strict'``: any null makes the mean unknown."""
+    makes the mean unknown; ``na='strict'``: any null makes the mean unknown. ``exact``: sums that do not
+    depend on how the rows lie."""
     v, w = F.col(value), F.col(weight)
+    strict, known = (exact_sum_strict, exact_sum_or_zero) if exact else (sum_strict, sum_or_zero)
     if na == "each":
-        return ratio(sum_or_zero(v * w), sum_or_zero(w))
+        return ratio(known(v * w), known(w))
     if na == "pair":
-        known = F.when(v.isNotNull(), w)
         complete = F.count_if(v.isNotNull() & w.isNull()) == 0
-        return F.when(complete, ratio(sum_or_zero(v * w), sum_or_zero(known)))
+        return F.when(complete, ratio(known(v * w), known(F.when(v.isNotNull(), w))))
     if na == "strict":
-        return ratio(sum_strict(v * w), sum_strict(w))
+        return ratio(strict(v * w), strict(w))
     raise ValueError("na must be 'each', 'pair' or 'strict'")
 
 
@@ -96,6 +98,39 @@ def category_share(df: DataFrame, time: str, category: str, balance: str) -> Dat
     return out.withColumn("cat_prop", ratio(F.col("cat_total"), F.col("balance")))
 
 
+CELLS = 1000
+
+
+def calibration_bins(df: DataFrame, segments: Mapping[str, tuple[Column, Column]], label: Column, bins: int = 10, cells: int = CELLS) -> DataFrame:
+    """Predicted beside actual rates by bins of the prediction, per segment: (segment, bin, n, n_unknown, low, high,
+    mean_pd, mean_actual). ``segments`` maps segment -> (condition, probability); ``label`` is 1, 0 or null.
+
+    One aggregation counts each segment's rows in ``cells`` equal steps of the probability, known and unknown labels
+    apart. Such counts add up whatever the partitioning, and bins of about equal size are runs of cells: a cell belongs to the
+    bin in which its first row falls. Bins are thus exact up to a cell's width and may be fewer where many predictions are
+    alike. Rows without a prediction make up a bin of their own (null).
+    """
+    member = F.array_compact(
+        F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(name).alias("segment"), p.cast("double").alias("p"))) for name, (cond, p) in segments.items()])
+    )
+    rows = df.select(F.explode(member).alias("m"), label.cast("double").alias("y")).select("m.segment", "m.p", "y")
+    cell = F.when(F.col("p").isNotNull(), F.least(F.floor(F.col("p") * cells), F.lit(cells - 1)))
+    counted = rows.groupBy("segment", cell.alias("cell")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("y").alias("n_known"), F.min("p").alias("low"), F.max("p").alias("high"),
+        exact_sum_or_zero("p").alias("p"), exact_sum_or_zero("y").alias("y"),
+    )
+    # At most one row per segment and cell.
+    of = Window.partitionBy("segment", F.col("cell").isNull())
+    above = F.coalesce(F.sum("n").over(of.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("n").over(of)
+    dealt = counted.withColumn("bin", F.when(F.col("cell").isNotNull(), F.floor(above * bins / total).cast("int")))
+    return dealt.groupBy("segment", "bin").agg(
+        F.sum("n").alias("n"), (F.sum("n") - F.sum("n_known")).alias("n_unknown"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.when(F.col("bin").isNotNull(), ratio(exact_sum("p"), F.sum("n").cast("double"))).alias("mean_pd"),
+        ratio(exact_sum("y"), F.sum("n_known").cast("double")).alias("mean_actual"),
+    )
+
+
 def calibration_table(df: DataFrame, segments: Mapping[str, Mapping[str, Column]]) -> DataFrame:
     """One row per (segment, statistic) from a single aggregation.
 

@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.exact import exact_sum
+
 
 def _names(x: str | Sequence[str]) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
@@ -39,19 +41,22 @@ def last_per(df: DataFrame, by: str | Sequence[str], order: str | Sequence[str])
     )
 
 
-def monthly_sums(df: DataFrame, by: str | Sequence[str], sums: Mapping[str, str]) -> DataFrame:
+def monthly_sums(df: DataFrame, by: str | Sequence[str], sums: Mapping[str, str], exact: bool = False) -> DataFrame:
     """Sums per group with null counted as 0: ``sums`` maps output name -> input column."""
+    add = exact_sum if exact else F.sum
     return df.groupBy(*_names(by)).agg(
-        *[F.sum(F.coalesce(F.col(c), F.lit(0.0))).alias(name) for name, c in sums.items()]
+        *[add(F.coalesce(F.col(c), F.lit(0.0))).alias(name) for name, c in sums.items()]
     )
 
 
 def running_sum(
-    df: DataFrame, sums: Mapping[str, str], by: str | Sequence[str], order: str | Sequence[str]
+    df: DataFrame, sums: Mapping[str, str], by: str | Sequence[str], order: str | Sequence[str], exact: bool = False
 ) -> DataFrame:
-    """Running totals; null adds nothing, and before the first known value the total is null."""
+    """Running totals; null adds nothing, and before the first known value the total is null. ``exact``: the same
+    bits however rows of one order value lie."""
     w = _so_far(by, order)
-    return df.withColumns({name: F.sum(c).over(w) for name, c in sums.items()})
+    add = (lambda c: exact_sum(c, lambda s: s.over(w))) if exact else (lambda c: F.sum(c).over(w))
+    return df.withColumns({name: add(c) for name, c in sums.items()})
 
 
 def fill_down(df: DataFrame, cols: str | Sequence[str], by, order) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ladder import FLAGS, pit_flags
-from ..functions.nulls import all_true, sum_or_zero, sum_strict
+from ..functions.exact import exact_sum_or_zero, exact_sum_strict
+from ..functions.nulls import all_true
 from ..functions.probability import (
     MIGRATIONS,
     active_pd,
@@ -118,12 +119,13 @@ def book_loss(book: DataFrame, category: str = "risk_category") -> DataFrame:
         .groupBy("slice")
         .agg(
             F.count(F.lit(1)).alias("n_loans"),
-            sum_strict("balance").alias("balance"),
-            sum_or_zero(F.col("pd_active") * F.col("balance")).alias("el"),
-            weighted_mean("pd_active", "balance", "each").alias("loss_rate"),
-            weighted_mean("pd_active", "balance", "pair").alias("loss_rate_known"),
+            exact_sum_or_zero(F.col("pd_active") * F.col("balance")).alias("el"),
+            weighted_mean("pd_active", "balance", "each", exact=True).alias("loss_rate"),
+            weighted_mean("pd_active", "balance", "pair", exact=True).alias("loss_rate_known"),
             F.avg("pd_active").alias("mean_pd_active"),
             F.avg("pd").alias("mean_pd"),
+            # Last, as the name would hide the input column from what follows.
+            exact_sum_strict("balance").alias("balance"),
         )
     )
 

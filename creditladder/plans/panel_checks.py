@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.nulls import sum_or_zero
+from ..functions.exact import exact_sum_or_zero
 from ..operators.aggregates import duplicate_keys
 from ..session import cut_lineage
 from ..sources.layout import write_by_key
@@ -76,7 +76,7 @@ def write_checked_panel(src: PanelSources, path: str, duplicates: str = "error",
         months = months_table(src, duplicates).agg(*_month_metrics()).first().asDict()
     # One row per month and combination of categories: bounded by the calendar and the ladder.
     grouped = stored.groupBy(MONTH, *COUNTED).agg(
-        F.count(F.lit(1)).alias("n"), sum_or_zero("balance").alias("balance"), F.count_if(F.col("balance") > 0).alias("n_positive")
+        F.count(F.lit(1)).alias("n"), exact_sum_or_zero("balance").alias("balance"), F.count_if(F.col("balance") > 0).alias("n_positive")
     )
     grouped = cut_lineage(grouped, "panel_groups")
     # With unique source keys, which the build has guarded, no key can repeat.
@@ -87,7 +87,7 @@ def write_checked_panel(src: PanelSources, path: str, duplicates: str = "error",
     return stored, PanelChecks(
         rows=spark.createDataFrame(list(counts.items()), "stage string, n long"),
         nulls=spark.createDataFrame(nulls, "stage string, variable string, n_null long"),
-        month_totals=grouped.groupBy(MONTH).agg(sum_or_zero("balance").alias("total_balance")),
+        month_totals=grouped.groupBy(MONTH).agg(exact_sum_or_zero("balance").alias("total_balance")),
         counts=_count_tables(grouped),
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ladder import CODE_THRESHOLDS, category_code, category_label, is_writeoff, reached_flags
 from ..functions.nulls import all_true, avg_strict, ratio, sum_strict
-from ..operators.aggregates import calibration_table
+from ..operators.aggregates import calibration_bins, calibration_table
 from ..operators.checks import tagged_rows
 from ..operators.joins import merge
 from ..operators.reshape import columns_between, select_range
@@ -167,7 +167,8 @@ def panel_calibration(
     df: DataFrame, models: Mapping[str, FittedLogit], segments: Mapping[str, Segment]
 ) -> DataFrame:
     """Mean prediction beside the balance-weighted write-off rate and the balance-weighted prediction of
-    each segment; all segments from one aggregation."""
+    each segment, unknown as soon as one row's is; the same over the rows whose prediction or state is known; and how
+    many rows there are and lack one. All segments from one aggregation."""
     lost = is_writeoff(LABEL)
     table = {}
     for name, s in segments.items():
@@ -181,10 +182,21 @@ def panel_calibration(
             "mean_pd": F.when(known, F.avg(F.when(inside, p))),
             "mean_actual": ratio(sum_strict(hit), sum_strict(balance)),
             "weighted_pd": ratio(sum_strict(weighted), sum_strict(balance)),
+            "mean_pd_known": F.avg(F.when(inside, p)),
+            "mean_actual_known": ratio(F.sum(F.when(inside, hit)), F.sum(F.when(inside & lost.isNotNull(), F.col("balance")))),
+            "weighted_pd_known": ratio(F.sum(F.when(inside, weighted)), F.sum(F.when(inside & p.isNotNull(), F.col("balance")))),
+            "n": F.count_if(inside),
+            "n_unknown_pd": F.count_if(inside & p.isNull()),
+            "n_unknown_state": F.count_if(inside & lost.isNull()),
         }
     return calibration_table(df, table)
 
 
+def panel_calibration_bins(df: DataFrame, models: Mapping[str, FittedLogit], segments: Mapping[str, Segment], bins: int = 10) -> DataFrame:
+    """Predicted beside actual write-off rates of each segment by bins of the prediction."""
+    return calibration_bins(df, {n: (s.where, models[n].probability()) for n, s in segments.items()}, wo_label(), bins)
+
+
 WRONG_WAY_RULES = {
     "watch list < special mention": ("pd_wl", "pd_sm_wo"),
     "current < special mention": ("pd", "pd_sm_wo"),

@@ -200,11 +200,8 @@ def chain_scored(source: str) -> str:
 ORACLE_VIEWS["scored_chain"] = chain_scored("loans")
 ORACLE_VIEWS["scored_book"] = chain_scored("book")
 
-# Calibration works on rows whose state (and probability) is known.
+# Calibration works on rows whose state is known.
 ORACLE_VIEWS["known_loans"] = "select * from {scored_loans} where y is not null"
-for _name, (_cond, _features) in PANEL_SEGMENTS.items():
-    ORACLE_VIEWS[f"seg_known_{_name}"] = f"select * from {{seg_panel_{_name}}} where y is not null and pd is not null"
-    ORACLE_VIEWS[f"fit_known_{_name}"] = irls(f"fit_known_{_name}", f"seg_known_{_name}", _features)
 
 # Loans active at each past September.
 PERIOD_YEARS = (1996, 1997, 1998, 1999, 2000)

@@ -80,27 +80,57 @@ def fit_panel_family_all_dates(t: Inputs) -> DataFrame:
     return _estimates(t, fit_logits(active_panel(t), segments.panel_segments_all_dates(), durable=True))
 
 
+def _panel_scored(name: str, features) -> str:
+    """The segment's rows with their prediction p."""
+    more = " + f.b2 * s.m + f.b3 * s.m2" if features is MONTHS else ""
+    return f"(select s.*, 1e0 / (1e0 + exp(-(f.b0 + f.b1 * s.pd{more}))) p from {{seg_panel_{name}}} s, {last_step(f'fit_panel_{name}')} f)"
+
+
+_CALIBRATION = {
+    "mean_pd": "case when count(*) = count(p) then avg(p) end",
+    "mean_actual": "case when count(*) = count(y) then sum(y * balance) / nullif(sum(balance), 0) end",
+    "weighted_pd": "case when count(*) = count(p) then sum(balance * p) / nullif(sum(balance), 0) end",
+    "mean_pd_known": "avg(p)",
+    "mean_actual_known": "sum(y * balance) / nullif(sum(balance) filter (y is not null), 0)",
+    "weighted_pd_known": "sum(balance * p) / nullif(sum(balance) filter (p is not null), 0)",
+    "n": "count(*)", "n_unknown_pd": "count(*) - count(p)", "n_unknown_state": "count(*) - count(y)",
+}
+
+
 @query(
     "panel_calibration",
     "\nunion all\n".join(
-        f"""select '{name}' segment, stat as statistic, round(v, 6) as value from (
-              select unnest(['mean_pd', 'mean_actual', 'weighted_pd']) stat, unnest([
-                case when count(*) = count(p) then avg(p) end,
-                case when count(*) = count(y) then sum(case when y = 1 then balance else 0e0 end) end
-                    / nullif(sum(balance), 0),
-                case when count(*) = count(p) then sum(balance * p) end / nullif(sum(balance), 0)]) v
-              from (select s.*, 1e0 / (1e0 + exp(-(f.b0 + f.b1 * s.pd{' + f.b2 * s.m + f.b3 * s.m2' if features is MONTHS else ''}))) p
-                    from {{seg_known_{name}}} s, {last_step(f'fit_known_{name}')} f) q) r"""
+        f"select '{name}' segment, unnest({list(_CALIBRATION)}) as statistic, unnest([{', '.join(f'round({v}, 6)' for v in _CALIBRATION.values())}]) as value "
+        f"from {_panel_scored(name, features)} q"
         for name, (_, features) in PANEL_SEGMENTS.items()
     ),
 )
 def panel_calibration(t: Inputs) -> DataFrame:
-    """On the loans whose probability and write-off state are known."""
-    panel = active_panel(t).filter("wo is not null and pd is not null")
+    """On all rows; unknown predictions and write-off states are counted, and told from the known ones."""
+    panel = cut_lineage(active_panel(t), "panel")
+    family = segments.panel_segments(CLOSED_BEFORE, WATCH_FROM, WATCH_TO)
+    return rounded(segments.panel_calibration(panel, fit_logits(panel, family), family), value=RATE)
+
+
+@query(
+    "calibration_bins",
+    "\nunion all\n".join(
+        f"""select '{name}' segment, cast(bin as int) bin, cast(sum(n) as bigint) n, cast(sum(n) - sum(n_known) as bigint) n_unknown,
+                   round(min(low), 6) low, round(max(high), 6) high, round(case when bin is not null then sum(p) / sum(n) end, 6) mean_pd,
+                   round(sum(y) / nullif(sum(n_known), 0), 6) mean_actual
+            from (select *, case when cell is not null then floor((sum(n) over (partition by cell is null order by cell) - n) * 10
+                                                                  / sum(n) over (partition by cell is null)) end bin
+                  from (select case when p is not null then least(floor(p * 1000), 999) end cell, count(*) n, count(y) n_known, min(p) low, max(p) high, sum(p) p, sum(y) y
+                        from {_panel_scored(name, features)} q group by 1) c) d group by bin"""
+        for name, (_, features) in PANEL_SEGMENTS.items()
+    ),
+)
+def calibration_bins(t: Inputs) -> DataFrame:
+    """Predicted beside actual rates by tenths of the prediction."""
+    panel = cut_lineage(active_panel(t), "panel")
     family = segments.panel_segments(CLOSED_BEFORE, WATCH_FROM, WATCH_TO)
-    panel = cut_lineage(panel, "panel")
-    out = segments.panel_calibration(panel, fit_logits(panel, family), family)
-    return rounded(out, value=RATE)
+    out = segments.panel_calibration_bins(panel, fit_logits(panel, family), family)
+    return rounded(out, **dict.fromkeys(("low", "high", "mean_pd", "mean_actual"), RATE))
 
 
 @query(
