@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
 from pyspark.errors import PySparkException
@@ -35,9 +36,10 @@ from creditladder.operators import file_order, reshape, windows
 from creditladder.operators.checks import expect_covered, missing_report
 from creditladder.operators.joins import anti, merge, semi
 from creditladder.plans.panel import OUTPUT as PANEL_COLUMNS
-from creditladder.plans.panel import PanelSources, active_as_of, active_as_of_stored, build_panel, one_per_month
+from creditladder.plans.panel import PanelSources, active_as_of, active_as_of_stored, build_panel, months_table, one_per_month
+from creditladder.plans.panel_append import MONTHLY, append_month, loan_state, with_first_ratings
 from creditladder.plans.panel_checks import write_checked_panel
-from creditladder.session import new_path
+from creditladder.session import cut_lineage, new_path
 from creditladder.sources.exports import load, load_balances, load_checked, load_guarantees
 from creditladder.sources.layout import replace_months, write_by_key
 from creditladder.sources.lines import read_export
@@ -812,6 +814,22 @@ def panel_by_joins(t: Inputs) -> DataFrame:
     return _rounded_panel(build_panel(panel_sources(t), duplicates="repeat"))
 
 
+@query("panel_append", _PANEL_SQL)
+def panel_append(t: Inputs) -> DataFrame:
+    """The panel without its last three months, to which those are added one by one."""
+    src = panel_sources(t)
+    last = t("bal").agg(F.max("date")).first()[0]
+    ends = [r[0] for r in t.spark.range(4).select(F.last_day(F.add_months(F.lit(last), -F.col("id").cast("int")))).collect()][::-1]
+    old = replace(src, **{n: getattr(src, n).filter(F.col("date") <= F.lit(ends[0])) for n in MONTHLY})
+    state = cut_lineage(loan_state(months_table(old)), "state")
+    panel = build_panel(old)
+    for end in ends[1:]:
+        month = append_month(src, state, end.isoformat())
+        state = cut_lineage(month.state, "state")
+        panel = cut_lineage(with_first_ratings(panel, month.first_ratings).unionByName(month.panel), "panel")
+    return _rounded_panel(panel)
+
+
 _MONTH_NULLS = {"balance": "balance", "monitor_score": "monitor_score", "risk_category_sf": "risk_category_sf", "paid_cum": "paid_cum",
                 "disb_cum": "disb_cum", "maturity_date": "maturity_date", "risk_category": "risk_category"}
 _PANEL_NULLS = {c: c for c in PANEL_COLUMNS} | {
