@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled_pages import labelled_pages
-from .page_blocks import leaf_blocks
+from .page_blocks import Path, leaf_blocks
 from .units import slices
 
 PAGES = 700
@@ -42,22 +43,46 @@ HINT = {k: re.compile(v) for k, v in HINTS.items()}
 WORD = re.compile(r"[a-z]+")
 
 
-def path_features(path: tuple[tuple[str, str], ...]) -> list[str]:
-    """Of the ancestors: their tags, the block's own tag, and hints and words of their classes."""
-    out = {f"own:{path[-1][0]}" if path else "own:"}
-    out |= {f"in:{tag}" for tag, _ in path}
-    for tag, marks in path:
-        for word in WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", marks).lower()):
-            out.add(f"class:{word}")
-            out |= {f"hint:{k}" for k, pattern in HINT.items() if pattern.search(word)}
-    for tag, marks in reversed(path):
-        words = WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", marks).lower())
-        hints = [k for k, pattern in HINT.items() if any(map(pattern.search, words))]
-        if tag in REGIONS or hints:
-            # The innermost ancestor that says what it is; the first hint counts, "main" being the last.
-            out |= {f"near:{hints[0] if hints and hints[0] != 'main' else tag if tag in REGIONS else 'main'}", f"near:{'main' if set(hints) <= {'main'} and (tag in MAIN or tag not in REGIONS) else 'outside'}"}
-            break
-    return sorted(out)
+@lru_cache(maxsize=20_000)
+def element_features(tag: str, marks: str) -> tuple[frozenset[str], tuple[str, ...]]:
+    """Of one element: its tag, hints and words of its class; and what it says of its content, if anything."""
+    words = WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", marks).lower())
+    hints = [k for k, pattern in HINT.items() if any(map(pattern.search, words))]
+    own = frozenset([f"in:{tag}", *[f"class:{w}" for w in words], *[f"hint:{k}" for k in hints]])
+    if tag not in REGIONS and not hints:
+        return own, ()
+    # The first hint counts, "main" being the last.
+    kind = hints[0] if hints and hints[0] != "main" else tag if tag in REGIONS else "main"
+    side = "main" if set(hints) <= {"main"} and (tag in MAIN or tag not in REGIONS) else "outside"
+    return own, (f"near:{kind}", f"near:{side}")
+
+
+def traits(path: Path, known: frozenset[str] | None = None) -> tuple[frozenset[str], tuple[str, ...]]:
+    """The features of a path's elements (of those in ``known``, if given) and what the innermost telling one says. Paths take
+    over their parents', and sets that do not grow are shared, so a deep page costs no more than a flat one."""
+    new = []
+    node: Path | None = path
+    while node is not None and node.traits is None:
+        new.append(node)
+        node = node.parent
+    seen, near = node.traits if node is not None else (frozenset(), ())
+    for node in reversed(new):
+        own, tells = element_features(node.tag, node.marks)
+        own = own if known is None else own & known
+        if not own <= seen:
+            seen = seen | own
+        near = tells or near
+        node.traits = (seen, near)
+    return path.traits
+
+
+def path_features(path: Path | None) -> list[str]:
+    """Of the ancestors: their tags, the block's own tag, hints and words of their classes, and what the innermost telling
+    one says."""
+    if path is None:
+        return ["own:"]
+    seen, near = traits(path)
+    return sorted({f"own:{path.tag}", *seen, *near})
 
 
 def text_features(text: str, linked: int) -> list[str]:
@@ -84,17 +109,23 @@ class Field:
     first: float
     last: float
     paths: dict[tuple, float] = field(default_factory=dict)
+    known: frozenset[str] = frozenset()
 
-    def emission(self, block: tuple[str, tuple, int]) -> float:
+    def __post_init__(self):
+        self.known = frozenset(self.worth)
+
+    def emission(self, block: tuple[str, Path | None, int]) -> float:
         text, path, linked = block
-        value = self.paths.get(path)
+        seen, near = traits(path, self.known) if path is not None else (frozenset(), ())
+        key = (path.tag if path is not None else "", seen, near)
+        value = self.paths.get(key)
         if value is None:
             if len(self.paths) >= KNOWN_PATHS:
                 self.paths.clear()
-            value = self.paths[path] = sum(self.worth.get(f, 0.0) for f in path_features(path))
+            value = self.paths[key] = sum(self.worth.get(f, 0.0) for f in sorted({f"own:{key[0]}", *seen, *near}))
         return value + sum(self.worth.get(f, 0.0) for f in text_features(text, linked))
 
-    def decode(self, blocks: list[tuple[str, tuple, int]]) -> list[int]:
+    def decode(self, blocks: list[tuple[str, Path | None, int]]) -> list[int]:
         """The best labels (Viterbi; ties go to 0)."""
         if not blocks:
             return []
@@ -194,7 +225,7 @@ def main_blocks(page: str, model: Field) -> list[str]:
 def extract(pages: DataFrame, model: Field, id_col: str = "page_id", keep: tuple[str, ...] = ("url",), html_col: str = "html") -> DataFrame:
     """(id, kept columns, text) of every page: the blocks of the main text, joined by an empty line.
 
-    The whole page is read. Null and empty pages and pages without main text: empty text. Null ids and repeated
+    The whole page is read, in time in proportion to its length. Null and empty pages and pages without main text: empty text. Null ids and repeated
     rows stay rows of their own; other columns are not read. No shuffle.
     """
     fields = pages.select(F.col(id_col).alias("id"), *keep, F.col(html_col).alias("html"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 import __spark_entry__ as entry_points
 from creditladder.llm import langid, main_text, quality
@@ -148,6 +150,36 @@ def test_decoding_finds_the_best_labels():
         assert tuple(model.decode(list(range(6)))) == best
 
 
+ENDLESS = {
+    "nested": "<div>" * 200_000 + "x",
+    "nested texts": '<div class="a">x' * 60_000,
+    "distinct classes": "".join(f'<div class="c{i}">x' for i in range(40_000)),
+    "no tag ends": "<a " * 300_000,
+    "no quote ends": "<a '" * 250_001 + ">",
+    "mixed quotes": "<a \"<b '" * 120_000 + ">",
+    "declarations": "<!d " * 200_000,
+    "closing nothing": "<div>" * 100_000 + "</section>" * 60_000 + "</span>" * 60_000,
+    "raw elements": "<svg>x" * 150_000,
+    "limits": "<td><p><button>" + "<div>" * 100_000,
+}
+
+
+@pytest.mark.parametrize("name", ENDLESS)
+def test_long_pages_take_seconds(name):
+    model = main_text.fit(20)
+    start = time.perf_counter()
+    main_text.main_blocks(ENDLESS[name], model)
+    assert time.perf_counter() - start < 15
+
+
+def test_quotes_decide_where_a_tag_ends():
+    cases = {
+        "<a href='x>y'>z": ["z"], "<a href='x>y>z": ["<a href='x>y>z"], "a < b <p>c": ["a < b", "c"], "<x\"a b\" c>d": ["d"],
+        "<b 'p' \"q>r\">s": ["s"], "<!x>a<!y": ["a<!y"], "<p title=\"'\">a<p>b": ["a", "b"], "<1>a": ["<1>a"], "</p x='>'>a": ["a"],
+    }
+    assert {c: [b[0] for b in leaf_blocks(c)] for c in cases} == cases
+
+
 def test_main_text_of_all_pages(spark, sf):
     folder = sf("0.001")
     got = {r.page_id: r for r in entry_points.queries()["op3_main_text"](spark, folder).collect()}
