@@ -46,15 +46,24 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def token_spans(text: str, encode, ratio: float, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Candidates of fewer than ``ratio`` characters per token that are no digest or identifier and do not
-    overlap a base span."""
+    overlap a base span. Both lists are walked once."""
     found = []
+    covered: list[list[int]] = []
+    for start, end in sorted(s[1:] for s in taken):
+        if covered and start <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], end)
+        else:
+            covered.append([start, end])
+    k = 0
     for m in CANDIDATE.finditer(text):
         value, (start, end) = m[0], m.span()
         if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
             continue
         if IDENTIFIER.fullmatch(value) or (len(value) in DIGEST_SIZES and PURE_HEX.fullmatch(value)):
             continue
-        if any(start < e and s < end for _, s, e in taken):
+        while k < len(covered) and covered[k][1] <= start:
+            k += 1
+        if k < len(covered) and covered[k][0] < end:
             continue
         if len(value) < ratio * len(encode(value)):
             found.append(("token", start, end))
@@ -89,6 +98,9 @@ def find_secrets(
     """(id, spans) for every row: spans of kind assign, access, hex (the base patterns) and token (at least 16
     characters with letters and digits, fewer than ``ratio`` characters per token), by start, then kind.
 
+    The token test looks at runs of letters, digits and ``+/_=-`` with both a letter and a digit; keys of letters
+    alone are not told from words. Very long texts take time in proportion to their length.
+
     ``ranks`` is a tiktoken rank file that every executor can open, ``pattern`` its splitting pattern. Null
     and empty texts: no spans. Null ids and repeated rows stay rows of their own; other columns are not
     read. No shuffle.
