@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditladder.functions import features as feat
-from creditladder.functions.exact import exact_avg, exact_sum_or_zero
+from creditladder.functions.exact import exact_sum_or_zero
 from creditladder.functions.ladder import (
     CODE_THRESHOLDS,
     category_code,
@@ -550,14 +550,14 @@ def month_total(t: Inputs) -> DataFrame:
 @query(
     "exact_totals",
     """select cast(last_day(date) as date) date, round(cast(sum(cast(paid * 1152921504606846976e0 as hugeint)) as double) / 1152921504606846976e0, 5) paid,
-              round(cast(sum(cast(paid * 1152921504606846976e0 as hugeint)) as double) / 1152921504606846976e0 / count(paid), 5) mean_paid, count(*) n
+              count(*) n
        from {pmt} group by last_day(date)""",
 )
 def exact_totals(t: Inputs) -> DataFrame:
     """Month totals that have the same bits however the rows lie; the SQL adds whole 2**-60."""
     paid = t("pmt").withColumn("date", F.last_day("date"))
-    out = paid.groupBy("date").agg(exact_avg("paid").alias("mean_paid"), exact_sum_or_zero("paid").alias("paid"), F.count(F.lit(1)).alias("n"))
-    return rounded(out, paid=5, mean_paid=5)
+    out = paid.groupBy("date").agg(exact_sum_or_zero("paid").alias("paid"), F.count(F.lit(1)).alias("n"))
+    return rounded(out, paid=5)
 
 
 @query("running_totals", "select loan_id, date, round(paid_cum, 2) paid_cum, round(disb_cum, 2) disb_cum from {pmt_flat}")
