@@ -30,6 +30,8 @@ LEAST_DOCS = 30
 TOP_TERMS = 50
 ADDED = 5
 SCALE = 1_000_000_000
+#: Items of a path by which tasks are told apart.
+RANGE_ITEMS = 4
 #: Distinct (lang, source, term) that a task holds before it passes them on.
 HELD_TERMS = 300_000
 
@@ -161,7 +163,9 @@ def shared_terms(scored: DataFrame) -> DataFrame:
     """(lang, low, high, value): corrections of the pairs of sources (by place) over the terms that both have."""
     item = F.struct("place", "n", "p", "zero")
     paths = scored.groupBy("lang", "term").agg(F.sort_array(F.collect_list(item)).alias("path")).select("lang", "path")
-    paths = paths.filter(F.size("path") > 1).repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
+    # The range's sample of rows goes to the driver, so it is taken on short beginnings.
+    begin = F.transform(F.slice("path", 1, RANGE_ITEMS), lambda x: x["place"] * (1 << 32) + F.least(x["n"], F.lit((1 << 32) - 1)))
+    paths = paths.filter(F.size("path") > 1).repartitionByRange("lang", begin).sortWithinPartitions("lang", "path")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
