@@ -22,6 +22,9 @@ EXPONENT = 0.9
 PART_DIGITS = 3
 
 
+NEW_COLUMNS = ("mix_copy", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position")
+
+
 def whole_shares(weights: list[float], period: int = PERIOD) -> list[int]:
     """Weights as whole numbers that sum to ``period``, one at least: largest remainders get what is left,
     ties go to the earlier."""
@@ -91,23 +94,26 @@ def mix(
     Every row occurs at least once; rows of sources that are short for their weight occur again as
     further copies until the longest source is through. Inside a source rows go in the order of the MD5
     of their id. Its numbering is done in ``16 ** PART_DIGITS`` parts with a table of part sizes, so no
-    source meets one task. Only the source table (at most ``period`` rows, checked) goes through the driver and is
-    broadcast. Null sources are one source, null ids one id; rows with equal ids are ordered by all
+    source meets one task. The schedule is made on the driver from one row per source; up to ``period`` sources it is
+    broadcast, beyond that the period grows in whole multiples and the table is joined like any other. Null sources are one source, null ids one id; rows with equal ids are ordered by all
     their columns; empty table: no rows. Columns named like the new ones are replaced.
     """
-    kept = [c for c in docs.columns if not c.startswith("mix_")]
+    kept = [c for c in docs.columns if c not in NEW_COLUMNS]
     h = F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit("-"))
     keyed = docs.select(F.struct(*kept).alias("row"), source_key(source_col).alias("src"), h.alias("h"), F.col(id_col).alias("id"))
     keyed = keyed.withColumn("part", F.substring("h", 1, PART_DIGITS))
     sizes = docs.select(source_key(source_col).alias("src"), F.substring(h, 1, PART_DIGITS).alias("part")).groupBy("src", "part").count()
-    found = sizes.groupBy("src").agg(F.sum("count")).limit(period + 1).collect()
+    found = sizes.groupBy("src").agg(F.sum("count")).collect()
+    few = len(found) <= period
+    # A period has room for every source.
+    period *= max(1, -(-len(found) // period))
     planned = plan({r[0]: r[1] for r in found}, weights, block_rows, exponent, period)
     schema = "src string, n long, share int, blocks long, slots array<int>"
     sources = docs.sparkSession.createDataFrame(planned, schema)
     before = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("src", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("src", "part").orderBy("h", "id", F.xxhash64("row"))
-    numbered = keyed.withColumn("i", F.row_number().over(inside) - 1).join(offsets, ["src", "part"]).join(F.broadcast(sources), "src")
+    numbered = keyed.withColumn("i", F.row_number().over(inside) - 1).join(offsets, ["src", "part"]).join(F.broadcast(sources) if few else sources, "src")
     first = F.col("i") + F.col("offset")
     copies = F.ceil((F.col("blocks") * block_rows - first) / F.col("n"))
     placed = numbered.withColumn("first", first).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -97,6 +98,17 @@ def test_mix_in_order_and_given_weights(spark):
         mixing.whole_shares([1.0] * 11, 10)
 
 
+def test_mix_keeps_foreign_columns_and_any_number_of_sources(spark):
+    rows = [(i, f"s{i % 45}", i / 2, 9) for i in range(90)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, mix_ratio double, mix_slot int")
+    got = mixing.mix(frame, block_rows=1, period=20)
+    assert got.columns[:3] == ["doc_id", "source", "mix_ratio"] and got.columns.count("mix_slot") == 1
+    found = got.collect()
+    assert {(r.doc_id, r.source, r.mix_ratio) for r in found} == {r[:3] for r in rows}
+    assert sorted(r.mix_position for r in found) == list(range(len(found)))
+    assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in found)
+
+
 # Secrets
 
 
@@ -257,6 +269,43 @@ def test_components_of_near_copies(spark, prose, monkeypatch):
     assert kept == sorted(i for i, (_, c) in want.items() if i == c)
 
 
+@given(tokens=st.lists(st.integers(0, 2**32 - 1), min_size=1, max_size=60))
+@settings(max_examples=100, deadline=None)
+def test_packed_tokens_round_trip(tokens):
+    values, times = jaccard_join.unpacked_tokens(*jaccard_join.packed_tokens(np.array(tokens + tokens[:5], np.uint32)))
+    assert dict(zip(values.tolist(), times.tolist())) == Counter(tokens + tokens[:5])
+
+
+@pytest.mark.parametrize("parts", [1, 40])
+def test_frequent_shingles_do_not_depend_on_partitions(spark, prose, parts, monkeypatch):
+    passage = prose(30, 70)
+    texts = [prose(20, 100 + i) + (" " + passage if i % 3 == 0 else "") for i in range(60)]
+    monkeypatch.setattr(jaccard_join, "RUN", 300)
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts)
+    token, times, bits = jaccard_join.frequent_tokens(rows)
+    tokens, edges = shingle_sets(pa.array(texts, pa.string()))
+    want = {t >> (64 - bits): n for t, n in Counter(tokens.tolist()).items() if n >= jaccard_join.REPORTED}
+    assert dict(zip(token.tolist(), times.tolist())) == want and len(want) == 26
+
+
+def test_a_passage_of_many_documents_brings_few_pairs(spark, prose, monkeypatch):
+    """One passage in 600 documents that are otherwise unlike, spread over many tasks: it leaves the prefixes, so hardly any
+    of its 180,000 pairs is looked at."""
+    passage = prose(40, 5)
+    texts = [f"{prose(60, 1000 + i)} {passage} {prose(60, 5000 + i)}" for i in range(600)]
+    looked_at = []
+    check = jaccard_join.verified
+
+    def counted(pairs, *rest):
+        looked_at.append(pairs.count())
+        return check(pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "verified", counted)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(60)
+    got = jaccard_join.near_documents(frame).collect()
+    assert all(r.component_id == r.doc_id for r in got) and sum(looked_at) < 600
+
+
 def test_near_documents_query(spark, sf, sample):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in entry_points.queries()["op8_jaccard_join"](spark, sf("0.001")).collect()}
     assert got == near_by_hand([(r.doc_id, r.text) for r in sample])
@@ -316,6 +365,16 @@ def test_near_vectors(spark):
     assert got == [("1", 0, 1), ("1", 2, 1), ("1", 2, 1), ("None", 2, 1)]
 
 
+def test_secret_spans_of_a_long_text():
+    encode = secrets.ranks_encoder(*RANKS)
+    text = " ".join(f'password="xK9{i}mQ7zR2" aZ9k{i}Lq8Rt5Yp1Wm3' for i in range(20_000))
+    start = time.perf_counter()
+    base = secrets.base_spans(text)
+    found = secrets.token_spans(text, encode, secrets.CHARS_PER_TOKEN, base)
+    assert len(base) == len(found) == 20_000 and time.perf_counter() - start < 10
+    assert all(not (s < e and b < t) for (_, s, t), (_, b, e) in zip(found, base))
+
+
 # Pipeline
 
 
