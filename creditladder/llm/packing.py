@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import cut_lineage
 from .units import encoder, slices, text_column
@@ -110,7 +111,7 @@ def pack(
     total = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     groups = max(1, round(total / group_tokens))
     id_type = rows.schema["id"].dataType.simpleString()
-    id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
+    id_arrow = to_arrow_type(rows.schema["id"].dataType)
 
     def fill(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("n_tokens", "descending"), ("row", "ascending")])

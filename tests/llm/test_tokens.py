@@ -116,3 +116,12 @@ def test_queries(spark, sf, sample):
         assert p.ids_crc32 == zlib.crc32(own[p.start : p.start + p.length].tobytes())
         seen[p.doc_id] += p.length
     assert seen == {k: len(v) for k, v in ids.items()}
+
+
+@pytest.mark.parametrize("kind", ["short", "decimal(20,0)", "double", "date", "binary"])
+def test_packing_keeps_ids_of_any_type(spark, kind):
+    start = "date_add(date'2020-01-01', id)" if kind == "date" else f"cast(id as {kind})" if kind != "binary" else "cast(cast(id as string) as binary)"
+    docs = spark.range(5).selectExpr(f"{start} as doc_id", "concat('text ', id) as text")
+    got = packing.pack(docs, FOLDS)
+    assert got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert sorted(map(str, {r.doc_id for r in got.collect()})) == sorted(map(str, {r.doc_id for r in docs.collect()}))
