@@ -11,8 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ngrams import WordNgrams, spread
-from .units import cut_units, folded, slices, text_column
+from .units import cut_units, folded, slices, text_column, tidy
 
 BUCKETS = 4096
 SIZES = (1, 2, 3)
@@ -95,9 +96,10 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Centroids:
     """Centroids from rows with a text and a language.
 
-    Document frequencies and the number of rows per language cover all of them. About ``sample`` rows per
-    language, drawn by a hash of id and text, are clustered on the driver; so their number (and the size of what
-    is sent there, a fixed number of counts per row) is bounded whatever the corpus holds.
+    Document frequencies and the number of rows per language cover all of them; frequencies are added up in the cluster, and
+    one number per n-gram bucket comes back. About ``sample`` rows per language, drawn by a hash of id and text, are
+    clustered on the driver; so their number (and the size of what is sent there, at most a count per bucket and row)
+    is bounded per language, whatever the corpus holds. What the pass over the texts yields is stored in the shared folder.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, F.length(text_col)).alias("h")
@@ -105,6 +107,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_
     per_language = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(per_language)
     share = {lang: min(1.0, sample / n) for lang, n in per_language.items()}
+    number, names = pa.list_(pa.int32()), ["lang", "buckets", "counts"]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = Vectors()
@@ -117,23 +120,27 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_
                     frequency += (counts > 0).sum(0)
                     kept = [i for i in range(len(counts)) if draw[a + i] < share[langs[a + i]]]
                     if kept:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([langs[a + i] for i in kept]), pa.array([counts[i].astype("<i4").tobytes() for i in kept])],
-                            ["lang", "counts"],
-                        )
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([None], pa.string()), pa.array([frequency.astype("<i8").tobytes()])], ["lang", "counts"]
-        )
-
-    drawn = rows.mapInArrow(features, "lang string, counts binary").cache()
+                        at = [np.flatnonzero(counts[i]) for i in kept]
+                        arrays = [pa.array(at, number), pa.array([counts[i][x] for i, x in zip(kept, at)], number)]
+                        yield pa.RecordBatch.from_arrays([pa.array([langs[a + i] for i in kept], pa.string()), *arrays], names)
+        at = np.flatnonzero(frequency)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([at], number), pa.array([frequency[at]], number)], names)
+
+    drawn = cut_lineage(rows.mapInArrow(tidy(features), "lang string, buckets array<int>, counts array<int>"), "language_sample")
+    pairs = drawn.filter("lang is null").select(F.explode(F.arrays_zip("buckets", "counts")).alias("x"))
     frequency = np.zeros(BUCKETS)
-    for r in drawn.filter("lang is null").toLocalIterator():
-        frequency += np.frombuffer(r.counts, "<i8")
+    for r in pairs.groupBy("x.buckets").agg(F.sum("x.counts").alias("n")).collect():
+        frequency[r.buckets] = r.n
     idf = np.log((1 + sum(per_language.values())) / (1 + frequency))
+    taken: dict[str, list[bytes]] = {lang: [] for lang in languages}
+    for r in drawn.filter("lang is not null").collect():
+        dense = np.zeros(BUCKETS, "<i4")
+        dense[r.buckets] = r.counts
+        taken[r.lang].append(dense.tobytes())
     model = Centroids(languages, np.zeros(0, int), np.zeros((0, BUCKETS)), idf, np.zeros(SIZE_CLASSES))
     centers, owners, sets = [], [], []
     for number, lang in enumerate(languages):
-        got = sorted(r.counts for r in drawn.filter(F.col("lang") == lang).toLocalIterator())
+        got = sorted(taken[lang])
         if not got:
             continue
         x, size = model.weigh(np.stack([np.frombuffer(c, "<i4") for c in got]))
@@ -141,7 +148,6 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_
         centers.append(own)
         owners += [number] * len(own)
         sets.append((x, size))
-    drawn.unpersist()
     least = np.full(SIZE_CLASSES, np.inf)
     stacked = np.vstack(centers) if centers else model.centers
     for x, size in sets if len(stacked) else []:
@@ -172,7 +178,7 @@ def predict(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col:
                 pred, cosine, rejected = _predict(text_column(part.column("text")), own, vectors)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pred, cosine, rejected], ["id", "lang_pred", "score", "rejected"])
 
-    return fields.mapInArrow(score, f"id {id_type}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
+    return fields.mapInArrow(tidy(score), f"id {id_type}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
 
 
 def _predict(texts: pa.StringArray, model: Centroids, vectors: Vectors) -> tuple[pa.Array, pa.Array, pa.Array]:
@@ -203,4 +209,4 @@ def keep_identified(docs: DataFrame, model: Centroids, text_col: str = "text") -
                 rejected = _predict(text_column(part.column(text_col)), own, vectors)[2]
                 yield part.filter(pc.invert(rejected))
 
-    return docs.mapInArrow(select, docs.schema)
+    return docs.mapInArrow(tidy(select), docs.schema)

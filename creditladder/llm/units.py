@@ -8,8 +8,10 @@ so each distinct unit of a batch is looked up once and encoded only where it is
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +25,23 @@ KEPT_UNITS = 200_000
 KEPT_LENGTH = 64
 
 
+def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn``, and at a task's end what its worker holds unused goes back to the system: workers live on between tasks, and
+    otherwise each stage's largest need stays with them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 def text_column(column: pa.Array) -> pa.StringArray:
     """The column without nulls (empty instead), with its own 32-bit offsets from 0."""
     column = pc.fill_null(column.cast(pa.string()), "")
