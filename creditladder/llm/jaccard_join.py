@@ -9,10 +9,11 @@ sizes are known when it is counted, it must share as many more as its own least
 the larger set's (a set of n has n - prefix shingles outside its prefix, which bounds what is not counted). The steps:
 
 1. every text's shingle set has a signature; rows of equal sets are one node, of which one text goes on;
-2. frequent shingles are counted over all texts, and order and l follow;
+2. all shingles of all sets are counted in the cluster; order and l follow from those that are frequent;
 3. prefix rows meet by shingle; a shingle of one node only goes;
-4. in rounds, each node of a crowded shingle is verified against one node of another component, drawn anew for each
-   shingle and round, so large groups of near copies become components without pairs inside them;
+4. in rounds, each node of a crowded shingle is verified against one node of its largest component, drawn anew for each
+   shingle and round, so large groups of near copies become components without pairs inside them; a shingle goes on
+   as long as its own draws link nodes;
 5. the remaining pairs, of different components, are counted, filtered by l and size, and verified; of each
    shingle's largest component the nodes only meet those outside it;
 6. components give the smallest id.
@@ -20,6 +21,7 @@ the larger set's (a set of n has n - prefix shingles outside its prefix, which b
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,22 +33,23 @@ from pyspark.sql.window import Window
 from ..session import cut_lineage
 from .components import components
 from .shingles import shingle_sets, signatures
-from .units import slices, text_column
+from .units import slices, text_column, tidy
 
 PERCENT = 75
 SLICE = 2 << 20
-#: Shingles of a task are counted in runs of this many; shingles seen twice or more in a run are reported.
+#: A task passes its shingles on for counting in runs of this many.
 RUN = 4_000_000
-#: A shingle reported this often in total may count as frequent; at most MOST_FREQUENT of them (the most reported)
-#: shape the order. The order never changes the result, so this bounds memory only.
+#: A shingle of this many sets counts as frequent (copies of a set count once in a task); at most MOST_FREQUENT of them
+#: (the most frequent) shape the order. The order never changes the result, so this bounds memory only.
 REPORTED = 16
 MOST_FREQUENT = 1 << 20
+#: Parts per shuffle partition in which shingles are counted, each in one call.
+COUNT_PARTS = 4
 MOST_MATCHES = 8
-#: Step 4 looks at shingles of this many nodes or more. It ends after ROUNDS, or when fewer than one in PAYS of a
-#: round's pairs link. All three affect cost, never the result: step 5 takes whatever is left.
+#: Step 4 looks at shingles of this many nodes or more, and ends after ROUNDS. Both affect cost, never the
+#: result: step 5 takes whatever is left.
 CROWD = 8
-ROUNDS = 6
-PAYS = 4
+ROUNDS = 12
 #: Parts in which the prefix rows of a frequent shingle are dealt out.
 LOTS = 64
 
@@ -70,71 +73,93 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, n
             yield part, tokens, edges, signatures(tokens, edges, 1)
 
 
-def _frequent(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    every = np.sort(np.concatenate(tokens)) if tokens else np.zeros(0, np.uint64)
-    starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, int)
-    times = np.diff(np.append(starts, len(every)))
-    return every[starts[times > 1]].view(np.int64), times[times > 1]
-
-
 def survey(rows: DataFrame) -> DataFrame:
-    """For every row (id, key, text): (id, key, n, node, proof); and, in rows of their own, (token, times)
-    of shingles that are frequent in a run of one task's distinct sets."""
+    """For every row (id, key, text): (id, key, n, node, proof)."""
     id_type = rows.schema["id"].dataType.simpleString()
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, tokens, edges, node in _sets(batches):
+            arrays = [np.diff(edges), node, signatures(tokens, edges, 2)]
+            columns = [part.column("id"), part.column("key"), *[pa.array(x) for x in arrays]]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "n", "node", "proof"])
+
+    return rows.mapInArrow(tidy(scan), f"id {id_type}, key long, n long, node long, proof long")
+
+
+def packed_tokens(tokens: np.ndarray) -> tuple[bytes, bytes]:
+    """The distinct ones of 32-bit numbers and their counts, as bytes that compress: steps between neighbours, the first
+    bytes of all of them before the second ones and so on."""
+    values, times = np.unique(tokens, return_counts=True)
+    planes = [np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for x in (np.diff(values, prepend=np.uint32(0)), times)]
+    return planes[0], planes[1]
+
+
+def unpacked_tokens(steps: bytes, times: bytes) -> tuple[np.ndarray, np.ndarray]:
+    made = [np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1) for b in (steps, times)]
+    return np.cumsum(made[0], dtype=np.uint64), made[1].astype(np.int64)
+
+
+def frequent_tokens(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """The most frequent shingles of all sets, ascending, how many sets have each, and how many of their leading bits are
+    kept: at most MOST_FREQUENT.
+
+    Shingles are dealt by their first bits into parts that grow in number with the partitions, and told apart there
+    by the next 32 bits; every shingle of the corpus is counted, and only frequent ones leave their part."""
+    spark = rows.sparkSession
+    bits = max(6, math.ceil(math.log2(COUNT_PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         run: list[np.ndarray] = []
         held = 0
-        names = ["id", "key", "n", "node", "proof", "token", "times"]
-        kinds = None
 
-        def report() -> pa.RecordBatch:
-            token, times = _frequent(run)
+        def passed_on() -> pa.RecordBatch:
+            tokens = np.sort(np.concatenate(run))
             run.clear()
-            empty = [pa.nulls(len(token), t) for t in kinds]
-            return pa.RecordBatch.from_arrays([*empty, pa.array(token), pa.array(times.astype(np.int64))], names)
+            part = tokens >> np.uint64(64 - bits)
+            starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            rest = (tokens >> np.uint64(32 - bits)).astype(np.uint32)
+            packed = [packed_tokens(rest[a:b]) for a, b in zip(starts, [*starts[1:], len(tokens)])]
+            arrays = [pa.array(part[starts].astype(np.int32)), *[pa.array([p[k] for p in packed], pa.binary()) for k in (0, 1)]]
+            return pa.RecordBatch.from_arrays(arrays, ["part", "steps", "times"])
 
-        for part, tokens, edges, node in _sets(batches):
-            kinds = [part.column("id").type, *[pa.int64()] * 4]
-            n = np.diff(edges)
+        for _, tokens, edges, node in _sets(batches):
             for i, x in enumerate(node.tolist()):
-                if n[i] and x not in seen:
+                if edges[i + 1] > edges[i] and x not in seen:
                     seen.add(x)
                     run.append(tokens[edges[i] : edges[i + 1]])
-                    held += int(n[i])
-            none = pa.nulls(len(n), pa.int64())
-            proof = signatures(tokens, edges, 2)
-            arrays = [part.column("id"), part.column("key"), *[pa.array(x) for x in (n, node, proof)], none, none]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+                    held += int(edges[i + 1] - edges[i])
             if held >= RUN:
                 held = 0
-                yield report()
+                yield passed_on()
         if run:
-            yield report()
-
-    return rows.mapInArrow(scan, f"id {id_type}, key long, n long, node long, proof long, token long, times long")
-
-
-def frequent_tokens(surveyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most reported shingles, ascending, and how often each was reported: at most MOST_FREQUENT."""
-    totals = surveyed.filter("token is not null").groupBy("token").agg(F.sum("times").alias("times")).filter(F.col("times") >= REPORTED)
-    totals = cut_lineage(totals, "frequent")
+            yield passed_on()
+
+    def count(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = [unpacked_tokens(*packed) for batch in batches for packed in zip(batch.column("steps").to_pylist(), batch.column("times").to_pylist())]
+        values, of = np.unique(np.concatenate([r[0] for r in runs]), return_inverse=True)
+        times = np.bincount(of, weights=np.concatenate([r[1] for r in runs]), minlength=len(values)).astype(np.int64)
+        often = times >= REPORTED
+        token = (np.uint64(key[0].as_py()) << np.uint64(32)) | values[often]
+        yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.int64)), pa.array(times[often])], ["token", "times"])
+
+    parts = rows.select("text").mapInArrow(tidy(scan), "part int, steps binary, times binary")
+    totals = cut_lineage(parts.groupBy("part").applyInArrow(count, "token long, times long"), "frequent")
     sizes = sorted(totals.groupBy(F.floor(F.log2("times")).alias("size")).count().collect(), reverse=True)
     most, least = 0, 63
-    for size, count in sizes:
-        if most + count > MOST_FREQUENT:
+    for size, n in sizes:
+        if most + n > MOST_FREQUENT:
             break
-        most, least = most + count, size
+        most, least = most + n, size
     got = totals.filter(F.floor(F.log2("times")) >= least).toArrow() if most else None
     if got is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), bits + 32
     token, times = got.column("token").to_numpy().view(np.uint64), got.column("times").to_numpy()
     order = np.argsort(token)
-    return token[order], times[order]
+    return token[order], times[order], bits + 32
 
 
-def prefixes(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
+def prefixes(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray, int], percent: int) -> DataFrame:
     """(token, node, info): the prefix of every node, once per task.
 
     ``info`` holds the size n of the node's set, ``level``, the number of matches whose prefix the shingle enters
@@ -142,13 +167,14 @@ def prefixes(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent:
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, times = shared.value
+        common, times, bits = shared.value
         seen: set[int] = set()
         for _, tokens, edges, node in _sets(batches):
             cost = np.ones(len(tokens), np.int64)
             if len(common):
-                at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-                cost = np.where(common[at] == tokens, times[at], 1)
+                short = tokens >> np.uint64(64 - bits)
+                at = np.minimum(np.searchsorted(common, short), len(common) - 1)
+                cost = np.where(common[at] == short, times[at], 1)
             out, info, of = [], [], []
             for i, x in enumerate(node.tolist()):
                 a, b = edges[i], edges[i + 1]
@@ -172,7 +198,7 @@ def prefixes(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent:
                 arrays = [np.concatenate(out).view(np.int64), np.concatenate(of), np.concatenate(info).astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in arrays], ["token", "node", "info"])
 
-    return rows.select("text").mapInArrow(scan, "token long, node long, info long")
+    return rows.select("text").mapInArrow(tidy(scan), "token long, node long, info long")
 
 
 def _unpacked() -> list[Column]:
@@ -202,7 +228,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     keep.append(100 * common >= percent * (len(a) + len(b) - common))
                 yield part.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("x", "y", "text_x", "text_y").mapInArrow(check, "x long, y long")
+    return both.select("x", "y", "text_x", "text_y").mapInArrow(tidy(check), "x long, y long")
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -228,29 +254,33 @@ def _placed(shared: DataFrame, groups: DataFrame | None) -> DataFrame:
 def _stars(crowded: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """Verified links (x, y) that join large groups, and the components (node, root) by them.
 
-    Every shingle draws one of its nodes as lead; a node of another component is paired with the lead it shares
-    most such shingles with. So a round has at most one pair per node, however large a group is."""
+    Every shingle draws a lead from the component that has most of its nodes; a node of another component is paired with
+    the lead it shares most such shingles with. So a round has at most one pair per node, however large a group is, and each
+    link brings a node into the large component. A shingle goes on to the next round if a node was linked to its lead: one
+    that unlike documents share drops out, whatever the others do."""
     links: DataFrame | None = None
     groups: DataFrame | None = None
     for i in range(ROUNDS):
         placed = _placed(crowded, groups)
-        drawn = F.struct(F.xxhash64("node", F.lit(i)), "node", "n", "level", "asked", "root")
-        leads = placed.groupBy("token").agg(F.min(drawn).alias("lead"), F.min("root").alias("low"), F.max("root").alias("high"))
-        leads = leads.filter("low < high").select("token", "lead")
-        led = placed.alias("a").join(leads, "token").filter((F.col("root") != F.col("lead.root")) & _may_link("a", "lead", percent))
-        led = led.select("node", F.col("lead.node").alias("lead"), _least("a", "lead", percent).alias("least"))
+        sizes = placed.groupBy("token", "root").count().groupBy("token")
+        mains = sizes.agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+        placed = placed.join(mains.drop("roots"), "token")
+        drawn = F.struct(F.xxhash64("node", F.lit(i)), "node", "n", "level", "asked")
+        leads = placed.filter("root = main").groupBy("token").agg(F.min(drawn).alias("lead"))
+        led = placed.filter("root <> main").alias("a").join(leads, "token").filter(_may_link("a", "lead", percent))
+        led = cut_lineage(led.select("token", "node", F.col("lead.node").alias("lead"), _least("a", "lead", percent).alias("least")), "led")
         counted = led.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("count"), F.min("least").alias("least"))
         # A lead is drawn for only part of the shingles that it shares with a node, so half of what links need will do.
         likely = counted.filter((F.col("count") > 1) & (2 * F.col("count") >= F.col("least")))
         pairs = likely.groupBy("node").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
         pairs = cut_lineage(pairs.select(F.col("lead").alias("x"), F.col("node").alias("y")), "tried")
         found = cut_lineage(verified(pairs, texts, percent), "links")
-        tried, linked = pairs.count(), found.count()
         links = found if links is None else links.union(found)
-        if linked:
-            groups = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        if PAYS * linked < tried or not tried:
+        if found.isEmpty():
             break
+        groups = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        linking = led.join(found.select(F.col("x").alias("lead"), F.col("y").alias("node")), ["node", "lead"]).select("token").distinct()
+        crowded = cut_lineage(crowded.join(linking, "token"), "crowded")
     return links, groups
 
 
@@ -258,8 +288,7 @@ def _joined(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[
     """Rows with words and without: (id, n, node); and the nodes: (node, root, low), low being the node's first
     row as (no id, id, key)."""
     rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    surveyed = cut_lineage(survey(rows), "survey")
-    found = surveyed.filter("n is not null").select("id", "key", "n", "node", "proof")
+    found = cut_lineage(survey(rows), "survey")
     proven = F.assert_true(F.min("proof") == F.max("proof"), F.lit("two shingle sets of one signature"))
     row = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"))
     nodes = found.filter("n > 0").groupBy("node").agg(F.min(row).alias("low"), proven.alias("proof"))
@@ -267,7 +296,7 @@ def _joined(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[
 
     # Frequent shingles are known to be shared, so their rows may lie apart; of the others one of several nodes stays.
     common = F.col("info").bitwiseAND(1) == 1
-    rows_of = prefixes(rows, frequent_tokens(surveyed), percent).withColumn("lot", F.when(common, F.pmod("node", F.lit(LOTS))).otherwise(0))
+    rows_of = prefixes(rows, frequent_tokens(rows), percent).withColumn("lot", F.when(common, F.pmod("node", F.lit(LOTS))).otherwise(0))
     own = Window.partitionBy("token", "lot")
     met_others = rows_of.withColumn("low", F.min("node").over(own)).withColumn("high", F.max("node").over(own)).filter(common | (F.col("low") < F.col("high")))
     shared = met_others.select("token", "lot", "node", "info").distinct().select("token", "node", *_unpacked())
