@@ -120,7 +120,7 @@ def test_queries(spark, sf, sample):
 
 @pytest.mark.parametrize("kind", ["short", "decimal(20,0)", "double", "date", "binary"])
 def test_packing_keeps_ids_of_any_type(spark, kind):
-    start = "date_add(date'2020-01-01', id)" if kind == "date" else f"cast(id as {kind})" if kind != "binary" else "cast(cast(id as string) as binary)"
+    start = "date_add(date'2020-01-01', cast(id as int))" if kind == "date" else f"cast(id as {kind})" if kind != "binary" else "cast(cast(id as string) as binary)"
     docs = spark.range(5).selectExpr(f"{start} as doc_id", "concat('text ', id) as text")
     got = packing.pack(docs, FOLDS)
     assert got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
