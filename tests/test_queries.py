@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+
 import pytest
 from compare import compare, connection
 
@@ -34,6 +38,14 @@ def test_every_query_has_its_sql():
     assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
 
 
+def test_queries_stand_without_tokenizers():
+    """Where a package of the training-data operators is missing, all other queries are still there."""
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    root = os.path.dirname(os.path.abspath(entry_points.__file__))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120, check=True)
+    assert out.stdout.split() == [str(len(QUERIES)), str(len(ORACLES))]
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf, duck, name):
     sf_dir = sf("0.01" if name in FITS else "0.001")
