@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .ngrams import WordNgrams, spread
-from .units import cut_units, folded, slices, text_column, tidy
+from .units import cut_units, folded, give_back, slices, text_column, tidy
 
 BUCKETS = 4096
 SIZES = (1, 2, 3)
@@ -65,7 +65,8 @@ class Centroids:
         """Unit TF-IDF vectors and the size class of each text."""
         x = counts * self.idf
         norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-        return x / np.where(norm > 0, norm, 1)[:, None], size_class(counts.sum(1))
+        x /= np.where(norm > 0, norm, 1)[:, None]
+        return x, size_class(counts.sum(1))
 
     def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language number, cosine, rejected) of each text; ties go to the earlier centroid."""
@@ -99,7 +100,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_
     Document frequencies and the number of rows per language cover all of them; frequencies are added up in the cluster, and
     one number per n-gram bucket comes back. About ``sample`` rows per language, drawn by a hash of id and text, are
     clustered on the driver; so their number (and the size of what is sent there, at most a count per bucket and row)
-    is bounded per language, whatever the corpus holds. What the pass over the texts yields is stored in the shared folder.
+    is bounded per language, whatever the corpus holds. The driver keeps them sparse and has the vectors of one language at a
+    time. What the pass over the texts yields is stored in the shared folder.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, F.length(text_col)).alias("h")
@@ -132,26 +134,25 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_
     for r in pairs.groupBy("x.buckets").agg(F.sum("x.counts").alias("n")).collect():
         frequency[r.buckets] = r.n
     idf = np.log((1 + sum(per_language.values())) / (1 + frequency))
-    taken: dict[str, list[bytes]] = {lang: [] for lang in languages}
-    for r in drawn.filter("lang is not null").collect():
-        dense = np.zeros(BUCKETS, "<i4")
-        dense[r.buckets] = r.counts
-        taken[r.lang].append(dense.tobytes())
     model = Centroids(languages, np.zeros(0, int), np.zeros((0, BUCKETS)), idf, np.zeros(SIZE_CLASSES))
-    centers, owners, sets = [], [], []
+    taken = drawn.filter("lang is not null").toArrow()
+    centers, owners = [], []
     for number, lang in enumerate(languages):
-        got = sorted(taken[lang])
-        if not got:
-            continue
-        x, size = model.weigh(np.stack([np.frombuffer(c, "<i4") for c in got]))
-        own = cluster(x[x.any(1)], CENTROIDS) if x.any() else x[:0]
-        centers.append(own)
-        owners += [number] * len(own)
-        sets.append((x, size))
+        x, _ = model.weigh(_rows(taken, lang))
+        if len(x):
+            filled = x.any(1)
+            own = cluster(x if filled.all() else x[filled], CENTROIDS) if filled.any() else x[:0]
+            centers.append(own)
+            owners += [number] * len(own)
+        del x
     least = np.full(SIZE_CLASSES, np.inf)
     stacked = np.vstack(centers) if centers else model.centers
-    for x, size in sets if len(stacked) else []:
+    for lang in languages if len(stacked) else []:
+        x, size = model.weigh(_rows(taken, lang))
         np.minimum.at(least, size, (x @ stacked.T).max(1))
+        del x
+    del taken
+    give_back()
     # A size class without labelled texts takes the next smaller class's bound.
     for i in range(SIZE_CLASSES):
         least[i] = least[i] if np.isfinite(least[i]) else (least[i - 1] if i else 0.0)
@@ -159,6 +160,19 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_
     return Centroids(languages, np.array(owners, int), stacked, idf, REJECT_SHARE * least)
 
 
+def _rows(taken: pa.Table, lang: str) -> np.ndarray:
+    """The counts of a language's texts as rows, in an order that does not depend on theirs."""
+    own = taken.filter(pc.equal(taken.column("lang"), lang))
+    out = np.zeros((len(own), BUCKETS), np.int32)
+    at = 0
+    for batch in own.to_batches():
+        buckets, counts = batch.column("buckets"), batch.column("counts")
+        row = at + np.repeat(np.arange(len(batch)), pc.list_value_length(buckets).to_numpy())
+        out[row, buckets.flatten().to_numpy()] = counts.flatten().to_numpy()
+        at += len(batch)
+    return out[sorted(range(len(out)), key=lambda i: out[i].astype("<i4").tobytes())]
+
+
 def predict(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, rejected) of every whole text.
 

@@ -33,15 +33,20 @@ def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from fn(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            give_back()
 
     return run
 
 
+def give_back() -> None:
+    """What this process holds unused goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_column(column: pa.Array) -> pa.StringArray:
     """The column without nulls (empty instead), with its own 32-bit offsets from 0."""
     column = pc.fill_null(column.cast(pa.string()), "")

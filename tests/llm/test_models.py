@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,17 @@ def test_rejects_what_is_far_from_every_language(spark, sf):
     assert langid.predict(strange, model).first().rejected
 
 
+def test_fit_has_the_vectors_of_one_language_at_a_time(spark, prose):
+    rows = [(i, prose(30, i), f"l{i % 12}") for i in range(12 * 60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tracemalloc.start()
+    model = langid.fit(frame)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(model.language.tolist())) == 12
+    assert peak < 16e6, peak  # all at once are 60 * 12 * 4096 counts and weights
+
+
 def test_clusters_are_unit_and_not_empty():
     rng = np.random.default_rng(1)
     x = np.abs(rng.normal(size=(40, 6)))
