@@ -5,8 +5,9 @@ All shingles have one order: rarer before frequent (as far as counted), then by
 threshold share at least l shingles within the first n - ceil(t * n) + l of each. A document's l is 1, and higher
 the more candidates its prefix would bring: the prefix is lengthened by l - 1 shingles, and a pair is only
 verified when it shares the smaller of both l. As prefixes are cut for the smallest possible partner and a pair's
-sizes are known when it is counted, it must share as many more as its own least overlap exceeds that of
-the larger set's (a set of n has n - prefix shingles outside its prefix, which bounds what is not counted). The steps:
+sizes are known when it is counted, it must share as many more as its own least overlap o exceeds that of
+the sets (a set of n has n - prefix shingles outside its prefix, which bounds what is not counted). For the same reason a
+pair only meets by a shingle among the first n - o + 1 of both. The steps:
 
 1. every text's shingle set has a signature; rows of equal sets are one node, of which one text goes on;
 2. all shingles of all sets are counted in the cluster; order and l follow from those that are frequent;
@@ -14,8 +15,8 @@ the larger set's (a set of n has n - prefix shingles outside its prefix, which b
 4. in rounds, each node of a crowded shingle is verified against one node of its largest component, drawn anew for each
    shingle and round, so large groups of near copies become components without pairs inside them; a shingle goes on
    as long as its own draws link nodes;
-5. the remaining pairs, of different components, are counted, filtered by l and size, and verified; of each
-   shingle's largest component the nodes only meet those outside it;
+5. the remaining pairs, of different components, meet, are held against each other's prefixes, and verified; of each
+   shingle's largest component the nodes only meet those outside it, and where many meet, prefixes are compared at once;
 6. components give the smallest id.
 """
 
@@ -46,12 +47,18 @@ MOST_FREQUENT = 1 << 20
 #: Parts per shuffle partition in which shingles are counted, each in one call.
 COUNT_PARTS = 4
 MOST_MATCHES = 8
+#: Bits of a shingle's place in its prefix row, beside 30 for the set's size: a text in a column is shorter than 2 GB.
+PLACE_BITS = 28
 #: Step 4 looks at shingles of this many nodes or more, and ends after ROUNDS. Both affect cost, never the
 #: result: step 5 takes whatever is left.
 CROWD = 8
 ROUNDS = 12
 #: Parts in which the prefix rows of a frequent shingle are dealt out.
 LOTS = 64
+#: Step 5 compares prefixes already where nodes meet if a shingle has so many of them; longer prefixes than LISTED (their shared
+#: shingles) are compared later, which affects cost only.
+HOT = 64
+LISTED = 128
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -162,8 +169,8 @@ def frequent_tokens(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 def prefixes(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray, int], percent: int) -> DataFrame:
     """(token, node, info): the prefix of every node, once per task.
 
-    ``info`` holds the size n of the node's set, ``level``, the number of matches whose prefix the shingle enters
-    with, ``asked``, the node's number of matches, and ``common``, which marks frequent shingles."""
+    ``info`` holds the size n of the node's set, ``place``, the shingle's place in the order of the set, ``asked``, the
+    node's number of matches, and ``common``, which marks frequent shingles."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,10 +196,8 @@ def prefixes(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray, int], perc
                 base = n - needed(n, percent) + 1
                 ask = matches(float(weight[:base].sum()), base, n, percent)
                 size = base + ask - 1
-                place = np.arange(size)
-                level = np.maximum(place - base + 2, 1)
                 out.append(own[:size])
-                info.append((n << 16) | (level << 10) | (ask << 4) | (weight[:size] > 1))
+                info.append((n << PLACE_BITS + 5) | (np.arange(size) << 5) | (ask << 1) | (weight[:size] > 1))
                 of.append(np.full(size, x))
             if out:
                 arrays = [np.concatenate(out).view(np.int64), np.concatenate(of), np.concatenate(info).astype(np.int64)]
@@ -204,9 +209,9 @@ def prefixes(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray, int], perc
 def _unpacked() -> list[Column]:
     info = F.col("info")
     return [
-        F.shiftright(info, 16).alias("n"),
-        F.shiftright(info, 10).bitwiseAND(63).alias("level"),
-        F.shiftright(info, 4).bitwiseAND(63).alias("asked"),
+        F.shiftright(info, PLACE_BITS + 5).alias("n"),
+        F.shiftright(info, 5).bitwiseAND((1 << PLACE_BITS) - 1).alias("place"),
+        F.shiftright(info, 1).bitwiseAND(15).alias("asked"),
     ]
 
 
@@ -233,15 +238,59 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def _may_link(a: str, b: str, percent: int) -> Column:
     """The sizes of two prefix rows' sets allow a link, and the shingle counts for the matches asked of both."""
-    return (100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")) & (
-        F.greatest(f"{a}.level", f"{b}.level") <= F.least(f"{a}.asked", f"{b}.asked")
-    )
+    asked = F.least(f"{a}.asked", f"{b}.asked")
+    counts = [F.col(f"{x}.place") < F.col(f"{x}.n") - F.ceil(percent * F.col(f"{x}.n") / 100) + asked for x in (a, b)]
+    return (100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")) & counts[0] & counts[1]
+
+
+def _overlap(a: str, b: str, percent: int) -> Column:
+    """Shingles that two linked sets share at least."""
+    return F.ceil(percent * (F.col(f"{a}.n") + F.col(f"{b}.n")) / (100 + percent))
 
 
 def _least(a: str, b: str, percent: int) -> Column:
-    """Prefix shingles that two linked sets share at least."""
-    overlap = F.ceil(percent * (F.col(f"{a}.n") + F.col(f"{b}.n")) / (100 + percent))
-    return F.least(f"{a}.asked", f"{b}.asked") + overlap - F.ceil(percent * F.greatest(f"{a}.n", f"{b}.n") / 100)
+    """Prefix shingles that two linked sets share at least, when those count that the matches asked of both allow."""
+    return F.least(f"{a}.asked", f"{b}.asked") + _overlap(a, b, percent) - F.ceil(percent * F.greatest(f"{a}.n", f"{b}.n") / 100)
+
+
+def _first_shared(a: str, b: str, percent: int) -> Column:
+    """The sizes allow a link, and the shingle lies where the first shared one of a link must be in both orders."""
+    places = [F.col(f"{x}.place") <= F.col(f"{x}.n") - _overlap(a, b, percent) for x in (a, b)]
+    return (100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")) & places[0] & places[1]
+
+
+def _enough(a: str, b: str, percent: int) -> Column:
+    """Two whole prefixes (``list``, their shared shingles) have as many in common as a link needs."""
+    needs = [_overlap(a, b, percent) - F.ceil(percent * F.col(f"{x}.n") / 100) + F.col(f"{x}.asked") for x in (a, b)]
+    return F.size(F.array_intersect(f"{a}.list", f"{b}.list")) >= F.least(*needs)
+
+
+def _met(placed: DataFrame, percent: int, more: Column | None = None) -> DataFrame:
+    """Pairs (x, y) of nodes of different components that meet by a shingle of both prefixes, once for each; of its largest
+    component only with others."""
+    a, b = placed.filter("root <> main").alias("a"), placed.alias("b")
+    meet = (
+        (F.col("a.token") == F.col("b.token"))
+        & (F.col("a.root") != F.col("b.root"))
+        & ((F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
+        & _first_shared("a", "b", percent)
+    )
+    return a.join(b, meet if more is None else meet & more).select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y"))
+
+
+def _candidates(placed: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) of nodes of different components whose prefixes allow a link; each once."""
+    by_place = F.array_sort(F.collect_list(F.struct("place", "token")))
+    lists = cut_lineage(placed.groupBy("node", "n", "asked").agg(by_place["token"].alias("list")), "lists")
+    short = lists.filter(F.size("list") <= LISTED).select("node", "list")
+    hot = placed.filter(F.col("nodes") >= HOT).join(short, "node", "left")
+    # Prefixes have one order, so the first shingle that two lists share stands for all.
+    shared = F.array_intersect("a.list", "b.list")
+    once = F.coalesce((F.get(shared, F.lit(0)) == F.col("a.token")) & _enough("a", "b", percent), F.lit(True))
+    pairs = _met(placed.filter(F.col("nodes") < HOT), percent).union(_met(hot, percent, once)).distinct()
+    left = pairs.join(lists.select(F.col("node").alias("x"), F.struct("n", "asked", "list").alias("of_x")), "x")
+    both = left.join(lists.select(F.col("node").alias("y"), F.struct("n", "asked", "list").alias("of_y")), "y")
+    return both.filter(_enough("of_x", "of_y", percent)).select("x", "y")
 
 
 def _placed(shared: DataFrame, groups: DataFrame | None) -> DataFrame:
@@ -265,7 +314,7 @@ def _stars(crowded: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFram
         sizes = placed.groupBy("token", "root").count().groupBy("token")
         mains = sizes.agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
         placed = placed.join(mains.drop("roots"), "token")
-        drawn = F.struct(F.xxhash64("node", F.lit(i)), "node", "n", "level", "asked")
+        drawn = F.struct(F.xxhash64("node", F.lit(i)), "node", "n", "place", "asked")
         leads = placed.filter("root = main").groupBy("token").agg(F.min(drawn).alias("lead"))
         led = placed.filter("root <> main").alias("a").join(leads, "token").filter(_may_link("a", "lead", percent))
         led = cut_lineage(led.select("token", "node", F.col("lead.node").alias("lead"), _least("a", "lead", percent).alias("least")), "led")
@@ -312,19 +361,11 @@ def _joined(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[
     star_links, groups = _stars(crowded, texts.filter("crowded"), percent)
     placed = _placed(shared, groups)
     sizes = placed.groupBy("token", "root").count().groupBy("token")
-    apart = sizes.agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
-    placed = cut_lineage(placed.join(apart.filter("roots > 1").drop("roots"), "token"), "apart")
-    a, b = placed.filter("root <> main").alias("a"), placed.alias("b")
-    meet = (
-        (F.col("a.token") == F.col("b.token"))
-        & (F.col("a.root") != F.col("b.root"))
-        & ((F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
-        & _may_link("a", "b", percent)
-    )
-    met = a.join(b, meet).select(
-        F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y"), _least("a", "b", percent).alias("least")
+    apart = sizes.agg(
+        F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("count").alias("nodes")
     )
-    pairs = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("count"), F.min("least").alias("least")).filter("count >= least")
+    placed = cut_lineage(placed.join(apart.filter("roots > 1").drop("roots"), "token"), "apart")
+    pairs = cut_lineage(_candidates(placed, percent), "pairs")
     cross_links = cut_lineage(verified(pairs, texts, percent), "links")
 
     every = star_links.union(cross_links).select(F.col("x").alias("a"), F.col("y").alias("b"))

@@ -306,6 +306,40 @@ def test_a_passage_of_many_documents_brings_few_pairs(spark, prose, monkeypatch)
     assert all(r.component_id == r.doc_id for r in got) and sum(looked_at) < 600
 
 
+def test_near_copies_meet_what_is_just_too_unlike_them_once(spark, prose, monkeypatch):
+    # 30 near copies of one text and 20 texts that share 0.8 of it: no links, and the passage's shingles are the frequent ones.
+    passage = prose(200, 900).split()
+    copies = [" ".join([*prose(3, 1000 + i).split(), *passage, *prose(2, 1100 + i).split()]) for i in range(30)]
+    unlike = [" ".join([*prose(20, 1200 + i).split(), *passage[:160], *prose(20, 1300 + i).split()]) for i in range(20)]
+    rows = list(enumerate(copies + unlike))
+    met, pairs = [], []
+    meet, kept = jaccard_join._met, jaccard_join._candidates
+    monkeypatch.setattr(jaccard_join, "_met", lambda *a: [met.append(jaccard_join.cut_lineage(meet(*a))), met[-1]][1])
+    monkeypatch.setattr(jaccard_join, "_candidates", lambda *a: [pairs.append(kept(*a)), pairs[-1]][1])
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = near_by_hand(rows)
+    for hot, listed in ((4, 128), (4, 3), (1000, 128)):
+        monkeypatch.setattr(jaccard_join, "HOT", hot)
+        monkeypatch.setattr(jaccard_join, "LISTED", listed)
+        met.clear()
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_documents(frame).collect()}
+        assert got == want
+        if listed == 128 and hot == 4:
+            assert sum(m.count() for m in met) <= 30 * 20 and pairs[-1].count() <= 30 * 20
+
+
+def test_near_copies_by_prefixes_compared_early(spark, prose, monkeypatch):
+    rows = variations(prose)
+    want = near_by_hand(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 1)  # leaves more pairs to step 5
+    monkeypatch.setattr(jaccard_join, "REPORTED", 2)
+    for hot, listed in ((2, 128), (2, 4)):
+        monkeypatch.setattr(jaccard_join, "HOT", hot)
+        monkeypatch.setattr(jaccard_join, "LISTED", listed)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_documents(frame).collect()} == want
+
+
 def test_near_documents_query(spark, sf, sample):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in entry_points.queries()["op8_jaccard_join"](spark, sf("0.001")).collect()}
     assert got == near_by_hand([(r.doc_id, r.text) for r in sample])
