@@ -42,6 +42,8 @@ LOAN, MONTH = KEY
 # the null it stands for, and plain key equality lets the steps share one partitioning.
 MONTH_NUMBER = "__month"
 NO_MONTH = 2**31 - 1
+# In the join-by-join form a missing loan id is an id like any other.
+LOAN_KEY = ["__no_loan", "__loan"]
 
 OUTPUT = [
     "loan_id", "date", "balance", "risk_category_sf", "paid_cum", "disb_cum", "maturity_date", "risk_category",
@@ -151,21 +153,31 @@ def _months_by_joins(src: PanelSources) -> DataFrame:
     )
     paid = running_sum(paid, {"paid_cum": "paid_month", "disb_cum": "disbursed_month"}, LOAN, MONTH)
     df = merge(src.balances, one_per_month(src.ratings), KEY, "left")
-    df = merge(df, paid.select(*KEY, "paid_cum", "disb_cum"), KEY, "full")
+    # A full join's rows travel again to the next join, so the source with the most months comes last.
     df = merge(df, src.maturities, KEY, "full")
-    df = merge(df, src.categories, KEY, "left")
+    df = merge(df, paid.select(*KEY, "paid_cum", "disb_cum"), KEY, "full")
+    df = _loan_keyed(merge(df, src.categories, KEY, "left"))
     for name, cols in LOAN_COLUMNS.items():
-        df = merge(df, getattr(src, name).select(LOAN, *cols), LOAN, "left")
+        part = _loan_keyed(getattr(src, name).select(LOAN, *cols)).drop(LOAN)
+        df = merge(df, part, LOAN_KEY, "left", null_keys="drop")
     return df
 
 
-def _along_months(df: DataFrame, carry: list[str], month: str) -> DataFrame:
+def _loan_keyed(df: DataFrame) -> DataFrame:
+    """Adds ``LOAN_KEY``, which is never null: joins by it match missing loan ids with plain equality, and the windows
+    by it that follow find the rows where the joins left them."""
+    missing = F.lit("0").cast(df.schema[LOAN].dataType)
+    return df.withColumns(dict(zip(LOAN_KEY, (F.col(LOAN).isNull(), F.coalesce(LOAN, missing)))))
+
+
+def _along_months(df: DataFrame, carry: list[str], month: str, loan: str | list[str] = LOAN) -> DataFrame:
     """Fills and month counts. Steps with the same window spec stand together and the one with the finer
     partition comes last: one exchange, two sorts."""
-    df = fill_down(df, carry, LOAN, month)
-    df = df.withColumns({c: filled_down_then_up(c, LOAN, month) for c in ("risk_category_sf", "monitor_score")})
-    df = run_length(df, LOAN, month, "risk_category", "months_in_risk_cat")
-    return cumulative_count(df, [LOAN, "risk_category"], month, "months_in_risk_cat_cum")
+    df = fill_down(df, carry, loan, month)
+    df = df.withColumns({c: filled_down_then_up(c, loan, month) for c in ("risk_category_sf", "monitor_score")})
+    df = run_length(df, loan, month, "risk_category", "months_in_risk_cat")
+    by = [loan] if isinstance(loan, str) else loan
+    return cumulative_count(df, [*by, "risk_category"], month, "months_in_risk_cat_cum")
 
 
 def loan_table(src: PanelSources) -> DataFrame:
@@ -181,7 +193,7 @@ def months_table(src: PanelSources, duplicates: str = "error") -> DataFrame:
         df = _along_months(_months_single_pass(src), ["maturity_date"], MONTH_NUMBER)
         return df.withColumn(MONTH, month_of(MONTH_NUMBER)).drop(MONTH_NUMBER)
     if duplicates == "repeat":
-        return _along_months(_months_by_joins(src), ["maturity_date", "paid_cum", "disb_cum"], MONTH)
+        return _along_months(_months_by_joins(src), ["maturity_date", "paid_cum", "disb_cum"], MONTH, LOAN_KEY).drop(*LOAN_KEY)
     raise ValueError("duplicates must be 'error' or 'repeat'")
 
 

@@ -103,3 +103,18 @@ def test_panel_properties(spark, sf):
     bad = df.filter("pd < 0 or pd > 1 or months_in_risk_cat > months_in_risk_cat_cum or remaining_tenor < 1 or balance <= 200")
     assert bad.count() == 0
     assert df.groupBy("loan_id", "date").count().filter("count > 1").count() == 0
+
+
+def test_missing_loan_ids_meet_in_the_join_by_join_form(sources):
+    """A missing loan id is an id of its own there, apart from the id 0."""
+    more = lambda df, *added: df.union(df.sparkSession.createDataFrame(list(added), df.schema))
+    src = dataclasses.replace(
+        sources,
+        balances=more(sources.balances, (None, JAN, 800.0), (None, FEB, 800.0), (0, FEB, 300.0)),
+        categories=more(sources.categories, (None, JAN, 3), (None, FEB, 3), (0, FEB, 3)),
+        guarantees=more(sources.guarantees, (None, 0.25), (0, 0.75)),
+    )
+    got = {(r.loan_id, r.date): r for r in build_panel(src, "repeat").filter("loan_id is null or loan_id = 0").collect()}
+    assert sorted(got, key=str) == [(0, FEB), (None, JAN), (None, FEB)]
+    assert {k: (r.guarantee, r.months_in_risk_cat) for k, r in got.items()} == {(0, FEB): (0.75, 1), (None, JAN): (0.25, 1), (None, FEB): (0.25, 2)}
+    assert got[None, JAN].paid_cum == got[None, FEB].paid_cum == 1.0
