@@ -201,13 +201,17 @@ def above_floor() -> Column:
     return F.col("balance") > feat.PANEL_BALANCE_FLOOR
 
 
-def build_panel(src: PanelSources, duplicates: str = "error", observe: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def build_panel(
+    src: PanelSources, duplicates: str = "error", observe: Callable[[DataFrame], DataFrame] | None = None,
+    months: DataFrame | None = None, loans: DataFrame | None = None,
+) -> DataFrame:
     """The panel with all features, balances above the floor only. ``observe`` may put metrics on the months
-    before the floor."""
-    df = months_table(src, duplicates)
+    before the floor. ``months`` (:func:`months_table`) and ``loans`` (:func:`loan_table`) of the same sources are
+    taken where they are stored already."""
+    df = months_table(src, duplicates) if months is None else months
     df = (observe(df) if observe else df).filter(above_floor())
     if duplicates == "error":
-        df = merge(df, loan_table(src), LOAN, "left", null_keys="drop")
+        df = merge(df, loan_table(src) if loans is None else loans, LOAN, "left", null_keys="drop")
     return add_features(df).select(*OUTPUT)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features as feat
 from ..operators.joins import merge
+from ..session import cut_lineage
 from .panel import LOAN, MONTH, MONTH_NUMBER, OUTPUT, PanelSources, _months_single_pass, above_floor, add_features, loan_table, month_of
 
 MONTHLY = ("balances", "ratings", "payments", "maturities", "categories")
@@ -62,11 +63,13 @@ def of_month(src: PanelSources, date: str) -> PanelSources:
     return dataclasses.replace(src, **{name: getattr(src, name).filter(F.col(MONTH).between(first, last)) for name in MONTHLY})
 
 
-def append_month(src: PanelSources, state: DataFrame, date: str) -> Appended:
+def append_month(src: PanelSources, state: DataFrame, date: str, loans: DataFrame | None = None, durable: bool = False) -> Appended:
     """The panel's rows of the month of ``date`` from the sources' rows of that month and the ``state`` before it.
 
     Equals the month's rows of a full build (with unique source keys) on all months up to it. A state that is not
-    older than the month fails the job. Loans without a row this month keep their state.
+    older than the month fails the job. Loans without a row this month keep their state. ``loans`` is
+    :func:`loan_table` where it is stored already. With ``durable`` the month's rows are written to the shared folder once, and the
+    panel, the state and the first ratings read them there instead of computing them each.
     """
     months = _months_single_pass(of_month(src, date)).withColumnsRenamed({"paid_cum": "paid_now", "disb_cum": "disb_now"})
     months = months.withColumn(MONTH, month_of(MONTH_NUMBER)).drop(MONTH_NUMBER)
@@ -82,7 +85,9 @@ def append_month(src: PanelSources, state: DataFrame, date: str) -> Appended:
     }
     rows = joined.withColumns({**{f"__had_{c}": F.col(f"__{c}").isNotNull() for c in RATINGS}, **sums, **filled, **counts})
 
-    panel = merge(rows.filter(above_floor()), loan_table(src), LOAN, "left", null_keys="drop")
+    rows = cut_lineage(rows, "month") if durable else rows
+
+    panel = merge(rows.filter(above_floor()), loan_table(src) if loans is None else loans, LOAN, "left", null_keys="drop")
     first = rows.filter(F.col("last_month").isNotNull()).select(LOAN, *[F.when(~F.col(f"__had_{c}"), F.col(c)).alias(c) for c in RATINGS])
     return Appended(add_features(panel).select(*OUTPUT), _after(state, rows), first.filter(" or ".join(f"{c} is not null" for c in RATINGS)))
 

@@ -11,9 +11,11 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
-from creditladder.plans.panel import PanelSources, build_panel, months_table
+from creditladder.plans.panel import PanelSources, build_panel, loan_table, months_table
 from creditladder.plans.panel_append import MONTHLY, append_month, loan_state, with_first_ratings
 from creditladder.sources.layout import read_by_key, write_by_key
+from workload import queries_tables  # noqa: F401  (registers its queries)
+from workload.registry import QUERIES
 
 ENDS = [date(2016, m + 1, 1) - timedelta(1) for m in range(1, 9)]
 
@@ -110,3 +112,26 @@ def test_append_reads_one_month_and_the_state(spark, frame, tmp_path):
     state_scan = text[: text.index("laid_out_")]
     assert "Exchange" not in state_scan.rsplit("SortMergeJoin", 1)[1].rsplit("+- *", 2)[-1]
     assert rows(month.panel.select("loan_id", "balance")) == rows(build_panel(src).filter(F.col("date") == F.lit(ENDS[3])).select("loan_id", "balance"))
+
+
+def test_durable_month_is_computed_once(spark, frame, tmp_path):
+    """The month's rows are stored once and the loans' table is taken as given; the results are the same."""
+    src = random_sources(frame, 3)
+    state = written(loan_state(months_table(until(src, ENDS[2]))), tmp_path / "state")
+    loans = written(loan_table(src), tmp_path / "loans")
+    plain, durable = (append_month(src, state, ENDS[3].isoformat(), **more) for more in ({}, {"loans": loans, "durable": True}))
+    for name in ("panel", "first_ratings"):
+        assert rows(getattr(plain, name)) == rows(getattr(durable, name))
+    assert rows(plain.state.drop("seen")) == rows(durable.state.drop("seen"))
+    for df in (durable.panel, durable.first_ratings, durable.state):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "ExistingRDD" not in text and "LocalTableScan" not in text, text
+
+
+def test_panel_append_reads_each_given_table_a_fixed_number_of_times(spark, sf):
+    """What is stored is read back: the rows that come out do not go back to the given tables, however many months are added."""
+    out = QUERIES["panel_append"](spark, sf("0.001"))
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" not in text and "l_shipdate" not in text and "c_custkey" not in text, text
+    files = {re.sub(r"-[0-9a-f]{12}/.*", "", f).rsplit("/", 1)[1] for f in out.inputFiles()}
+    assert files == {"months", "loans", "month"}, files

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 from datetime import date
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
@@ -36,7 +37,7 @@ from creditladder.operators import file_order, reshape, windows
 from creditladder.operators.checks import expect_covered, missing_report
 from creditladder.operators.joins import anti, merge, semi
 from creditladder.plans.panel import OUTPUT as PANEL_COLUMNS
-from creditladder.plans.panel import PanelSources, active_as_of, active_as_of_stored, build_panel, months_table, one_per_month
+from creditladder.plans.panel import PanelSources, active_as_of, active_as_of_stored, build_panel, loan_table, months_table, one_per_month
 from creditladder.plans.panel_append import MONTHLY, append_month, loan_state, with_first_ratings
 from creditladder.plans.panel_checks import write_checked_panel
 from creditladder.session import cut_lineage, new_path
@@ -817,17 +818,24 @@ def panel_by_joins(t: Inputs) -> DataFrame:
 @query("panel_append", _PANEL_SQL)
 def panel_append(t: Inputs) -> DataFrame:
     """The panel without its last three months, to which those are added one by one."""
+    t.store("pmt")
     src = panel_sources(t)
     last = t("bal").agg(F.max("date")).first()[0]
     ends = [r[0] for r in t.spark.range(4).select(F.last_day(F.add_months(F.lit(last), -F.col("id").cast("int")))).collect()][::-1]
     old = replace(src, **{n: getattr(src, n).filter(F.col("date") <= F.lit(ends[0])) for n in MONTHLY})
-    state = cut_lineage(loan_state(months_table(old)), "state")
-    panel = build_panel(old)
+    new = replace(src, **{n: cut_lineage(getattr(src, n).filter(F.col("date").between(F.date_add(F.lit(ends[0]), 1), F.lit(ends[-1]))), n) for n in MONTHLY})
+    loans, months = cut_lineage(loan_table(src), "loans"), cut_lineage(months_table(old), "months")
+    state = cut_lineage(loan_state(months), "state")
+    parts, first_ratings = [build_panel(old, months=months, loans=loans)], []
     for end in ends[1:]:
-        month = append_month(src, state, end.isoformat())
+        month = append_month(new, state, end.isoformat(), loans, durable=True)
         state = cut_lineage(month.state, "state")
-        panel = cut_lineage(with_first_ratings(panel, month.first_ratings).unionByName(month.panel), "panel")
-    return _rounded_panel(panel)
+        parts.append(month.panel)
+        first_ratings.append(month.first_ratings)
+    # What became known in a month fills the months before it; each month is read and joined once.
+    later = [reduce(DataFrame.unionByName, first_ratings[i:]) for i in range(len(first_ratings))]
+    parts = [with_first_ratings(part, found) for part, found in zip(parts, later)] + parts[-1:]
+    return _rounded_panel(reduce(DataFrame.unionByName, parts))
 
 
 _MONTH_NULLS = {"balance": "balance", "monitor_score": "monitor_score", "risk_category_sf": "risk_category_sf", "paid_cum": "paid_cum",

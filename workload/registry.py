@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from creditladder.session import cut_lineage
+
 from .fixtures import view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +32,10 @@ class Inputs:
     def __call__(self, name: str) -> DataFrame:
         return view(self.spark, self.sf_dir, name, self.opened)
 
+    def store(self, name: str) -> None:
+        """Writes a view to the shared folder; it and the views over it that are opened from now on are read from there."""
+        self.opened[name] = cut_lineage(self(name), name)
+
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(inputs) -> DataFrame`` and its SQL (None: rows only)."""
