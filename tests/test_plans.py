@@ -213,13 +213,9 @@ def test_stored_panel_does_not_travel(spark, stored, tmp_path):
 
 
 def test_joins_and_windows_by_loan_share_one_exchange(spark, stored):
-    """In the join-by-join form the rows travel once by loan, for the joins on it and for the windows; the payments, which
-    have the most months, meet the other sources in the second full join, so that only those travel to it again."""
+    """In the join-by-join form the months travel once by loan, for the joins on it and for the windows."""
     text = static_plan(spark, lambda: build_panel(stored, "repeat"))
-    columns = r"_w0|loan_id|__loan"
-    by_loan = re.findall(rf"Exchange hashpartitioning\((?:__no_loan#\d+, )?(?:{columns})#\d+L?, \d+", text)
-    # The running totals of payments, the months, and the five tables of loans.
-    assert len(by_loan) == 7, by_loan
-    full = [m.start() for m in re.finditer("FullOuter", text)]
-    assert len(full) == 2 and text.index("paid_cum", full[0]) > 0
-    assert "balance" in text[full[1] : full[1] + 2000]
+    exchanges = [re.sub(r"#\d+L?", "", e) for e in re.findall(r"Exchange hashpartitioning\((.*), \d+\), ", text)]
+    by_loan = [e for e in exchanges if "loan" in e and "date" not in e and "month" not in e]
+    # The months, and the running totals of payments; the tables of loans have renamed keys.
+    assert sorted(by_loan) == ["__no_loan, __loan", "loan_id"], exchanges
