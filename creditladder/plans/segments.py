@@ -168,28 +168,32 @@ def panel_calibration(
 ) -> DataFrame:
     """Mean prediction beside the balance-weighted write-off rate and the balance-weighted prediction of
     each segment, unknown as soon as one row's is; the same over the rows whose prediction or state is known; and how
-    many rows there are and lack one. All segments from one aggregation."""
-    lost = is_writeoff(LABEL)
-    table = {}
-    for name, s in segments.items():
-        inside = F.coalesce(s.where, F.lit(False))
-        p = models[name].probability()
-        balance = F.when(inside, F.col("balance")).otherwise(F.lit(0.0))
-        known = F.count_if(inside & p.isNull()) == 0
-        hit = F.when(~inside, F.lit(0.0)).when(lost, F.col("balance")).when(~lost, F.lit(0.0))
-        weighted = F.when(inside, F.col("balance") * p).otherwise(F.lit(0.0))
-        table[name] = {
-            "mean_pd": F.when(known, F.avg(F.when(inside, p))),
-            "mean_actual": ratio(sum_strict(hit), sum_strict(balance)),
-            "weighted_pd": ratio(sum_strict(weighted), sum_strict(balance)),
-            "mean_pd_known": F.avg(F.when(inside, p)),
-            "mean_actual_known": ratio(F.sum(F.when(inside, hit)), F.sum(F.when(inside & lost.isNotNull(), F.col("balance")))),
-            "weighted_pd_known": ratio(F.sum(F.when(inside, weighted)), F.sum(F.when(inside & p.isNotNull(), F.col("balance")))),
-            "n": F.count_if(inside),
-            "n_unknown_pd": F.count_if(inside & p.isNull()),
-            "n_unknown_state": F.count_if(inside & lost.isNull()),
-        }
-    return calibration_table(df, table)
+    many rows there are and lack one. All segments from one aggregation over the segments' rows, each with its prediction."""
+    member = F.array_compact(
+        F.array(*[F.when(F.coalesce(s.where, F.lit(False)), F.struct(F.lit(n).alias("segment"), models[n].probability().alias("p"))) for n, s in segments.items()])
+    )
+    rows = df.select(F.explode(member).alias("m"), "balance", is_writeoff(LABEL).alias("lost")).select("m.segment", "m.p", "balance", "lost")
+    p, balance, lost = F.col("p"), F.col("balance"), F.col("lost")
+    hit = F.when(lost, balance).when(~lost, F.lit(0.0))
+    statistics = {
+        "mean_pd": avg_strict("p"),
+        "mean_actual": ratio(sum_strict(hit), sum_strict("balance")),
+        "weighted_pd": ratio(sum_strict(balance * p), sum_strict("balance")),
+        "mean_pd_known": F.avg(p),
+        "mean_actual_known": ratio(F.sum(hit), F.sum(F.when(lost.isNotNull(), balance))),
+        "weighted_pd_known": ratio(F.sum(balance * p), F.sum(F.when(p.isNotNull(), balance))),
+        "n": F.count(F.lit(1)),
+        "n_unknown_pd": F.count_if(p.isNull()),
+        "n_unknown_state": F.count_if(lost.isNull()),
+    }
+    counted = rows.groupBy("segment").agg(*[expr.cast("double").alias(stat) for stat, expr in statistics.items()])
+
+    # A segment without rows has no row here, but its counts are 0.
+    def of(name: str, stat: str) -> Column:
+        value = F.max(F.when(F.col("segment") == name, F.col(stat)))
+        return F.coalesce(value, F.lit(0.0)) if stat.startswith("n") else value
+
+    return calibration_table(counted, {name: {stat: of(name, stat) for stat in statistics} for name in segments})
 
 
 def panel_calibration_bins(df: DataFrame, models: Mapping[str, FittedLogit], segments: Mapping[str, Segment], bins: int = 10) -> DataFrame:

@@ -277,3 +277,23 @@ def test_separated_segments_get_finite_coefficients(frame, tmp_path, spark):
     assert load_models(str(tmp_path), spark, 1) == models and set(load_models(str(tmp_path), spark)) == {"none"}
     with pytest.raises(ValueError, match="no models of version 3"):
         load_models(str(tmp_path), spark, 3)
+
+
+def test_panel_calibration_computes_each_prediction_once(frame):
+    """Segments that overlap, are empty, or lack predictions, states and balances; one exponential per segment in the plan."""
+    df = frame("k int, x double, wo string, balance double", [(1, 0.0, "Writeoff", 100.0), (1, None, "Performing", 50.0), (2, 0.0, None, 30.0), (2, 1.0, "Writeoff", 10.0), (3, 0.0, "Performing", None)])
+    where = {"one": F.col("k") == 1, "two": F.col("k") == 2, "up_to_two": F.col("k") < 3, "three": F.col("k") == 3, "none": F.col("k") > 3}
+    parts = {n: segments.Segment(segments.wo_label(), ("x",), c) for n, c in where.items()}
+    models = {n: segments.FittedLogit(n, "wo", ("x",), "ok", 1, 1, 0.0, (math.log(3),)) for n in where}
+    out = segments.panel_calibration(df, models, parts)
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("EXP(") + text.count("exp(") == len(where), text
+    got = {(r.segment, r.statistic): r.value for r in out.collect()}
+    stats = ("mean_pd", "mean_actual", "weighted_pd", "mean_pd_known", "mean_actual_known", "weighted_pd_known", "n", "n_unknown_pd", "n_unknown_state")
+    assert {n: [None if got[n, s] is None else round(got[n, s], 9) for s in stats] for n in where} == {
+        "one": [None, round(100 / 150, 9), None, 0.5, round(100 / 150, 9), 0.5, 2, 1, 0],
+        "two": [0.625, None, 0.5625, 0.625, 1.0, 0.5625, 2, 0, 1],
+        "up_to_two": [None, None, None, round(1.75 / 3, 9), round(110 / 160, 9), round(72.5 / 140, 9), 4, 1, 1],
+        "three": [0.5, None, None, 0.5, None, None, 1, 0, 0],
+        "none": [None, None, None, None, None, None, 0, 0, 0],
+    }

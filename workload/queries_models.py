@@ -107,6 +107,7 @@ _CALIBRATION = {
 )
 def panel_calibration(t: Inputs) -> DataFrame:
     """On all rows; unknown predictions and write-off states are counted, and told from the known ones."""
+    t.store("pmt")
     panel = cut_lineage(active_panel(t), "panel")
     family = segments.panel_segments(CLOSED_BEFORE, WATCH_FROM, WATCH_TO)
     return rounded(segments.panel_calibration(panel, fit_logits(panel, family), family), value=RATE)
